@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strandflow.llm import decontam, media, packing, tokens, warc
+from strandflow.llm import decontam, media, neardup, packing, tokens, warc
 from strandflow.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -33,7 +33,11 @@ def op8_media(spark, sf_dir):
     return media.digest(media.probe(media.encode(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_warc, op5_token_counts, op7_packing, op8_media)}
+def op10_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_warc, op5_token_counts, op7_packing, op8_media, op10_near_dedup)}
 
 #: Base 32 of a SHA-1 from its hex digits, five of which are four letters.
 _BASE32 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(floor(
