@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strandflow.llm import decontam, media, neardup, packing, tokens, warc
+from strandflow.llm import decontam, media, neardup, packing, pii, tokens, toxicity, warc
 from strandflow.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -33,11 +33,27 @@ def op8_media(spark, sf_dir):
     return media.digest(media.probe(media.encode(table(spark, sf_dir, "documents"))))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def held_out(doc_id, folds, fold):
+    """Whether crc32 of the id as text leaves ``fold``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), only=lambda d: ~held_out(d, 4, 2))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_warc, op5_token_counts, op7_packing, op8_media, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_warc, op5_token_counts, op3_pii, op7_packing, op8_media, op9_toxicity, op10_near_dedup)}
 
 #: Base 32 of a SHA-1 from its hex digits, five of which are four letters.
 _BASE32 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(floor(
