@@ -36,20 +36,34 @@ _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
 class _Cache(dict):
-    """Pre-token -> value, encoding what it lacks, emptied down to its fixed part when full."""
+    """Pre-token -> value, encoding what it lacks.
 
-    def __init__(self, make, fixed=None, capacity: int = CACHE):
+    When full it becomes the old generation, whose entries come back when they are met again, so what is frequent stays.
+    """
+
+    def __init__(self, make, fixed=None, capacity: int = CACHE // 2):
         super().__init__(fixed or {})
-        self.make, self.fixed, self.capacity = make, fixed or {}, capacity + len(fixed or {})
+        self.make, self.fixed, self.capacity, self.old = make, fixed or {}, capacity + len(fixed or {}), {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.capacity:
+            self.old = dict(self)
             self.clear()
             self.update(self.fixed)
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a letter: printable Latin-1 as itself, the rest from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids and counts of whole texts, equal to the library's, for a ``.json`` or ``.model`` file."""
 
@@ -72,8 +86,13 @@ class Encoder:
             pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
             self.fast = norm == _NORMALIZER and pre[0].get("pattern", {}).get("Regex") == _PATTERN and spec["post_processor"] is None
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.count = _Cache(lambda w: len(self.whole(w)), lengths)
-        self.bytes = _Cache(lambda w: np.asarray(self.whole(w), self.kind).tobytes())
+        self.letters = _byte_letters()
+        self.count = _Cache(lambda w: len(self.of_pretoken(w)), lengths)
+        self.bytes = _Cache(lambda w: np.asarray(self.of_pretoken(w), self.kind).tobytes())
+
+    def of_pretoken(self, word: str) -> list[int]:
+        """Ids of one pre-token: its bytes as letters, straight to the merges."""
+        return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def pretokens(self, text: str) -> list[str] | None:
         """The text's pre-tokens, or None where only the library will do: beyond Latin-1, or with special strings."""
@@ -90,6 +109,12 @@ class Encoder:
         words = self.pretokens(text)
         return len(self.whole(text)) if words is None else sum(map(self.count.__getitem__, words))
 
+    def closes(self) -> list[bool]:
+        """Whether each id ends a word."""
+        if self.path.endswith(".model"):
+            return [False] * self.size
+        return [(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.size)]
+
     def ids(self, text: str) -> bytes:
         """Ids as little-endian integers of ``self.kind``."""
         words = self.pretokens(text)
@@ -125,7 +150,7 @@ def frequent_lengths(texts: DataFrame, path: str) -> dict[str, int]:
 
     top = texts.select("text").mapInArrow(sketch, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(FREQUENT)
     enc = encoder(path)
-    return {r.w: len(enc.whole(r.w)) for r in top.collect()}
+    return {r.w: len(enc.of_pretoken(r.w)) for r in top.collect()}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ def test_fast_way_equals_library_on_latin_text():
 def test_cache_stays_bounded():
     c = tokens._Cache(len, {"fixed": 9}, capacity=10)
     for i in range(100):
-        assert c[str(i)] == len(str(i)) and len(c) <= 11
+        assert c[str(i)] == len(str(i)) and len(c) <= 11 and len(c.old) <= 11
     assert c["fixed"] == 9
 
 
