@@ -5,12 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strandflow.llm import decontam, media, neardup, packing, pii, tokens, toxicity, warc
+from strandflow.llm import decontam, lm, media, neardup, packing, pii, quality, tokens, toxicity, warc
 from strandflow.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_quality(spark, sf_dir):
+    """A row for each document: its score and whether it stays."""
+    docs = table(spark, sf_dir, "documents")
+    _, scorer = quality.train(docs)
+    return quality.score(docs, scorer).withColumn("keep", F.col("score") >= quality.KEEP)
+
+
 def op2_decontamination(spark, sf_dir):
     """A row for each document and benchmark item whose passage it holds."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("contaminated", F.lit(True))
@@ -25,6 +32,10 @@ def op5_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op6_lm_scores(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), lm.held_out_fold(7, 2))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("ids")
 
@@ -37,23 +48,18 @@ def op3_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-def held_out(doc_id, folds, fold):
-    """Whether crc32 of the id as text leaves ``fold``; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
-
-
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), only=lambda d: ~held_out(d, 4, 2))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), only=lambda _: ~lm.held_out_fold(4, 2))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", lm.held_out_fold(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_warc, op5_token_counts, op3_pii, op7_packing, op8_media, op9_toxicity, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_pii, op4_warc, op5_token_counts, op6_lm_scores, op7_packing, op8_media, op9_toxicity, op10_near_dedup)}
 
 #: Base 32 of a SHA-1 from its hex digits, five of which are four letters.
 _BASE32 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(floor(
