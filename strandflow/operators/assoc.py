@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.stats import chi2_sf1, div, n_if, sum_if, upper_tail
 
-D = F.col("dosage")
+def d_() -> Column:
+    return F.col("dosage")
 
 
 def allele_table(g: DataFrame, s: DataFrame, by: tuple[str, ...] = ("vid",)) -> DataFrame:
     """Copies of both alleles in cases and controls."""
-    x = g.where(D.isNotNull()).join(s.select("sample_id", "aff", *(c for c in by if c != "vid")), "sample_id")
+    x = g.where(d_().isNotNull()).join(s.select("sample_id", "aff", *(c for c in by if c != "vid")), "sample_id")
     aff = F.col("aff")
-    return x.groupBy(*by).agg(sum_if(aff, D).cast("long").alias("a1_aff"), sum_if(aff, 2 - D).cast("long").alias("a2_aff"), sum_if(~aff, D).cast("long").alias("a1_unaff"), sum_if(~aff, 2 - D).cast("long").alias("a2_unaff"))
+    return x.groupBy(*by).agg(sum_if(aff, d_()).cast("long").alias("a1_aff"), sum_if(aff, 2 - d_()).cast("long").alias("a2_aff"), sum_if(~aff, d_()).cast("long").alias("a1_unaff"), sum_if(~aff, 2 - d_()).cast("long").alias("a2_unaff"))
 
 
 def _chisq_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -38,8 +39,8 @@ def allelic(g: DataFrame, s: DataFrame, by: tuple[str, ...] = ("vid",), z: float
 def genotype_table(g: DataFrame, s: DataFrame) -> DataFrame:
     """Genotype counts in cases (a2, a1, a0 by dosage) and controls (u2, u1, u0)."""
     aff = F.col("aff")
-    x = g.where(D.isNotNull()).join(s.select("sample_id", "aff"), "sample_id")
-    return x.groupBy("vid").agg(*(n_if(c & (D == k)).alias(f"{n}{k}") for n, c in (("a", aff), ("u", ~aff)) for k in (2, 1, 0)))
+    x = g.where(d_().isNotNull()).join(s.select("sample_id", "aff"), "sample_id")
+    return x.groupBy("vid").agg(*(n_if(c & (d_() == k)).alias(f"{n}{k}") for n, c in (("a", aff), ("u", ~aff)) for k in (2, 1, 0)))
 
 
 def model_tests(g: DataFrame, s: DataFrame, cell: int = 5) -> DataFrame:
@@ -81,8 +82,8 @@ def fisher(g: DataFrame, s: DataFrame) -> DataFrame:
 
 def moments(g: DataFrame, s: DataFrame, by: tuple[str, ...] = ("vid",)) -> DataFrame:
     """n, variances and covariance (n - 1) of dosage and phenotype."""
-    x = g.where(D.isNotNull()).join(s.where("pheno is not null").select("sample_id", "pheno", *(c for c in by if c != "vid")), "sample_id")
-    d = D.cast("double")
+    x = g.where(d_().isNotNull()).join(s.where("pheno is not null").select("sample_id", "pheno", *(c for c in by if c != "vid")), "sample_id")
+    d = d_().cast("double")
     return x.groupBy(*by).agg(F.count("*").alias("nanal"), F.var_samp(d).alias("vg"), F.var_samp("pheno").alias("vy"), F.covar_samp(d, F.col("pheno")).alias("cov"))
 
 
@@ -102,7 +103,7 @@ def quantitative(g: DataFrame, s: DataFrame) -> DataFrame:
 
 def qt_means(g: DataFrame, s: DataFrame) -> DataFrame:
     """vid, dosage, n, freq, mean, sd of the phenotype by genotype."""
-    x = g.where(D.isNotNull()).join(s.where("pheno is not null").select("sample_id", "pheno"), "sample_id").groupBy("vid", "dosage").agg(F.count("*").alias("n"), F.avg("pheno").alias("mean"), F.stddev_samp("pheno").alias("sd"))
+    x = g.where(d_().isNotNull()).join(s.where("pheno is not null").select("sample_id", "pheno"), "sample_id").groupBy("vid", "dosage").agg(F.count("*").alias("n"), F.avg("pheno").alias("mean"), F.stddev_samp("pheno").alias("sd"))
     return x.withColumn("freq", div(F.col("n"), F.sum("n").over(Window.partitionBy("vid"))))
 
 
@@ -161,7 +162,7 @@ def gxe(g: DataFrame, s: DataFrame, group: str = "sex") -> DataFrame:
 
 def loop_assoc(g: DataFrame, s: DataFrame) -> DataFrame:
     """vid, cluster, chisq: each cluster as cases against all others, from one table of counts."""
-    t = g.where(D.isNotNull()).join(s.select("sample_id", "cluster"), "sample_id").groupBy("vid", "cluster").agg(F.sum(D).cast("double").alias("x1"), F.sum(2 - D).cast("double").alias("x2"))
+    t = g.where(d_().isNotNull()).join(s.select("sample_id", "cluster"), "sample_id").groupBy("vid", "cluster").agg(F.sum(d_()).cast("double").alias("x1"), F.sum(2 - d_()).cast("double").alias("x2"))
     w = Window.partitionBy("vid")
     o1, o2 = F.sum("x1").over(w) - F.col("x1"), F.sum("x2").over(w) - F.col("x2")
     return t.select("vid", "cluster", _chisq_2x2(F.col("x1"), F.col("x2"), o1, o2).alias("chisq"))
@@ -171,19 +172,19 @@ def profile_score(g: DataFrame, weights: DataFrame, impute: bool = True) -> Data
     """sample_id, cnt, cnt2, score: mean weight of an allele; a missing call counts with its expectation, or not at all."""
     x = g.join(weights.select("vid", "weight"), "vid")
     if impute:
-        d = D.cast("double")
+        d = d_().cast("double")
         mean = g.groupBy("vid").agg(F.avg(d).alias("m"))
         x = x.join(mean, "vid").withColumn("d", F.coalesce(d, F.col("m")))
     else:
-        x = x.where(D.isNotNull()).withColumn("d", D.cast("double"))
-    x = x.where("d is not null").groupBy("sample_id").agg((2 * F.count("*")).alias("cnt"), F.coalesce(F.sum(D), F.lit(0)).cast("long").alias("cnt2"), F.sum(F.col("d") * F.col("weight")).alias("sum"))
+        x = x.where(d_().isNotNull()).withColumn("d", d_().cast("double"))
+    x = x.where("d is not null").groupBy("sample_id").agg((2 * F.count("*")).alias("cnt"), F.coalesce(F.sum(d_()), F.lit(0)).cast("long").alias("cnt2"), F.sum(F.col("d") * F.col("weight")).alias("sum"))
     return x.select("sample_id", "cnt", "cnt2", div(F.col("sum"), F.col("cnt")).alias("score"))
 
 
 def profile_ranges(g: DataFrame, weights: DataFrame, ranges: DataFrame) -> DataFrame:
     """A score for each q-range (label, lower, upper) of the weights' q column; the ranges are few."""
     w = weights.join(F.broadcast(ranges), (F.col("q") >= F.col("lower")) & (F.col("q") <= F.col("upper")))
-    x = g.where(D.isNotNull()).join(w.select("vid", "weight", "label"), "vid").groupBy("label", "sample_id").agg((2 * F.count("*")).alias("cnt"), F.sum(D * F.col("weight")).alias("sum"))
+    x = g.where(d_().isNotNull()).join(w.select("vid", "weight", "label"), "vid").groupBy("label", "sample_id").agg((2 * F.count("*")).alias("cnt"), F.sum(d_() * F.col("weight")).alias("sum"))
     return x.select("label", "sample_id", "cnt", div(F.col("sum"), F.col("cnt")).alias("score"))
 
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.stats import div, n_if
 
-K, P, M = F.col("k"), F.col("p"), F.col("m")
+def k_() -> Column:
+    """The kid's dosage; p_ and m_ are the parents'."""
+    return F.col("k")
+
+
+def p_() -> Column:
+    return F.col("p")
+
+
+def m_() -> Column:
+    return F.col("m")
 
 
 def trio_calls(g: DataFrame, trios: DataFrame) -> DataFrame:
@@ -23,19 +33,19 @@ def trio_calls(g: DataFrame, trios: DataFrame) -> DataFrame:
 def mendel_code(male_x=None):
     """Code of the inconsistency of dosages k, p, m, or 0: 1-2 heterozygous kid, 3-8 homozygous, 9-10 male on X."""
     auto = (
-        F.when((K == 1) & (P == 2) & (M == 2), 1)
-        .when((K == 1) & (P == 0) & (M == 0), 2)
-        .when((K == 2) & (P == 0) & (M == 0), 5)
-        .when((K == 2) & (P == 0), 3)
-        .when((K == 2) & (M == 0), 4)
-        .when((K == 0) & (P == 2) & (M == 2), 8)
-        .when((K == 0) & (P == 2), 6)
-        .when((K == 0) & (M == 2), 7)
+        F.when((k_() == 1) & (p_() == 2) & (m_() == 2), 1)
+        .when((k_() == 1) & (p_() == 0) & (m_() == 0), 2)
+        .when((k_() == 2) & (p_() == 0) & (m_() == 0), 5)
+        .when((k_() == 2) & (p_() == 0), 3)
+        .when((k_() == 2) & (m_() == 0), 4)
+        .when((k_() == 0) & (p_() == 2) & (m_() == 2), 8)
+        .when((k_() == 0) & (p_() == 2), 6)
+        .when((k_() == 0) & (m_() == 2), 7)
         .otherwise(0)
     )
     if male_x is None:
         return auto
-    return F.when(male_x, F.when((K == 0) & (M == 2), 9).when((K == 2) & (M == 0), 10).otherwise(0)).otherwise(auto)
+    return F.when(male_x, F.when((k_() == 0) & (m_() == 2), 9).when((k_() == 2) & (m_() == 0), 10).otherwise(0)).otherwise(auto)
 
 
 def mendel(g: DataFrame, trios: DataFrame) -> DataFrame:
@@ -57,11 +67,11 @@ def transmissions(g: DataFrame, trios: DataFrame, s: DataFrame) -> DataFrame:
     Two het parents of a het kid transmit one allele each, which counts half for either parent.
     """
     x = trio_calls(g, trios.join(s.where("aff").select(F.col("sample_id").alias("kid")), "kid")).where("k is not null and p is not null and m is not null").where(mendel_code() == 0)
-    hp, hm = (P == 1).cast("int"), (M == 1).cast("int")
-    both = (K == 1) & (P == 1) & (M == 1)
-    one = lambda het, other: F.when(het == 0, 0.0).when(K == 2, 1.0).when(K == 0, 0.0).when(both, 0.5).when(other == 0, 1.0).otherwise(0.0)
-    x = x.withColumn("tp", one(hp, M)).withColumn("tm", one(hm, P)).withColumn("up", hp - F.col("tp")).withColumn("um", hm - F.col("tm"))
-    return x.where((P == 1) | (M == 1)).select("vid", "kid", "tp", "up", "tm", "um")
+    hp, hm = (p_() == 1).cast("int"), (m_() == 1).cast("int")
+    both = (k_() == 1) & (p_() == 1) & (m_() == 1)
+    one = lambda het, other: F.when(het == 0, 0.0).when(k_() == 2, 1.0).when(k_() == 0, 0.0).when(both, 0.5).when(other == 0, 1.0).otherwise(0.0)
+    x = x.withColumn("tp", one(hp, m_())).withColumn("tm", one(hm, p_())).withColumn("up", hp - F.col("tp")).withColumn("um", hm - F.col("tm"))
+    return x.where((p_() == 1) | (m_() == 1)).select("vid", "kid", "tp", "up", "tm", "um")
 
 
 def tdt(g: DataFrame, trios: DataFrame, s: DataFrame) -> DataFrame:
@@ -83,7 +93,7 @@ def poo(g: DataFrame, trios: DataFrame, s: DataFrame) -> DataFrame:
 def pseudo_controls(g: DataFrame, trios: DataFrame) -> DataFrame:
     """vid, kid, case, control: the kid's dosage and that of the alleles the parents kept."""
     x = trio_calls(g, trios).where("k is not null and p is not null and m is not null").where(mendel_code() == 0)
-    return x.select("vid", "kid", K.alias("case"), (P + M - K).alias("control"))
+    return x.select("vid", "kid", k_().alias("case"), (p_() + m_() - k_()).alias("control"))
 
 
 def parent_tdt(g: DataFrame, trios: DataFrame, s: DataFrame) -> DataFrame:
@@ -91,7 +101,7 @@ def parent_tdt(g: DataFrame, trios: DataFrame, s: DataFrame) -> DataFrame:
     aff = s.select(F.col("sample_id").alias("id"), F.col("aff"))
     couples = trios.select("father", "mother").distinct().join(aff.withColumnsRenamed({"id": "father", "aff": "fa"}), "father").join(aff.withColumnsRenamed({"id": "mother", "aff": "ma"}), "mother").where("fa <> ma")
     x = couples.join(g.select("vid", F.col("sample_id").alias("father"), F.col("dosage").alias("p")), "father").join(g.select("vid", F.col("sample_id").alias("mother"), F.col("dosage").alias("m")), ["mother", "vid"]).where("p is not null and m is not null")
-    case, control = F.when(F.col("fa"), P).otherwise(M), F.when(F.col("fa"), M).otherwise(P)
+    case, control = F.when(F.col("fa"), p_()).otherwise(m_()), F.when(F.col("fa"), m_()).otherwise(p_())
     x = x.groupBy("vid").agg(F.sum(F.greatest(case - control, F.lit(0))).alias("b"), F.sum(F.greatest(control - case, F.lit(0))).alias("c"))
     return x.select("vid", "b", "c", div((F.col("b") - F.col("c")) ** 2, F.col("b") + F.col("c")).alias("chisq"))
 
@@ -108,8 +118,8 @@ def sibship_test(g: DataFrame, s: DataFrame) -> DataFrame:
 def qfam_parts(g: DataFrame, trios: DataFrame) -> DataFrame:
     """vid, kid, between, within: the parents' mean dosage, and the kid's less it."""
     x = trio_calls(g, trios).where("k is not null and p is not null and m is not null")
-    mean = (P + M) / 2.0
-    return x.select("vid", "kid", mean.alias("between"), (K - mean).alias("within"))
+    mean = (p_() + m_()) / 2.0
+    return x.select("vid", "kid", mean.alias("between"), (k_() - mean).alias("within"))
 
 
 def qfam(g: DataFrame, trios: DataFrame, s: DataFrame, part: str = "within") -> DataFrame:

@@ -64,15 +64,43 @@ def dmgain(num: DataFrame, s: DataFrame) -> DataFrame:
     return x.select("i", "j", (F.abs(a - u) / F.sqrt(1 / (F.col("na") - 3) + 1 / (F.col("nu") - 3))).alias("z"))
 
 
+def _blocks(num: DataFrame, g: DataFrame) -> tuple[DataFrame, list[int], list[int]]:
+    """A row for each sample with its values and dosages, as arrays in the order of the attributes and variants."""
+    attrs = [r.k for r in num.select(F.col("attr_id").alias("k")).distinct().orderBy("k").collect()]
+    vids = [r.k for r in g.select(F.col("vid").alias("k")).distinct().orderBy("k").collect()]
+    row = lambda x, key, value, keys, name: x.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m")).select("sample_id", F.transform(F.array(*map(F.lit, keys)), lambda k: F.col("m")[k].cast("double")).alias(name))
+    return row(num.where("value is not null"), "attr_id", "value", attrs, "x").join(row(g.where("dosage is not null"), "vid", "dosage", vids, "d"), "sample_id"), attrs, vids
+
+
 def dcvar(num: DataFrame, g: DataFrame, model: str = "dom") -> DataFrame:
-    """vid, i, j, z, p: dcgain between the two groups that each variant's genotype model makes; one query for all variants."""
-    split = {"dom": F.col("dosage") > 0, "rec": F.col("dosage") == 2, "hom": F.when(F.col("dosage") != 1, F.col("dosage") == 2)}[model]
-    groups = g.where("dosage is not null").select("sample_id", "vid", split.alias("aff")).where("aff is not null")
-    a = num.select("sample_id", F.col("attr_id").alias("i"), F.col("value").alias("a"))
-    b = num.select("sample_id", F.col("attr_id").alias("j"), F.col("value").alias("b"))
-    x, y = F.col("a"), F.col("b")
-    m = a.join(b, "sample_id").where("i < j").join(groups, "sample_id").groupBy("vid", "aff", "i", "j").agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("sa"), F.sum(y).alias("sb"), F.sum(x * x).alias("saa"), F.sum(y * y).alias("sbb"), F.sum(x * y).alias("sab"))
-    n, sa, sb, saa, sbb, sab = (F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab"))
+    """vid, i, j, z, p: dcgain between the two groups that each variant's genotype model makes, for all variants at once.
+
+    A batch of samples gives the sums of products of each variant's two groups as matrix products; the sums are added by variant and pair.
+    """
+    rows, attrs, vids = _blocks(num, g)
+    rule = {"dom": lambda d: (d > 0, d == 0), "rec": lambda d: (d == 2, d < 2), "hom": lambda d: (d == 2, d == 0)}[model]
+    up = np.triu_indices(len(attrs), 1)
+    ai, aj = np.array(attrs, np.int32)[up[0]], np.array(attrs, np.int32)[up[1]]
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # Nulls become NaN: a missing value or call takes no part.
+            x, d = (np.array([[np.nan if v is None else v for v in r] for r in b.column(c).to_pylist()], float) for c in ("x", "d"))
+            seen, x0 = ~np.isnan(x), np.nan_to_num(x)
+            for k, vid in enumerate(vids):
+                for first, group in zip((True, False), rule(d[:, k]), strict=True):
+                    m, v = seen[group].astype(float), x0[group]
+                    sums = [m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ai), vid, np.int32)), pa.array(np.full(len(ai), first)), pa.array(ai), pa.array(aj), *(pa.array(s[up]) for s in sums)], ["vid", "aff", "i", "j", *names])
+
+    m = rows.select("x", "d").mapInArrow(run, "vid int, aff boolean, i int, j int, " + ", ".join(f"{n} double" for n in names))
+    m = m.groupBy("vid", "aff", "i", "j").agg(*(F.sum(n).alias(n) for n in names))
+    n, sa, sb, saa, sbb, sab = (F.col(c) for c in names)
     m = m.select("vid", "aff", "i", "j", "n", div(n * sab - sa * sb, F.sqrt((n * saa - sa * sa) * (n * sbb - sb * sb))).alias("r"))
     pick = lambda c, k: F.max(F.when(F.col("aff") == k, F.col(c)))
     m = m.groupBy("vid", "i", "j").agg(pick("r", True).alias("r1"), pick("r", False).alias("r2"), pick("n", True).alias("n1"), pick("n", False).alias("n2")).where("n1 > 3 and n2 > 3 and abs(r1) < 1 and abs(r2) < 1")
@@ -133,11 +161,10 @@ def snprank(m: np.ndarray, gamma: float | None = 0.85, power: bool = False, tole
         r = np.full(n, 1 / n)
         for _ in range(10_000):
             new = (damp * hand) @ r + base
-            new /= new.sum()
             if np.abs(new - r).max() < tolerance:
-                return new
+                break
             r = new
-        return r
+        return new / new.sum()
     r = np.linalg.solve(np.eye(n) - damp * hand, base)
     return r / r.sum()
 

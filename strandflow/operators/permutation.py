@@ -39,7 +39,11 @@ def shuffled(s: DataFrame, label: str, reps: DataFrame, seed: int = 1, within: s
     """rep, sample_id, label: the labels dealt anew within clusters, for each replicate."""
     group = [F.col(within)] if within else [F.lit(0)]
     x = s.select("sample_id", F.col(label).alias("label"), group[0].alias("grp")).crossJoin(F.broadcast(reps))
-    key = F.pmod(F.col("sample_id") * 7919 + F.col("rep") * 104729 + F.col("sample_id") * F.col("rep") * 31 + seed, F.lit(1_000_003))
+    # A square modulo a prime of a line whose slope is the replicate's: plain integers, so SQL can follow it.
+    prime = F.lit(2_147_483_647)
+    slope = (F.col("rep").cast("long") * 40_692 + seed * 69_621 + 48_271) % prime
+    line = (F.col("sample_id").cast("long") * slope + F.col("rep") * 7919) % prime
+    key = (line * line + line) % prime
     x = x.withColumn("from", F.row_number().over(Window.partitionBy("rep", "grp").orderBy("sample_id"))).withColumn("to", F.row_number().over(Window.partitionBy("rep", "grp").orderBy(key, "sample_id")))
     dealt = x.select("rep", "grp", F.col("from").alias("to"), F.col("label").alias("dealt"))
     return x.join(dealt, ["rep", "grp", "to"]).select("rep", "sample_id", F.col("dealt").alias("label"))

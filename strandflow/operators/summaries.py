@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.stats import div, n_if
 
-HET, HOM1, HOM2 = (F.col("dosage") == k for k in (1, 2, 0))
+def is_(dosage: int) -> Column:
+    return F.col("dosage") == dosage
 
 
 def ploidy(is_x: Column, is_haploid: Column, male: Column) -> Column:
@@ -41,7 +42,7 @@ def freq_by_cluster(g: DataFrame, s: DataFrame) -> DataFrame:
 def hwe(g: DataFrame, s: DataFrame) -> DataFrame:
     """vid, grp (ALL, AFF, UNAFF), genotype counts, observed and expected heterozygosity, chi-square: by grouping sets."""
     x = g.join(s.select("sample_id", "aff"), "sample_id")
-    x = x.groupingSets([["vid"], ["vid", "aff"]], "vid", "aff").agg(n_if(HOM1).alias("hom1"), n_if(HET).alias("het"), n_if(HOM2).alias("hom2"), F.grouping("aff").alias("whole"))
+    x = x.groupingSets([["vid"], ["vid", "aff"]], "vid", "aff").agg(n_if(is_(2)).alias("hom1"), n_if(is_(1)).alias("het"), n_if(is_(0)).alias("hom2"), F.grouping("aff").alias("whole"))
     x = x.withColumn("grp", F.when(F.col("whole") == 1, "ALL").when(F.col("aff"), "AFF").otherwise("UNAFF"))
     n = (F.col("hom1") + F.col("het") + F.col("hom2")).cast("double")
     p = div(2 * F.col("hom1") + F.col("het"), 2 * n)

@@ -286,12 +286,14 @@ def match_pairs(spark, sf):
 
 
 def _two(spark, sf):
-    g = fx.genotypes(spark, sf)
-    new = g.where((F.col("sample_id") + F.col("vid")) % 4 != 0).withColumn("dosage", F.when((F.col("sample_id") * 11 + F.col("vid")) % 9 != 0, F.when((F.col("sample_id") + F.col("vid") * 5) % 13 == 0, 2 - F.col("dosage")).otherwise(F.col("dosage"))))
-    return g.where((F.col("sample_id") + F.col("vid")) % 5 != 0), new
+    """Two studies of the same variants: all calls, and a second calling of all samples whose ids go fifty further."""
+    n = fx.numerics(spark, sf)
+    i, vid = F.col("sample_id") + 50, F.col("attr_id") + 1
+    new = n.select(i.alias("sample_id"), vid.alias("vid"), F.when((i * 11 + vid) % 9 != 0, F.when(F.col("value") < -0.1, 0).when(F.col("value") > 0.1, 2).otherwise(1)).alias("dosage"))
+    return fx.genotypes(spark, sf), new
 
 
-_MERGE = "o AS (SELECT * FROM g WHERE (sample_id + vid) % 5 <> 0), w AS (SELECT sample_id, vid, CASE WHEN (sample_id * 11 + vid) % 9 <> 0 THEN CASE WHEN (sample_id + vid * 5) % 13 = 0 THEN 2 - dosage ELSE dosage END END AS dosage FROM g WHERE (sample_id + vid) % 4 <> 0), m AS (SELECT o.dosage AS a, w.dosage AS b, o.vid AS in_a, w.vid AS in_b FROM o FULL JOIN w ON o.sample_id = w.sample_id AND o.vid = w.vid)"
+_MERGE = "w AS (SELECT sample_id + 50 AS sample_id, attr_id + 1 AS vid, CASE WHEN ((sample_id + 50) * 11 + attr_id + 1) % 9 <> 0 THEN CASE WHEN value < -0.1::DOUBLE THEN 0 WHEN value > 0.1::DOUBLE THEN 2 ELSE 1 END END AS dosage FROM num), m AS (SELECT o.dosage AS a, w.dosage AS b, o.vid AS in_a, w.vid AS in_b FROM g o FULL JOIN w ON o.sample_id = w.sample_id AND o.vid = w.vid)"
 _MODES = {1: "CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN a = b THEN a END", 2: "coalesce(a, b)", 3: "coalesce(b, a)", 4: "a", 5: "b"}
 for _mode in range(1, 8):
 
@@ -387,7 +389,7 @@ def loop_assoc(spark, sf):
     return assoc.loop_assoc(fx.genotypes(spark, sf), fx.samples(spark, sf))
 
 
-@query("m AS (SELECT vid, avg(dosage::DOUBLE) AS m FROM g GROUP BY vid), x AS (SELECT sample_id, count(*) AS n, CAST(coalesce(sum(dosage), 0) AS BIGINT) AS cnt2, sum(coalesce(dosage::DOUBLE, m) * weight) AS sm FROM g JOIN wt USING (vid) JOIN m USING (vid) GROUP BY sample_id);;SELECT sample_id, 2 * n AS cnt, cnt2, sm / (2 * n)::DOUBLE AS score FROM x", "score")
+@query("m AS (SELECT vid, avg(dosage::DOUBLE) AS m FROM g GROUP BY vid), x AS (SELECT sample_id, count(*) AS n, CAST(coalesce(sum(dosage), 0) AS BIGINT) AS cnt2, sum(coalesce(dosage::DOUBLE, m) * weight) AS sm FROM g JOIN wt USING (vid) JOIN m USING (vid) GROUP BY sample_id);;SELECT sample_id, 2 * n AS cnt, cnt2, sm / (2 * n)::DOUBLE AS score FROM x", "score", 11)
 def profile_score(spark, sf):
     return assoc.profile_score(fx.genotypes(spark, sf), fx.weights(spark, sf))
 
@@ -395,7 +397,7 @@ def profile_score(spark, sf):
 _QR = [("low", 0.0, 24.0), ("mid", 24.0, 26.0), ("all", 0.0, 100.0)]
 
 
-@query("r AS (SELECT * FROM (VALUES ('low', 0.0, 24.0), ('mid', 24.0, 26.0), ('all', 0.0, 100.0)) t(label, lo, hi)), x AS (SELECT label, sample_id, count(*) AS n, sum(dosage * weight) AS sm FROM g JOIN wt USING (vid) JOIN r ON q >= lo AND q <= hi WHERE dosage IS NOT NULL GROUP BY label, sample_id);;SELECT label, sample_id, 2 * n AS cnt, sm / (2 * n)::DOUBLE AS score FROM x", "score")
+@query("r AS (SELECT * FROM (VALUES ('low', 0.0, 24.0), ('mid', 24.0, 26.0), ('all', 0.0, 100.0)) t(label, lo, hi)), x AS (SELECT label, sample_id, count(*) AS n, sum(dosage * weight) AS sm FROM g JOIN wt USING (vid) JOIN r ON q >= lo AND q <= hi WHERE dosage IS NOT NULL GROUP BY label, sample_id);;SELECT label, sample_id, 2 * n AS cnt, sm / (2 * n)::DOUBLE AS score FROM x", "score", 11)
 def profile_score_qrange(spark, sf):
     return assoc.profile_ranges(fx.genotypes(spark, sf), fx.weights(spark, sf), spark.createDataFrame(_QR, "label string, lower double, upper double"))
 
@@ -434,7 +436,7 @@ def multiple_testing(spark, sf):
     return permutation.multiple_testing(assoc.allelic(fx.genotypes(spark, sf), fx.samples(spark, sf)))
 
 
-_SHUFFLE = "k AS (SELECT rep, sample_id, aff, sex, (sample_id * 7919 + rep * 104729 + sample_id * rep * 31 + 1) % 1000003 AS h FROM s, (SELECT i AS rep FROM range(1, 21) t(i)) r), k2 AS (SELECT *, row_number() OVER (PARTITION BY rep, sex ORDER BY sample_id) AS f, row_number() OVER (PARTITION BY rep, sex ORDER BY h, sample_id) AS t FROM k), lab AS (SELECT a.rep, a.sample_id, b.aff FROM k2 a JOIN k2 b ON a.rep = b.rep AND a.sex = b.sex AND a.t = b.f UNION ALL SELECT 0, sample_id, aff FROM s)"
+_SHUFFLE = "k0 AS (SELECT rep, sample_id, aff, sex, (sample_id * ((rep * 40692 + 69621 + 48271) % 2147483647) + rep * 7919) % 2147483647 AS x FROM s, (SELECT i AS rep FROM range(1, 21) t(i)) r), k AS (SELECT *, (x * x + x) % 2147483647 AS h FROM k0), k2 AS (SELECT *, row_number() OVER (PARTITION BY rep, sex ORDER BY sample_id) AS f, row_number() OVER (PARTITION BY rep, sex ORDER BY h, sample_id) AS t FROM k), lab AS (SELECT a.rep, a.sample_id, b.aff FROM k2 a JOIN k2 b ON a.rep = b.rep AND a.sex = b.sex AND a.t = b.f UNION ALL SELECT 0, sample_id, aff FROM s)"
 
 
 @query(f"""{_SHUFFLE}, c AS (SELECT rep, vid, sum(CASE WHEN aff THEN dosage ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN aff THEN 2 - dosage ELSE 0 END)::DOUBLE AS b, sum(CASE WHEN aff THEN 0 ELSE dosage END)::DOUBLE AS c, sum(CASE WHEN aff THEN 0 ELSE 2 - dosage END)::DOUBLE AS d FROM g JOIN lab USING (sample_id) WHERE dosage IS NOT NULL GROUP BY rep, vid),
@@ -666,16 +668,11 @@ def dmgain(spark, sf):
     return network.dmgain(fx.numerics(spark, sf), fx.samples(spark, sf))
 
 
-def _eight(spark, sf):
-    """The attributes of every eighth position as the expression side: a set of transcripts, all samples."""
-    return fx.numerics(spark, sf).where("attr_id % 8 = 0")
-
-
-@query(f"""pm AS (SELECT g.vid, dosage > 0 AS aff, a.attr_id AS i, b.attr_id AS j, count(*)::DOUBLE AS n, sum(a.value) AS sa, sum(b.value) AS sb, sum(a.value*a.value) AS saa, sum(b.value*b.value) AS sbb, sum(a.value*b.value) AS sab FROM num a JOIN num b ON a.sample_id = b.sample_id AND a.attr_id < b.attr_id JOIN g ON g.sample_id = a.sample_id WHERE a.attr_id % 8 = 0 AND b.attr_id % 8 = 0 AND dosage IS NOT NULL GROUP BY ALL),
+@query(f"""pm AS (SELECT g.vid, dosage > 0 AS aff, a.attr_id AS i, b.attr_id AS j, count(*)::DOUBLE AS n, sum(a.value) AS sa, sum(b.value) AS sb, sum(a.value*a.value) AS saa, sum(b.value*b.value) AS sbb, sum(a.value*b.value) AS sab FROM num a JOIN num b ON a.sample_id = b.sample_id AND a.attr_id < b.attr_id JOIN g ON g.sample_id = a.sample_id WHERE dosage IS NOT NULL GROUP BY ALL),
 co AS (SELECT vid, i, j, max(CASE WHEN aff THEN r END) AS r_aff, max(CASE WHEN NOT aff THEN r END) AS r_unaff, max(CASE WHEN aff THEN n END) AS n_aff, max(CASE WHEN NOT aff THEN n END) AS n_unaff FROM (SELECT vid, aff, i, j, n, {_R} AS r FROM pm) q GROUP BY 1, 2, 3),
 z AS (SELECT vid, i, j, {_Z} AS z FROM co WHERE n_aff > 3 AND n_unaff > 3 AND abs(r_aff) < 1 AND abs(r_unaff) < 1);;SELECT vid, i, j, z, 2 * {_tail('z')} AS p FROM z""", "z p", 5)
 def dcvar(spark, sf):
-    return network.dcvar(_eight(spark, sf), fx.genotypes(spark, sf))
+    return network.dcvar(fx.numerics(spark, sf), fx.genotypes(spark, sf))
 
 
 def _edges(spark, sf):
@@ -754,7 +751,7 @@ def epistasis_glm(spark, sf):
 
 @query()
 def regain(spark, sf):
-    return models.regain(_eight(spark, sf), fx.samples(spark, sf))
+    return models.regain(fx.numerics(spark, sf), fx.samples(spark, sf))
 
 
 @query()
