@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.stats import div
-from strandflow.operators import assoc, family, filters, joins, models, network, pairs, permutation, ranking, recodes, segments, summaries
+from strandflow.operators import assoc, family, filters, haplotypes, joins, models, network, pairs, permutation, ranking, recodes, relatives, segments, sets, summaries
 from strandflow.plans import fixtures as fx
 
 QUERIES: dict[str, Callable] = {}
@@ -811,6 +811,91 @@ def kendall_tau(spark, sf):
     return ranking.kendall_tau(n.agg(F.round(F.var_samp("value"), 9).alias("score")), n.agg(F.round(F.avg("value"), 9).alias("score")))
 
 
+def _windows(spark, sf):
+    return fx.variants(spark, sf).select("vid", F.floor((F.col("vid") - 1) / 4).cast("int").alias("window"))
+
+
+@query()
+def haplotype_case_control(spark, sf):
+    return haplotypes.haplotype_case_control(haplotypes.phase(fx.genotypes(spark, sf), _windows(spark, sf)), fx.samples(spark, sf))
+
+
+@query()
+def haplotype_quantitative(spark, sf):
+    return haplotypes.haplotype_quantitative(haplotypes.phase(fx.genotypes(spark, sf), _windows(spark, sf)), fx.samples(spark, sf))
+
+
+@query()
+def haplotype_impute(spark, sf):
+    return haplotypes.impute(fx.genotypes(spark, sf), _windows(spark, sf))
+
+
+@query()
+def mishap(spark, sf):
+    return haplotypes.mishap(fx.genotypes(spark, sf), fx.variants(spark, sf))
+
+
+def _chr_sets(spark, sf):
+    return fx.variants(spark, sf).select("vid", F.concat(F.lit("chr"), F.col("chr").cast("string")).alias("set_name"))
+
+
+@query()
+def ld_set_test(spark, sf):
+    g = fx.genotypes(spark, sf)
+    return sets.ld_set_test(assoc.allelic(g, fx.samples(spark, sf)), pairs.ld(g), _chr_sets(spark, sf), 0.01)
+
+
+@query()
+def set_screen(spark, sf):
+    g = fx.genotypes(spark, sf)
+    return sets.set_screen(assoc.allelic(g, fx.samples(spark, sf)), pairs.ld(g), _chr_sets(spark, sf))
+
+
+@query()
+def set_stepwise(spark, sf):
+    return sets.stepwise(fx.genotypes(spark, sf), _chr_sets(spark, sf), fx.samples(spark, sf))
+
+
+@query()
+def vif_prune(spark, sf):
+    return sets.vif_prune(fx.genotypes(spark, sf), fx.variants(spark, sf), 16, 1.05)
+
+
+@query()
+def gene_pair_test(spark, sf):
+    s = _chr_sets(spark, sf)
+    names = [f"chr{i}" for i in range(1, 5)]
+    todo = spark.createDataFrame([(a, b) for i, a in enumerate(names) for b in names[i + 1 :]], "set1 string, set2 string")
+    return sets.gene_pair_test(fx.genotypes(spark, sf), s, fx.samples(spark, sf), todo)
+
+
+@query()
+def genotype_mh(spark, sf):
+    return sets.genotype_mh(fx.genotypes(spark, sf), _strata(spark, sf))
+
+
+@query()
+def generic_variants(spark, sf):
+    d = F.col("dosage")
+    gv = fx.genotypes(spark, sf).select("sample_id", F.concat(F.lit("v"), F.col("vid").cast("string")).alias("name"), d.alias("dose1"), (2 - d + F.col("sample_id") % 2).alias("dose2"))
+    return sets.generic_variant_tests(gv, fx.samples(spark, sf), "linear")
+
+
+@query(f"{_IBS}, d AS (SELECT i, j, (0.5 * ibs1 + ibs2) / (ibs0 + ibs1 + ibs2)::DOUBLE AS dst FROM ib);;SELECT CASE WHEN a.aff AND b.aff THEN 'AFF/AFF' WHEN NOT a.aff AND NOT b.aff THEN 'UNAFF/UNAFF' ELSE 'AFF/UNAFF' END AS grp, count(*) AS n, avg(dst) AS mean, stddev_samp(dst) AS sd FROM d JOIN s a ON a.sample_id = i JOIN s b ON b.sample_id = j GROUP BY 1", "mean sd")
+def ibs_groups(spark, sf):
+    return relatives.ibs_groups(pairs.ibs(fx.genotypes(spark, sf)), fx.samples(spark, sf))
+
+
+@query()
+def ibs_test(spark, sf):
+    return relatives.ibs_test(pairs.ibs(fx.genotypes(spark, sf)), fx.samples(spark, sf), 20)
+
+
+@query()
+def genome_groups(spark, sf):
+    return relatives.groups(pairs.ibs(fx.genotypes(spark, sf)), 0.72, "dst")
+
+
 @query()
 def random_forest(spark, sf):
     return ranking.forest_scores(fx.instances(spark, sf), trees=30, depth=5)
