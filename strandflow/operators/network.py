@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.stats import div, upper_tail
+from strandflow.lineage import cut
 
 #: Attributes whose matrix the driver takes.
 MOST = 20_000
@@ -19,9 +20,9 @@ MOST = 20_000
 def pair_moments(num: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """i, j (i <= j), n and sums over samples that have both attributes."""
     a = num.select("sample_id", *by, F.col("attr_id").alias("i"), F.col("value").alias("a")).where("a is not null")
-    b = num.select("sample_id", F.col("attr_id").alias("j"), F.col("value").alias("b")).where("b is not null")
+    b = num.select("sample_id", *by, F.col("attr_id").alias("j"), F.col("value").alias("b")).where("b is not null")
     x, y = F.col("a"), F.col("b")
-    return a.join(b, "sample_id").where("i <= j").groupBy(*by, "i", "j").agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("sa"), F.sum(y).alias("sb"), F.sum(x * x).alias("saa"), F.sum(y * y).alias("sbb"), F.sum(x * y).alias("sab"))
+    return a.join(b, ["sample_id", *by]).where("i <= j").groupBy(*by, "i", "j").agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("sa"), F.sum(y).alias("sb"), F.sum(x * x).alias("saa"), F.sum(y * y).alias("sbb"), F.sum(x * y).alias("sab"))
 
 
 def covariance(num: DataFrame) -> DataFrame:
@@ -233,6 +234,30 @@ def ripm(a: np.ndarray, most: int, least: int, order: int = 2) -> np.ndarray:
     return module
 
 
+def permuted_ranks(num: DataFrame, s: DataFrame, n: int, q: float = 0.95, seed: int = 1) -> DataFrame:
+    """attribute, score, threshold: centrality in the differential network, and its floor-index quantile under label shuffles.
+
+    All replicates' correlations are one aggregation; the driver takes one square matrix at a time.
+    """
+    from strandflow.operators.permutation import shuffled
+
+    spark = s.sparkSession
+    reps = spark.range(1, n + 1).select(F.col("id").cast("int").alias("rep"))
+    labels = shuffled(s, "aff", reps, seed).unionByName(s.select(F.lit(0).alias("rep"), "sample_id", F.col("aff").alias("label"))).withColumnRenamed("label", "aff")
+    c, sa, sb, saa, sbb, sab = (F.col(x) for x in ("n", "sa", "sb", "saa", "sbb", "sab"))
+    x = pair_moments(num.join(labels, "sample_id"), ("rep", "aff"))
+    x = x.where("i < j").select("rep", "aff", "i", "j", "n", div(c * sab - sa * sb, F.sqrt((c * saa - sa * sa) * (c * sbb - sb * sb))).alias("r"))
+    pick = lambda k, v: F.max(F.when(F.col("aff") == v, F.col(k)))
+    x = x.groupBy("rep", "i", "j").agg(pick("r", True).alias("r1"), pick("r", False).alias("r2"), pick("n", True).alias("n1"), pick("n", False).alias("n2")).where("n1 > 3 and n2 > 3 and abs(r1) < 1 and abs(r2) < 1")
+    z = F.abs(_atanh(F.col("r1")) - _atanh(F.col("r2"))) / F.sqrt(1 / (F.col("n1") - 3) + 1 / (F.col("n2") - 3))
+    x = cut(x.select("rep", "i", "j", z.alias("weight")), "ranks")
+    names, m = matrix(x.where("rep = 0").drop("rep"))
+    seen = snprank(m)
+    null = np.sort(np.stack([snprank(matrix(x.where(F.col("rep") == k).drop("rep"))[1]) for k in range(1, n + 1)]), axis=0)
+    bound = null[min(n - 1, int(q * n))]
+    return spark.createDataFrame([(int(a), float(b), float(t)) for a, b, t in zip(names, seen, bound, strict=True)], "attribute int, score double, threshold double")
+
+
 def deconvolve(m: np.ndarray, keep: float = 1.0, beta: float = 0.9, control: bool = False) -> np.ndarray:
     """Direct weights behind a matrix of direct and indirect ones: eigenvalues l / (scale + l), scaled to 0..1."""
     a = m - np.diag(np.diag(m))

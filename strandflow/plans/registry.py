@@ -692,6 +692,11 @@ def node_degree(spark, sf):
     return network.degrees(_edges(spark, sf))
 
 
+@query()
+def permuted_ranks(spark, sf):
+    return network.permuted_ranks(fx.numerics(spark, sf), fx.samples(spark, sf), 5)
+
+
 @query()
 def snprank(spark, sf):
     gain = network.dcgain(fx.numerics(spark, sf), fx.samples(spark, sf)).select("i", "j", F.col("z").alias("weight"))
@@ -734,6 +739,36 @@ def eqtl_scan(spark, sf):
     return models.eqtl(fx.genotypes(spark, sf), fx.numerics(spark, sf))
 
 
+def _cis(spark, sf):
+    """Attributes' places: a fourth of them on each chromosome, a thousand bases apart."""
+    a = fx.numerics(spark, sf).select("attr_id").distinct()
+    t = a.select(F.col("attr_id").alias("attr"), (F.col("attr_id") % 4 + 1).cast("int").alias("chr"), (F.col("attr_id") * 1000).alias("start"), (F.col("attr_id") * 1000 + 800).alias("stop"))
+    return joins.radius_join(fx.variants(spark, sf).drop("name"), t, 4000).select(F.col("attr").alias("attr_id"), "vid")
+
+
+@query("t AS (SELECT DISTINCT attr_id, attr_id % 4 + 1 AS chr, attr_id * 1000 AS start, attr_id * 1000 + 800 AS stop FROM num), cs AS (SELECT attr_id, vid FROM v JOIN t ON v.chr = t.chr AND bp BETWEEN start - 4000 AND stop + 4000), q AS (SELECT attr_id, vid, count(*) AS n, var_samp(dosage::DOUBLE) AS vg, var_samp(value) AS vy, covar_samp(dosage::DOUBLE, value) AS cv FROM g JOIN num USING (sample_id) JOIN cs USING (attr_id, vid) WHERE dosage IS NOT NULL GROUP BY 1, 2);;SELECT attr_id, vid, n, cv/vg AS beta, cv/vg / sqrt((vy/vg - pow(cv/vg, 2)) / (n - 2)) AS t FROM q", "beta t", 5)
+def cis_eqtl(spark, sf):
+    return models.eqtl(fx.genotypes(spark, sf), fx.numerics(spark, sf), _cis(spark, sf))
+
+
+def _doses(spark, sf):
+    return fx.numerics(spark, sf).select("sample_id", (F.col("attr_id") + 1).alias("vid"), (F.col("value") + 1).alias("dosage"))
+
+
+@query("q AS (SELECT attr_id + 1 AS vid, count(*)::DOUBLE AS n, var_samp(value + 1) AS vg, var_samp(pheno) AS vy, covar_samp(value + 1, pheno) AS cv FROM num JOIN s USING (sample_id) GROUP BY 1);;" + f"SELECT vid, CAST(n AS BIGINT) AS nanal, cv/vg AS beta, CASE WHEN vid > 1 THEN sqrt({_VAR}) END AS se, cv*cv/(vg*vy) AS r2, CASE WHEN vid > 1 THEN cv/vg / sqrt({_VAR}) END AS t FROM q", "beta se r2 t", 5)
+def dosage_assoc(spark, sf):
+    x = assoc.quantitative(_doses(spark, sf), fx.samples(spark, sf))
+    # The phenotype's own attribute fits without a remainder.
+    return x.withColumns({c: F.when(F.col("vid") > 1, F.col(c)) for c in ("se", "t")})
+
+
+@query("f AS (SELECT attr_id + 1 AS vid, avg((value + 1) / 2) AS f, var_pop((value + 1) / 2) AS vv FROM num GROUP BY 1);;SELECT CAST(vid AS VARCHAR) AS name, f AS freq, 2 * vv / (f * (1 - f)) AS info FROM f", "freq info")
+def dosage_info(spark, sf):
+    from strandflow.sources.text import dosage_info as info
+
+    return info(_doses(spark, sf).select(F.col("vid").cast("string").alias("name"), F.col("dosage").alias("dose")))
+
+
 @query()
 def linear_cov(spark, sf):
     return models.glm(fx.genotypes(spark, sf), fx.samples(spark, sf), "linear", "genotypic", ["sex"])
