@@ -11,7 +11,7 @@ are compared with each other no further, only with the rest; ties go by key, so
 
 Candidates are confirmed on the full sets of 64-bit shingle hashes, best first: in each round every component offers its
 best open pair, confirmed links merge components, pairs within a component are settled, and a last round takes all pairs that are
-left.  Components are found by smallest labels with pointer jumping; nothing of the documents goes to the driver.
+left.  The first ``FIRST`` orders are confirmed before the others are sorted, which then offer only pairs between components.  Components are found by smallest labels with pointer jumping; nothing of the documents goes to the driver.
 
 A region that the range partitioner cuts is compared on either side of the cut; as orders are salted differently, the
 other orders compare what one cut keeps apart.
@@ -37,8 +37,11 @@ VALUES = TREES * SHALLOW
 AGREE, SURE = 60, 88
 #: Rows of one region held at once; central rows that all of a large region are compared with; runners-up of a doubtful edge.
 HELD, CENTRAL, RUNNERS = 4096, 16, 2
-#: Rounds in which each component offers its best pair, before all that is left is confirmed.
-ROUNDS = 4
+#: Orders whose candidates are confirmed before the others are sorted; bits of the map of hashed ids.
+FIRST, BITMAP = 4, 1 << 25
+#: Rounds in which each component offers its best pair, before all that is left is confirmed: after the first orders, and
+#: after the others, few of whose pairs are links.
+ROUNDS = (2, 1)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_607)
@@ -106,8 +109,8 @@ def set_table(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(docs, id_col, text_col).mapInArrow(per_batch(run), SETS)
 
 
-def _orders(classes: DataFrame) -> DataFrame:
-    """ord, key, n, nib: each class in each order; ``ord`` is the order, the values by depth, then a salt."""
+def _orders(classes: DataFrame, trees: range) -> DataFrame:
+    """ord, key, n, nib, label: each class in each order; ``ord`` is the order, the values by depth, then a salt."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keys, n = b.column("key").to_pylist(), b.column("n").to_numpy()
@@ -115,23 +118,26 @@ def _orders(classes: DataFrame) -> DataFrame:
         nib = ((sig[:, ::2] & 15) | ((sig[:, 1::2] & 15) << 4)).astype(np.uint8)
         nibs = [x.tobytes() for x in nib]
         words = sig[:, _ORDER].astype(">u2")
-        ords = [bytes((t,)) + words[i, t].tobytes() + xxhash.xxh3_64_digest(keys[i], seed=t) for t in range(TREES) for i in range(len(keys))]
-        return pa.RecordBatch.from_arrays([pa.array(ords, pa.binary()), pa.array(keys * TREES, pa.binary()), pa.array(np.tile(n, TREES), pa.int64()), pa.array(nibs * TREES, pa.binary())], ["ord", "key", "n", "nib"])
+        ords = [bytes((t,)) + words[i, t].tobytes() + xxhash.xxh3_64_digest(keys[i], seed=t) for t in trees for i in range(len(keys))]
+        times = len(trees)
+        return pa.RecordBatch.from_arrays([pa.array(ords, pa.binary()), pa.array(keys * times, pa.binary()), pa.array(np.tile(n, times), pa.int64()), pa.array(nibs * times, pa.binary()), pa.array(b.column("label").to_pylist() * times, pa.binary())], ["ord", "key", "n", "nib", "label"])
 
-    return classes.select("key", "n", "sig").mapInArrow(per_batch(run), "ord binary, key binary, n long, nib binary")
+    # A class that is a component of its own has no label, which costs nothing in the shuffle.
+    return classes.select("key", "n", "sig", "label").mapInArrow(per_batch(run), "ord binary, key binary, n long, nib binary, label binary")
 
 
 class _Region:
     """Rows of one region in order, and the pairs that they offer."""
 
-    def __init__(self, ords: list[bytes], keys: list[bytes], n: list[int], nibs: list[bytes]):
+    def __init__(self, ords: list[bytes], keys: list[bytes], n: list[int], nibs: list[bytes], labels: list[bytes | None]):
         self.ords, self.keys, self.n = ords, keys, np.array(n)
         packed = np.frombuffer(b"".join(nibs), np.uint8).reshape(len(keys), -1)
         self.nib = np.stack((packed & 15, packed >> 4), axis=2).reshape(len(keys), -1)
         self.out: dict[tuple[bytes, bytes], int] = {}
         self.by_key = np.argsort(np.argsort(np.array(keys, dtype=object), kind="stable"), kind="stable")
-        #: Rows that a central row holds together beyond doubt; -1 for the others.
-        self.group, self.groups = np.full(len(keys), -1), 0
+        #: Rows that are known to be connected, or that a central row holds together beyond doubt; -1 for the others.
+        known = {x: i for i, x in enumerate(dict.fromkeys(x for x in labels if x is not None))}
+        self.group, self.groups = np.array([-1 if x is None else known[x] for x in labels], int), len(known)
 
     def offer(self, i: int, j: int, agree: int) -> None:
         a, b = self.keys[i], self.keys[j]
@@ -144,11 +150,12 @@ class _Region:
         for j, c in enumerate(cols):
             agree[:, j] = (self.nib[rows] == self.nib[c]).sum(axis=1)
         small, large = np.minimum.outer(self.n[rows], self.n[cols]), np.maximum.outer(self.n[rows], self.n[cols])
-        agree[(100 * small < 80 * large) | (agree < AGREE)] = -1
+        one = (self.group[rows][:, None] == self.group[cols][None, :]) & (self.group[rows] >= 0)[:, None]
+        agree[(100 * small < 80 * large) | (agree < AGREE) | one] = -1
         return agree
 
     def go(self, rows: np.ndarray, depth: int) -> None:
-        if len(rows) < 2:
+        if len(rows) < 2 or self.group[rows[0]] >= 0 and (self.group[rows] == self.group[rows[0]]).all():
             return
         if len(rows) <= REGION:
             self.forest(rows)
@@ -177,7 +184,11 @@ class _Region:
         among = self.agreement(top, top)
         for i, j in zip(*np.nonzero(np.triu(among, 1) >= SURE), strict=True):
             lead[lead == lead[j]] = lead[i]
+        for i, j in zip(*np.nonzero(np.triu(self.group[top][:, None] == self.group[top][None, :], 1)), strict=True):
+            if self.group[top[i]] >= 0:
+                lead[lead == lead[j]] = lead[i]
         agree[rows[:, None] == top[None, :]] = -1
+        seen = agree.copy()
         best = agree.argmax(axis=1)
         held = (agree[np.arange(len(rows)), best] >= SURE) & (self.group[rows] < 0)
         self.group[rows[held]] = self.groups + lead[best[held]]
@@ -186,16 +197,18 @@ class _Region:
                 self.group[i] = self.groups + lead[k]
         self.groups += len(top)
         for _ in range(2):
-            best = agree.argmax(axis=1)
-            value = agree[np.arange(len(rows)), best]
+            best = seen.argmax(axis=1)
+            value = seen[np.arange(len(rows)), best]
             for i in np.flatnonzero(value >= AGREE):
                 self.offer(rows[i], top[best[i]], value[i])
-            agree[np.arange(len(rows)), best] = -1
+            seen[np.arange(len(rows)), best] = -1
 
     def forest(self, rows: np.ndarray) -> None:
         """A maximum spanning forest of the agreement, with runners-up of doubtful edges and each row's best partner."""
         if len(rows) == 2:
             i, j = int(rows[0]), int(rows[1])
+            if 0 <= self.group[i] == self.group[j]:
+                return
             if 100 * min(self.n[i], self.n[j]) >= 80 * max(self.n[i], self.n[j]):
                 value = int((self.nib[i] == self.nib[j]).sum())
                 if value >= AGREE:
@@ -204,7 +217,6 @@ class _Region:
         m, rows = len(rows), rows[np.argsort(self.by_key[rows])]
         agree = self.agreement(rows, rows)
         group = self.group[rows]
-        agree[(group[:, None] == group[None, :]) & (group >= 0)[:, None]] = -1
         np.fill_diagonal(agree, -1)
         upper = np.triu(agree, 1)
         a, b = np.nonzero(upper >= AGREE)
@@ -238,11 +250,11 @@ class _Region:
                 break
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """a, b, agree: distinct candidate pairs of classes, a < b."""
+def candidates(classes: DataFrame, trees: range = range(TREES)) -> DataFrame:
+    """a, b, agree: distinct candidate pairs of classes from some of the orders, a < b; none within a label."""
 
     def run(batches):
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], [], [], []]
 
         def flush():
             r = _Region(*held)
@@ -254,7 +266,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         rows: dict[tuple[bytes, bytes], int] = {}
         size = 1 + 2 * SHALLOW
         for b in small_batches(batches, most_rows=8192):
-            for row in zip(*(b.column(c).to_pylist() for c in ("ord", "key", "n", "nib")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("ord", "key", "n", "nib", "label")), strict=True):
                 if held[0] and (held[0][-1][:size] != row[0][:size] or len(held[0]) >= HELD):
                     if len(held[0]) > 1:
                         rows.update(flush())
@@ -271,7 +283,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         if rows:
             yield _pairs(rows)
 
-    rows = _orders(classes)
+    rows = _orders(classes, trees)
     ordered = rows.repartitionByRange("ord").sortWithinPartitions("ord")
     return ordered.mapInArrow(run, "a binary, b binary, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
@@ -317,44 +329,79 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """key, text of the classes ``reps`` (key, rep).
+
+    A bitmap of hashed ids, whose size is fixed, lets few other documents through to the join; the key decides.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1
+    bits = reps.select(slot("rep").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    table = np.zeros(BITMAP, bool)
+    for r in bits.collect():
+        at = (r.bucket - 1) * 32_768
+        part = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        table[at : at + len(part)] = part[: max(0, BITMAP - at)]
+    # Buckets and slots count from 1, bits from 0.
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        s = b.column("s").to_numpy()
+        b = b.filter(pa.array((shared.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool)))
+        texts = b.column("text").to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array([set_key(shingles(t, k)) for t in texts], pa.binary()), b.column("text")], ["key", "text"])
+
+    place = (F.bitmap_bucket_number("s") - 1) * 32_768 + F.bitmap_bit_position("s")
+    rows = docs.withColumn("s", slot("doc_id")).select("text", place.alias("s")).mapInArrow(per_batch(run), "key binary, text binary")
+    return cut(rows.join(reps.select("key"), "key", "left_semi"), "texts").dropDuplicates(["key"])
+
+
 def class_components(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents' sets, the classes (key, rep, n_rows, n), and (key, label) of the classes that have links."""
+    """The documents' sets, the classes (key, rep, n_rows, n), and (key, label) of the classes that were compared.
+
+    The first orders connect most of what is alike; the others, which know the components, offer only pairs between them.
+    """
     sets = cut(set_table(docs, k, id_col, text_col), "sets")
     classes = cut(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    pairs = cut(candidates(classes), "pairs")
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    reps = classes.join(nodes, "key", "left_semi").select("key", "rep")
-    # The texts of the classes that have candidates; a repeated id's other texts have another key.
-    wanted = id_and_text(docs, id_col, text_col).join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
-    texts = cut(_of_key(wanted, k), "texts").dropDuplicates(["key"])
-    labels = cut(nodes.select("key", F.col("key").alias("label")), "labels")
+    labels = None
+    for trees, rounds in zip((range(FIRST), range(FIRST, TREES)), ROUNDS, strict=True):
+        labelled = classes.withColumn("label", F.lit(None).cast("binary")) if labels is None else classes.join(labels.where("not alone").select("key", "label"), "key", "left")
+        pairs = cut(candidates(labelled, trees), "pairs")
+        nodes = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "nodes")
+        texts = _texts(id_and_text(docs, id_col, text_col), classes.join(nodes, "key", "left_semi").select("key", "rep"), k)
+        own = nodes if labels is None else nodes.join(labels.select("key", "label"), "key", "left")
+        own = cut(own.select("key", (F.col("key") if labels is None else F.coalesce("label", "key")).alias("label")), "labels")
+        settled = _settle(pairs, own, texts, k, rounds)
+        if labels is not None:
+            # What was connected before goes along with its component.
+            moves = settled.withColumnRenamed("label", "to").join(own, "key").where("label <> to").select("label", "to").distinct()
+            old = labels.join(nodes, "key", "left_anti").join(moves, "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+            settled = settled.unionByName(old)
+        size = settled.groupBy("label").agg((F.count("*") == 1).alias("alone"))
+        labels = cut(settled.join(size, "label"), "labels")
+    return sets, classes.drop("sig"), labels.select("key", "label")
+
+
+def _settle(pairs: DataFrame, labels: DataFrame, texts: DataFrame, k: int, rounds: int) -> DataFrame:
+    """key, label of the nodes after confirming the pairs in rounds."""
     open_pairs = pairs
-    for turn in range(ROUNDS + 1):
+    for turn in range(rounds + 1):
         placed = open_pairs.join(labels.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
         open_pairs = cut(placed, "open")
         if not open_pairs.limit(1).count():
             break
-        if turn < ROUNDS:
+        if turn < rounds:
             pair = F.struct("agree", "a", "b")
             best = open_pairs.select(F.explode(F.array("la", "lb")).alias("l"), pair.alias("p")).groupBy("l").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
             chosen = cut(best, "chosen")
         else:
             chosen = open_pairs.select("a", "b")
         links = confirm(chosen, texts, k)
-        merged = cut(links.join(open_pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")), "links")
+        merged = cut(links.join(open_pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
         if merged.limit(1).count():
-            new = components(merged.distinct())
-            labels = cut(labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("key", F.coalesce("to", "label").alias("label")), "labels")
+            new = components(merged).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            labels = cut(labels.join(new, "label", "left").select("key", F.coalesce("to", "label").alias("label")), "labels")
         open_pairs = open_pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b", "agree")
-    return sets, classes.drop("sig"), labels
-
-
-def _of_key(rows: DataFrame, k: int) -> DataFrame:
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys, texts = b.column("key").to_pylist(), b.column("text").to_pylist()
-        return b.filter(pa.array([set_key(shingles(t, k)) == key for key, t in zip(keys, texts, strict=True)]))
-
-    return rows.mapInArrow(per_batch(run), rows.schema)
+    return labels
 
 
 def _winners(classes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -95,6 +95,12 @@ def test_large_regions_stay_linear():
         ords.append(b"\0" * 17 + i.to_bytes(8, "big"))
         keys.append(i.to_bytes(16, "big"))
         nibs.append(((x[::2]) | (x[1::2] << 4)).astype(np.uint8).tobytes())
-    r = N._Region(ords, keys, [500] * 3000, nibs)
+    r = N._Region(ords, keys, [500] * 3000, nibs, [None] * 3000)
     r.go(np.arange(3000), N.SHALLOW)
     assert len(r.out) < 12 * 3000 and len({k for p in r.out for k in p}) == 3000
+    half = N._Region(ords, keys, [500] * 3000, nibs, [b"x"] * 1500 + [None] * 1500)
+    half.go(np.arange(3000), N.SHALLOW)
+    assert half.out and not any(max(p) < keys[1500] for p in half.out)
+    one = N._Region(ords, keys, [500] * 3000, nibs, [b"x"] * 3000)
+    one.go(np.arange(3000), N.SHALLOW)
+    assert not one.out
