@@ -80,6 +80,25 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+_KEPT: dict[str, list] = {}
+_NOW = [""]
+
+
+def keeps(group: str, *caches: dict) -> None:
+    """Say which caches a group of operators keeps in a worker."""
+    _KEPT.setdefault(group, []).extend(caches)
+
+
+def use(group: str) -> None:
+    """Empty the caches of all other groups: a worker serves one operator after the other, and has memory for one."""
+    if _NOW[0] != group:
+        _NOW[0] = group
+        for name, caches in _KEPT.items():
+            if name != group:
+                for c in caches:
+                    c.clear()
+
+
 def ascii_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z: exactly what bytes.lower and bytes.split do."""
     return text.lower().split()

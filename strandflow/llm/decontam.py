@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import fresh, id_and_text, small_batches, utf8
+from strandflow.llm.common import fresh, id_and_text, keeps, small_batches, use, utf8
 
 Q, PROBE, STRIDE, SHORTEST = 10, 100, 50, 40
 #: Edits as a share of a probe's length, diagonals of a band, characters of probes in a block, and of text at once.
@@ -187,9 +187,11 @@ class Probes:
 
 
 _BLOCKS: dict[str, Probes] = {}
+keeps("probes", _BLOCKS)
 
 
 def _probes(shared, tag: str) -> Probes:
+    use("probes")
     if tag not in _BLOCKS:
         _BLOCKS.clear()
         _BLOCKS[tag] = Probes(shared.value)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import ascii_words, cut, fresh, id_and_text, per_batch, small_batches, utf8
+from strandflow.llm.common import ascii_words, cut, fresh, id_and_text, keeps, per_batch, small_batches, use, utf8
 
 TREES, SHALLOW, DEEP, REGION = 24, 4, 8, 128
 VALUES = TREES * SHALLOW
@@ -62,10 +62,12 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+keeps("sets", _WORDS)
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
+    use("sets")
     words = ascii_words(text)
     if not words:
         return np.zeros(0, np.uint64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import id_and_text, per_batch, small_batches
+from strandflow.llm.common import id_and_text, keeps, per_batch, small_batches
 
 #: Texts that the scorer is fitted on at most; buckets of words and of measures; passes and rate of its training.
 SAMPLE, WORDS, LEVELS, EPOCHS, RATE = 3000, 1 << 15, 1 << 8, 8, 0.5
@@ -145,6 +145,7 @@ class _Buckets(dict):
 
 
 _BUCKETS = _Buckets()
+keeps("quality", _BUCKETS)
 
 
 def levels(text: bytes) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import id_and_text, per_batch, small_batches
+from strandflow.llm.common import id_and_text, keeps, per_batch, small_batches, use
 
 #: Frequent pre-tokens that are broadcast (each of at most 64 characters: a few MB at most), entries that a task offers.
 FREQUENT, SKETCH = 65_536, 2_048
@@ -122,10 +122,12 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+keeps("ids", _ENCODERS)
 
 
 def encoder(path: str, lengths: dict[str, int] | None = None, tag: str = "") -> Encoder:
-    """One encoder for each file and worker, kept while the worker lives."""
+    """One encoder for each file and worker, kept while the worker needs it."""
+    use("ids")
     if (path, tag) not in _ENCODERS:
         for old in [k for k in _ENCODERS if k[1] and tag and k[1] != tag]:
             del _ENCODERS[old]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import fresh, id_and_text, per_batch, utf8
+from strandflow.llm.common import fresh, id_and_text, keeps, per_batch, use, utf8
 
 WINDOW, STEP = 32, 24
 #: Documents of each class, and clean windows, that the network is fitted on at most; text of a document used in fitting.
@@ -85,9 +85,12 @@ class Network:
         return self.p["ew"][buckets] + chars
 
     def projections(self, words: list[bytes]) -> np.ndarray:
-        """Both directions' gate inputs for each word."""
-        x = self.inputs(words)
-        return np.concatenate([x @ self.p[f"wx{s}"] + self.p[f"bx{s}"] for s in "fb"], axis=1)
+        """Both directions' gate inputs for each word, some thousand words at a time."""
+        out = np.zeros((len(words), 6 * HIDDEN), np.float32)
+        for i in range(0, len(words), 16_384):
+            x = self.inputs(words[i : i + 16_384])
+            out[i : i + 16_384] = np.concatenate([x @ self.p[f"wx{s}"] + self.p[f"bx{s}"] for s in "fb"], axis=1)
+        return out
 
     def run(self, px: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Logits of windows: idx (n, WINDOW) are rows of px; no more is kept than a step needs, but for the states."""
@@ -348,9 +351,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 _SCORERS: dict[str, Scorer | Constant] = {}
+keeps("toxicity", _SCORERS)
 
 
 def _scorer(shared, tag: str) -> Scorer | Constant:
+    use("toxicity")
     if tag not in _SCORERS:
         _SCORERS.clear()
         model = shared.value
