@@ -11,7 +11,8 @@ are compared with each other no further, only with the rest; ties go by key, so
 
 Candidates are confirmed on the full sets of 64-bit shingle hashes, best first: in each round every component offers its
 best open pair, confirmed links merge components, pairs within a component are settled, and a last round takes all pairs that are
-left.  The first ``FIRST`` orders are confirmed before the others are sorted, which then offer only pairs between components.  Components are found by smallest labels with pointer jumping; nothing of the documents goes to the driver.
+left.  The first ``FIRST`` orders are confirmed before all orders are sorted, which then offer only pairs between components.  Rows
+with pairs that a forest held back go on to further passes with ever more runners-up, until no pair is held back.  Components are found by smallest labels with pointer jumping; nothing of the documents goes to the driver.
 
 A region that the range partitioner cuts is compared on either side of the cut; as orders are salted differently, the
 other orders compare what one cut keeps apart.
@@ -36,11 +37,13 @@ VALUES = TREES * SHALLOW
 #: Equal nibbles of VALUES that a pair needs to be a candidate: at a similarity of 0.8 the mean is 78, the deviation 3.8.
 AGREE, SURE = 60, 88
 #: Rows of one region held at once; central rows that all of a large region are compared with; runners-up of a doubtful edge.
-HELD, CENTRAL, RUNNERS = 4096, 16, 2
+HELD, CENTRAL, RUNNERS = 4096, 16, 4
+#: How many times more runners-up each further pass offers, until no region holds a pair back.
+MORE = 8
 #: Orders whose candidates are confirmed before the others are sorted; bits of the map of hashed ids.
 FIRST, BITMAP = 4, 1 << 25
 #: Rounds in which each component offers its best pair, before all that is left is confirmed: after the first orders, and
-#: after the others, few of whose pairs are links.
+#: after all orders, few of whose pairs are links.
 ROUNDS = (2, 1)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -131,11 +134,14 @@ def _orders(classes: DataFrame, trees: range) -> DataFrame:
 class _Region:
     """Rows of one region in order, and the pairs that they offer."""
 
-    def __init__(self, ords: list[bytes], keys: list[bytes], n: list[int], nibs: list[bytes], labels: list[bytes | None]):
+    def __init__(self, ords: list[bytes], keys: list[bytes], n: list[int], nibs: list[bytes], labels: list[bytes | None], runners: int = RUNNERS):
+        self.runners = runners
         self.ords, self.keys, self.n = ords, keys, np.array(n)
         packed = np.frombuffer(b"".join(nibs), np.uint8).reshape(len(keys), -1)
         self.nib = np.stack((packed & 15, packed >> 4), axis=2).reshape(len(keys), -1)
         self.out: dict[tuple[bytes, bytes], int] = {}
+        #: Keys of rows with pairs that a forest did not offer.
+        self.back: set[bytes] = set()
         self.by_key = np.argsort(np.argsort(np.array(keys, dtype=object), kind="stable"), kind="stable")
         #: Rows that are known to be connected, or that a central row holds together beyond doubt; -1 for the others.
         known = {x: i for i, x in enumerate(dict.fromkeys(x for x in labels if x is not None))}
@@ -228,6 +234,8 @@ class _Region:
         for i in range(m):
             if agree[i, best[i]] >= AGREE:
                 self.offer(rows[i], rows[best[i]], agree[i, best[i]])
+        offered = np.zeros((m, m), bool)
+        offered[np.arange(m), best] = True
         label = np.arange(m)
         for k in np.unique(group[group >= 0]):
             label[group == k] = label[group == k][0]
@@ -239,31 +247,39 @@ class _Region:
                 continue
             value = upper[i, j]
             self.offer(rows[i], rows[j], value)
-            if value < SURE:
+            offered[i, j] = True
+            # A further pass is there because what seemed sure may have failed.
+            if value < SURE or self.runners > RUNNERS:
                 p, q = np.flatnonzero(label == x), np.flatnonzero(label == y)
                 cross = agree[np.ix_(p, q)]
-                for f in np.argsort(-cross, axis=None, kind="stable")[: RUNNERS + 1]:
+                for f in np.argsort(-cross, axis=None, kind="stable")[: self.runners + 1]:
                     u, v = divmod(int(f), len(q))
                     if cross[u, v] >= AGREE:
                         self.offer(rows[p[u]], rows[q[v]], cross[u, v])
+                        offered[p[u], q[v]] = True
             label[label == y] = x
             left -= 1
             if not left:
                 break
+        for i in np.flatnonzero(((agree >= AGREE) & ~(offered | offered.T)).any(axis=1)):
+            self.back.add(self.keys[rows[i]])
 
 
-def candidates(classes: DataFrame, trees: range = range(TREES)) -> DataFrame:
-    """a, b, agree: distinct candidate pairs of classes from some of the orders, a < b; none within a label."""
+def candidates(classes: DataFrame, trees: range = range(TREES), runners: int = RUNNERS) -> DataFrame:
+    """a, b, agree: distinct candidate pairs of classes from some of the orders, a < b; none within a label.
+
+    A row without b is a class with pairs that its regions hold back for more runners-up.
+    """
 
     def run(batches):
         held: list[list] = [[], [], [], [], []]
 
         def flush():
-            r = _Region(*held)
+            r = _Region(*held, runners)
             r.go(np.arange(len(held[0])), SHALLOW)
             for x in held:
                 x.clear()
-            return r.out
+            return r.out | {(x, None): -1 for x in r.back}
 
         rows: dict[tuple[bytes, bytes], int] = {}
         size = 1 + 2 * SHALLOW
@@ -360,19 +376,24 @@ def _texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
 def class_components(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' sets, the classes (key, rep, n_rows, n), and (key, label) of the classes that were compared.
 
-    The first orders connect most of what is alike; the others, which know the components, offer only pairs between them.
+    The first orders connect most of what is alike; all orders, which know the components, then offer only pairs between
+    them.  Classes with pairs held back go on, with more runners-up each time, until a pass holds nothing back.
     """
     sets = cut(set_table(docs, k, id_col, text_col), "sets")
     classes = cut(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    labels = None
-    for trees, rounds in zip((range(FIRST), range(FIRST, TREES)), ROUNDS, strict=True):
-        labelled = classes.withColumn("label", F.lit(None).cast("binary")) if labels is None else classes.join(labels.where("not alone").select("key", "label"), "key", "left")
-        pairs = cut(candidates(labelled, trees), "pairs")
+    labels = done = None
+    going, turn = classes, 0
+    while True:
+        labelled = going.withColumn("label", F.lit(None).cast("binary")) if labels is None else going.join(labels.where("not alone").select("key", "label"), "key", "left")
+        offered = cut(candidates(labelled, range(TREES if turn else FIRST), RUNNERS * MORE ** max(0, turn - 1)), "pairs")
+        pairs = offered.where("b is not null")
+        # What was offered before is settled: a link, refuted, or within a component.
+        pairs = pairs if done is None else cut(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         nodes = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "nodes")
         texts = _texts(id_and_text(docs, id_col, text_col), classes.join(nodes, "key", "left_semi").select("key", "rep"), k)
         own = nodes if labels is None else nodes.join(labels.select("key", "label"), "key", "left")
         own = cut(own.select("key", (F.col("key") if labels is None else F.coalesce("label", "key")).alias("label")), "labels")
-        settled = _settle(pairs, own, texts, k, rounds)
+        settled = _settle(pairs, own, texts, k, ROUNDS[min(turn, 1)])
         if labels is not None:
             # What was connected before goes along with its component.
             moves = settled.withColumnRenamed("label", "to").join(own, "key").where("label <> to").select("label", "to").distinct()
@@ -380,7 +401,12 @@ def class_components(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
             settled = settled.unionByName(old)
         size = settled.groupBy("label").agg((F.count("*") == 1).alias("alone"))
         labels = cut(settled.join(size, "label"), "labels")
-    return sets, classes.drop("sig"), labels.select("key", "label")
+        if turn:
+            going = cut(going.join(offered.where("b is null").select(F.col("a").alias("key")), "key", "left_semi"), "going")
+            if not going.limit(1).count():
+                return sets, classes.drop("sig"), labels.select("key", "label")
+        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+        turn += 1
 
 
 def _settle(pairs: DataFrame, labels: DataFrame, texts: DataFrame, k: int, rounds: int) -> DataFrame:

@@ -104,3 +104,20 @@ def test_large_regions_stay_linear():
     one = N._Region(ords, keys, [500] * 3000, nibs, [b"x"] * 3000)
     one.go(np.arange(3000), N.SHALLOW)
     assert not one.out
+
+
+def test_pairs_beyond_the_runners_are_held_back_then_offered():
+    # Two groups known to be connected, whose cross pairs are all doubtful: more runners-up offer them all.
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 16, N.VALUES)
+    nibs, keys = [], [i.to_bytes(16, "big") for i in range(24)]
+    for _ in keys:
+        x = np.where(rng.random(N.VALUES) < 0.1, rng.integers(0, 16, N.VALUES), base)
+        nibs.append((x[::2] | (x[1::2] << 4)).astype(np.uint8).tobytes())
+    args = ([b"\0" * 25] * 24, keys, [500] * 24, nibs, [b"x"] * 12 + [b"y"] * 12)
+    first = N._Region(*args)
+    first.go(np.arange(24), N.SHALLOW)
+    assert len(first.out) < 144 and first.back
+    last = N._Region(*args, N.RUNNERS * N.MORE**2)
+    last.go(np.arange(24), N.SHALLOW)
+    assert len(last.out) == 144 and not last.back
