@@ -6,8 +6,9 @@ order begins with values of its own and goes on with values of the next orders.
 values are a region of an order.  A region of at most ``REGION`` rows is compared as it is; a larger one is compared with
 its most central rows and split by the next value, and so on to ``DEEP`` values, so depth follows density.  Within a
 region the signatures' agreement gives a maximum spanning forest, and its edges, with runners-up wherever an edge is not
-beyond doubt, are the candidates: a few for each row, whatever the region's size.  Rows that are beyond doubt alike to one central row
-are compared with each other no further, only with the rest; ties go by key, so that the orders name the same pairs.
+beyond doubt, are the candidates: a few for each row, whatever the region's size.  In the first orders rows that are
+most likely alike to one central row are compared with each other no further; in all later passes only confirmed links
+make a group.  Ties go by key, so that the orders name the same pairs.
 
 Candidates are confirmed on the full sets of 64-bit shingle hashes, best first: in each round every component offers its
 best open pair, confirmed links merge components, pairs within a component are settled, and a last round takes all pairs that are
@@ -134,8 +135,9 @@ def _orders(classes: DataFrame, trees: range) -> DataFrame:
 class _Region:
     """Rows of one region in order, and the pairs that they offer."""
 
-    def __init__(self, ords: list[bytes], keys: list[bytes], n: list[int], nibs: list[bytes], labels: list[bytes | None], runners: int = RUNNERS):
-        self.runners = runners
+    def __init__(self, ords: list[bytes], keys: list[bytes], n: list[int], nibs: list[bytes], labels: list[bytes | None], runners: int = RUNNERS, known_only: bool = False):
+        #: ``known_only``: rows are one group only by their labels, never by what central rows make likely.
+        self.runners, self.known_only = runners, known_only
         self.ords, self.keys, self.n = ords, keys, np.array(n)
         packed = np.frombuffer(b"".join(nibs), np.uint8).reshape(len(keys), -1)
         self.nib = np.stack((packed & 15, packed >> 4), axis=2).reshape(len(keys), -1)
@@ -143,7 +145,7 @@ class _Region:
         #: Keys of rows with pairs that a forest did not offer.
         self.back: set[bytes] = set()
         self.by_key = np.argsort(np.argsort(np.array(keys, dtype=object), kind="stable"), kind="stable")
-        #: Rows that are known to be connected, or that a central row holds together beyond doubt; -1 for the others.
+        #: Rows that are known to be connected or, in the first orders, that a central row most likely holds together; -1 for the others.
         known = {x: i for i, x in enumerate(dict.fromkeys(x for x in labels if x is not None))}
         self.group, self.groups = np.array([-1 if x is None else known[x] for x in labels], int), len(known)
 
@@ -181,35 +183,39 @@ class _Region:
                 first = i
 
     def centre(self, rows: np.ndarray) -> None:
-        """Each row with the two of the region's most central rows that it agrees with best."""
+        """Each row with the two of the region's most central rows that it agrees with best, with all in further passes."""
         flat = np.bincount((self.nib[rows] + 16 * np.arange(VALUES)).ravel(), minlength=16 * VALUES).reshape(VALUES, 16)
         mode = flat.argmax(axis=1)
         near = (self.nib[rows] == mode).sum(axis=1)
         top = rows[np.lexsort((self.by_key[rows], -near))[:CENTRAL]]
         agree = self.agreement(rows, top)
-        # Central rows that are beyond doubt alike are one; a row belongs to the one it agrees with best, if beyond doubt.
-        lead = np.arange(len(top))
-        among = self.agreement(top, top)
-        for i, j in zip(*np.nonzero(np.triu(among, 1) >= SURE), strict=True):
-            lead[lead == lead[j]] = lead[i]
-        for i, j in zip(*np.nonzero(np.triu(self.group[top][:, None] == self.group[top][None, :], 1)), strict=True):
-            if self.group[top[i]] >= 0:
-                lead[lead == lead[j]] = lead[i]
         agree[rows[:, None] == top[None, :]] = -1
         seen = agree.copy()
-        best = agree.argmax(axis=1)
-        held = (agree[np.arange(len(rows)), best] >= SURE) & (self.group[rows] < 0)
-        self.group[rows[held]] = self.groups + lead[best[held]]
-        for k, i in enumerate(top):
-            if self.group[i] < 0:
-                self.group[i] = self.groups + lead[k]
-        self.groups += len(top)
-        for _ in range(2):
+        if not self.known_only:
+            # Central rows that are beyond doubt alike are one; a row belongs to the one it agrees with best, if beyond doubt.
+            lead = np.arange(len(top))
+            among = self.agreement(top, top)
+            for i, j in zip(*np.nonzero(np.triu(among, 1) >= SURE), strict=True):
+                lead[lead == lead[j]] = lead[i]
+            for i, j in zip(*np.nonzero(np.triu(self.group[top][:, None] == self.group[top][None, :], 1)), strict=True):
+                if self.group[top[i]] >= 0:
+                    lead[lead == lead[j]] = lead[i]
+            best = agree.argmax(axis=1)
+            held = (agree[np.arange(len(rows)), best] >= SURE) & (self.group[rows] < 0)
+            self.group[rows[held]] = self.groups + lead[best[held]]
+            for k, i in enumerate(top):
+                if self.group[i] < 0:
+                    self.group[i] = self.groups + lead[k]
+            self.groups += len(top)
+        for _ in range(2 if self.runners == RUNNERS else CENTRAL):
             best = seen.argmax(axis=1)
             value = seen[np.arange(len(rows)), best]
             for i in np.flatnonzero(value >= AGREE):
                 self.offer(rows[i], top[best[i]], value[i])
             seen[np.arange(len(rows)), best] = -1
+        if self.known_only:
+            for i, k in zip(*np.nonzero(seen >= AGREE), strict=True):
+                self.back |= {self.keys[rows[i]], self.keys[top[k]]}
 
     def forest(self, rows: np.ndarray) -> None:
         """A maximum spanning forest of the agreement, with runners-up of doubtful edges and each row's best partner."""
@@ -265,7 +271,7 @@ class _Region:
             self.back.add(self.keys[rows[i]])
 
 
-def candidates(classes: DataFrame, trees: range = range(TREES), runners: int = RUNNERS) -> DataFrame:
+def candidates(classes: DataFrame, trees: range = range(TREES), runners: int = RUNNERS, known_only: bool = False) -> DataFrame:
     """a, b, agree: distinct candidate pairs of classes from some of the orders, a < b; none within a label.
 
     A row without b is a class with pairs that its regions hold back for more runners-up.
@@ -275,7 +281,7 @@ def candidates(classes: DataFrame, trees: range = range(TREES), runners: int = R
         held: list[list] = [[], [], [], [], []]
 
         def flush():
-            r = _Region(*held, runners)
+            r = _Region(*held, runners, known_only)
             r.go(np.arange(len(held[0])), SHALLOW)
             for x in held:
                 x.clear()
@@ -385,7 +391,7 @@ def class_components(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
     going, turn = classes, 0
     while True:
         labelled = going.withColumn("label", F.lit(None).cast("binary")) if labels is None else going.join(labels.where("not alone").select("key", "label"), "key", "left")
-        offered = cut(candidates(labelled, range(TREES if turn else FIRST), RUNNERS * MORE ** max(0, turn - 1)), "pairs")
+        offered = cut(candidates(labelled, range(TREES if turn else FIRST), RUNNERS * MORE ** max(0, turn - 1), turn > 0), "pairs")
         pairs = offered.where("b is not null")
         # What was offered before is settled: a link, refuted, or within a component.
         pairs = pairs if done is None else cut(pairs.join(done, ["a", "b"], "left_anti"), "pairs")

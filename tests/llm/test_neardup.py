@@ -121,3 +121,25 @@ def test_pairs_beyond_the_runners_are_held_back_then_offered():
     last = N._Region(*args, N.RUNNERS * N.MORE**2)
     last.go(np.arange(24), N.SHALLOW)
     assert len(last.out) == 144 and not last.back
+
+
+def test_only_confirmed_links_group_rows_after_the_first_orders():
+    # 200 rows that agree with their centre in over SURE nibbles, none of which is confirmed: all pairs stay open.
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 16, N.VALUES)
+    nibs, keys = [], [i.to_bytes(16, "big") for i in range(200)]
+    for _ in keys:
+        x = base.copy()
+        x[rng.choice(N.VALUES, 4, replace=False)] += 1
+        nibs.append((x[::2] % 16 | (x[1::2] % 16 << 4)).astype(np.uint8).tobytes())
+    # The next value parts the rows into two regions that are compared as they are.
+    args = ([b"\0" * 9 + bytes((0, i // 100)) + b"\0" * 14 for i in range(200)], keys, [500] * 200, nibs, [None] * 200)
+    first = N._Region(*args)
+    first.go(np.arange(200), N.SHALLOW)
+    assert not set(keys) <= first.back
+    later = N._Region(*args, N.RUNNERS * N.MORE**4, True)
+    later.go(np.arange(200), N.SHALLOW)
+    assert {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if keys.index(a) // 100 == keys.index(b) // 100} <= set(later.out)
+    named = N._Region(*args[:4], [b"x"] * 200, N.RUNNERS, True)
+    named.go(np.arange(200), N.SHALLOW)
+    assert not named.out
