@@ -127,6 +127,14 @@ def test_lm_is_a_distribution_causal_and_scores_each_id_once():
     assert np.allclose(m.log10s(streams), [m.log10s([s])[0] for s in streams], atol=1e-3)
 
 
+def test_lm_later_windows_give_each_id_four_before_it():
+    m, streams = small_model()
+    assert lm.WINDOW - lm.STEP >= 4
+    for n in (17, 28, 29, 61):
+        _, _, ok = m.windows(np.arange(n) % 40)
+        assert ok.sum() == n and not ok[1:, :4].any()
+
+
 def test_lm_base_scores_equal_plain_counts(spark, odd_docs):
     rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in odd_docs.collect()]
     counts = Counter()
