@@ -9,6 +9,10 @@ itself, finds most toxic, and a clean one with all its windows.  The network is
 documents of each class, the first in an order of hashed ids, and at most ``WINDOWS`` clean windows.  Every window of every
 document is scored.  Only the text enters a score.
 
+A score is the text's alone, whatever texts share its batch: states are rounded to ``STATE`` bits and weights to as many bits
+as keep every product sum exact in single precision, so a matrix product is the same in any order, shape and place; all
+else works element by element.
+
 Defined results: null and empty texts get the score of an empty window; equal texts get equal scores; null labels and labels without a document
 teach nothing; without labels of both classes every score is the share of toxic labels, 0 without any; repeated rows are
 scored each; an empty table gives an empty result; further columns are ignored.
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import fresh, id_and_text, keeps, per_batch, use, utf8
 
 WINDOW, STEP = 32, 24
-#: Documents of each class, and clean windows, that the network is fitted on at most; text of a document used in fitting.
-SAMPLE, WINDOWS = 1500, 16_000
+#: Documents of each class, and clean windows, that the network is fitted on at most; bytes of a document that is fitted on.
+SAMPLE, WINDOWS, LONGEST = 1500, 16_000, 1 << 15
+#: Bits after the point of a state when scoring, and of inputs and their weights, whose products are summed in double precision.
+STATE, INPUT = 11, 16
 WORDS, TRIGRAMS, DIM, HIDDEN, EPOCHS, BATCH, RATE = 1 << 15, 1 << 13, 16, 8, 6, 128, 0.01
 _STRIP = b".,;:!?\"'()[]{}<>*#&%$|-_"
 #: Words whose projections a worker keeps.
@@ -63,6 +69,16 @@ def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _rounded(x: np.ndarray, bits: int) -> np.ndarray:
+    return np.rint(x * x.dtype.type(1 << bits)) * x.dtype.type(2.0**-bits)
+
+
+def _exact(w: np.ndarray) -> np.ndarray:
+    """Weights rounded so that sums of their products with states in [-1, 1] of STATE bits have at most 24 bits."""
+    most = float(np.abs(w).sum(axis=0).max())
+    return _rounded(w, max(0, 24 - STATE - 1 - int(np.ceil(np.log2(most + 1e-9)))))
+
+
 class Network:
     """Parameters, and forward and backward passes over windows given as matrices of word rows."""
 
@@ -87,9 +103,10 @@ class Network:
     def projections(self, words: list[bytes]) -> np.ndarray:
         """Both directions' gate inputs for each word, some thousand words at a time."""
         out = np.zeros((len(words), 6 * HIDDEN), np.float32)
+        weights = [_rounded(self.p[f"wx{s}"].astype(np.float64), INPUT) for s in "fb"]
         for i in range(0, len(words), 16_384):
-            x = self.inputs(words[i : i + 16_384])
-            out[i : i + 16_384] = np.concatenate([x @ self.p[f"wx{s}"] + self.p[f"bx{s}"] for s in "fb"], axis=1)
+            x = _rounded(self.inputs(words[i : i + 16_384]).astype(np.float64), INPUT)
+            out[i : i + 16_384] = np.concatenate([x @ w + self.p[f"bx{s}"] for s, w in zip("fb", weights, strict=True)], axis=1)
         return out
 
     def run(self, px: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -98,23 +115,29 @@ class Network:
         steps = max(1, int(lengths.max(initial=0)))
         states = np.zeros((steps, n, 2 * h), np.float32)
         for s, order in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
-            u, state = self.p["uh" + "fb"[s]], np.zeros((n, h), np.float32)
+            u, state = _exact(self.p["uh" + "fb"[s]]), np.zeros((n, h), np.float32)
             for t in order:
                 x = px[idx[:, t], 3 * h * s : 3 * h * (s + 1)]
                 y = state @ u
                 gate = _sigmoid(x[:, : 2 * h] + y[:, : 2 * h])
                 new = np.tanh(x[:, 2 * h :] + gate[:, h:] * y[:, 2 * h :])
                 new += gate[:, :h] * (state - new)
+                new = _rounded(new, STATE)
                 on = (t < lengths)[:, None]
                 state = np.where(on, new, state) if not on.all() else new
                 states[t, :, s * h : (s + 1) * h] = state
-        a = np.tanh(states @ self.p["wa"] + self.p["ba"]) @ self.p["va"]
+        a = _rounded(np.tanh(states @ _exact(self.p["wa"]) + self.p["ba"]), STATE) @ _exact(self.p["va"])
         a = np.where(np.arange(steps)[:, None] < lengths[None, :], a, np.float32(-1e9))
         a = np.exp(a - a.max(axis=0))
-        a /= a.sum(axis=0)
-        pooled = np.einsum("tn,tnh->nh", a, states)
-        pooled[lengths == 0] = 0
-        return pooled @ self.p["wo"] + self.p["bo"][0]
+        # Sums step by step, not by a reduction whose order may follow the shape.
+        total, pooled = np.zeros(n, np.float32), np.zeros((n, 2 * h), np.float32)
+        for t in range(steps):
+            total += a[t]
+            pooled += a[t][:, None] * states[t]
+        out = np.full(n, self.p["bo"][0], np.float32)
+        for j in range(2 * h):
+            out += np.where(lengths > 0, pooled[:, j] / total, np.float32(0)) * self.p["wo"][j]
+        return out
 
     def learn(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of the weighted log loss for inputs x (n, WINDOW, DIM); those of x; the loss."""
@@ -327,7 +350,10 @@ class Constant:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", only=None) -> Network | Constant:
-    """Fit on a bounded sample of the labelled rows for which ``only`` (a condition on ``doc_id``) holds."""
+    """Fit on a bounded sample of the labelled rows for which ``only`` (a condition on ``doc_id``) holds.
+
+    Of the sampled documents those of at most ``LONGEST`` bytes teach, so what comes to the driver has a bound in bytes.
+    """
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if only is not None:
         marks = marks.where(only(F.col("doc_id")))
@@ -342,7 +368,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             ids[r.doc_id] = max(r.y, ids.get(r.doc_id, 0))
     # At most 2 * SAMPLE ids: a bounded broadcast.  A repeated id teaches once.
     chosen = spark.createDataFrame(list(ids.items()), "doc_id long, y int")
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
+    rows = id_and_text(docs, id_col, text_col).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
     rows.sort(key=lambda r: r.doc_id)
     y = [r.y for r in rows]
     if len(set(y)) < 2:

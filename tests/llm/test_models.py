@@ -42,6 +42,48 @@ def test_toxicity_gradients():
     assert abs((up - net.learn(x, lengths, y, w)[2]) / 2e-4 - dx[1, 2, 4]) < 1e-4
 
 
+def test_toxicity_scores_are_the_texts_alone():
+    import pandas as pd
+
+    texts = [t.encode() for t in pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text] + [b"", b"a", b"same", b"same"]
+    g = np.random.default_rng(5)
+    net = toxicity.fit(texts, (g.random(len(texts)) < 0.2).astype(int).tolist(), (4, 1))
+    want = toxicity.Scorer(net).scores(texts)
+    assert len(set(want.tolist())) > 50
+    for k in (3, 20, 200):
+        order, got, scorer = g.permutation(len(texts)), np.zeros(len(texts)), toxicity.Scorer(net)
+        for part in np.array_split(order, k):
+            got[part] = scorer.scores([texts[i] for i in part])
+        assert (got == want).all()
+    # A plain version: one window, one unit at a time, in double precision.
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def logit(words):
+        if not words:
+            return p["bo"][0]
+        x = net.inputs(words).astype(float)
+        states = []
+        for s, seq in (("f", x), ("b", x[::-1])):
+            h, out = np.zeros(toxicity.HIDDEN), []
+            for v in seq:
+                gz, gr, gn = np.split(v @ p[f"wx{s}"] + p[f"bx{s}"], 3)
+                hz, hr, hn = np.split(h @ p[f"uh{s}"], 3)
+                z, r = sig(gz + hz), sig(gr + hr)
+                new = np.tanh(gn + r * hn)
+                h = new + z * (h - new)
+                out.append(h)
+            states.append(out if s == "f" else out[::-1])
+        both = np.concatenate(states, axis=1)
+        a = np.exp(np.tanh(both @ p["wa"] + p["ba"]) @ p["va"])
+        return (a / a.sum()) @ both @ p["wo"] + p["bo"][0]
+
+    for i in [*range(0, len(texts), 9), -4, -3, -2, -1]:
+        words = texts[i].lower().split()
+        top = max(logit(words[a:b]) for a, b in toxicity.windows(len(words)))
+        assert abs(sig(net.scale * top + net.shift) - want[i]) < 5e-3
+
+
 def test_toxicity_windows_cover_all_words():
     for n in (0, 1, 31, 32, 33, 56, 57, 1000):
         w = toxicity.windows(n)
