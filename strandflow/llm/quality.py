@@ -4,7 +4,7 @@ Overlapping heuristic labellers each vote good, bad or nothing on every text.  D
 together, all documents of the table, and expectation-maximisation on those counts (at most three to the power of the labellers)
 estimates each labeller's accuracy and the share of good documents; a document's posterior is its weak label.  A logistic
 scorer over hashed words and hashed levels of the texts' measures is then fitted on the posteriors of a bounded sample of
-``SAMPLE`` documents, the first in an order of hashed ids, and scores every whole text.  No label is read.
+``SAMPLE`` documents, the first in an order of hashed ids, of which those of at most ``LONGEST`` bytes teach, and scores every whole text.  No label is read.
 
 Defined results: null and empty texts get the vote of a short text and its score; equal texts get equal scores; repeated
 rows are scored each; a null id takes part but not in the sample; an empty table gives an empty result; further columns are ignored.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from strandflow.llm.common import id_and_text, keeps, per_batch, small_batches
 
-#: Texts that the scorer is fitted on at most; buckets of words and of measures; passes and rate of its training.
-SAMPLE, WORDS, LEVELS, EPOCHS, RATE = 3000, 1 << 15, 1 << 8, 8, 0.5
+#: Texts that the scorer is fitted on at most, and bytes of such a text; buckets of words and of measures; passes and rate.
+SAMPLE, LONGEST, WORDS, LEVELS, EPOCHS, RATE = 3000, 1 << 15, 1 << 15, 1 << 8, 8, 0.5
 KEEP = 0.5
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _SIGNS = b"#*%$&|<>{}[]\\^~=_@"
@@ -194,7 +194,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         return weak, Scorer()
     # At most SAMPLE ids: a bounded broadcast.  A repeated id teaches once.
     chosen = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "doc_id long")
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    rows = texts.where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     sample = [bytes(r.text) for r in sorted(rows, key=lambda r: r.doc_id)]
     return weak, Scorer().fit(sample, np.array([weak.posterior(votes(t)) for t in sample]))
 
