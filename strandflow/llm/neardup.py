@@ -3,20 +3,23 @@
 A document's set is its distinct shingles of ``k`` words; equal sets form a class, and from there on only one row of each
 class goes on.  Each class has a signature of ``VALUES`` min-hashes and a row in each of ``TREES`` sorted orders of it: an
 order begins with values of its own and goes on with values of the next orders.  Rows that share the first ``SHALLOW``
-values are a region of an order.  A region of at most ``REGION`` rows is compared as it is; a larger one is compared with
-its most central rows and split by the next value, and so on to ``DEEP`` values, so depth follows density.  Within a
-region the signatures' agreement gives a maximum spanning forest, and its edges, with runners-up wherever an edge is not
-beyond doubt, are the candidates: a few for each row, whatever the region's size.  In the first orders rows that are
-most likely alike to one central row are compared with each other no further; in all later passes only confirmed links
-make a group.  Ties go by key, so that the orders name the same pairs.
-
-Candidates are confirmed on the full sets of 64-bit shingle hashes, best first: in each round every component offers its
-best open pair, confirmed links merge components, pairs within a component are settled, and a last round takes all pairs that are
-left.  The first ``FIRST`` orders are confirmed before all orders are sorted, which then offer only pairs between components.  Rows
-with pairs that a forest held back go on to further passes with ever more runners-up, until no pair is held back.  Components are found by smallest labels with pointer jumping; nothing of the documents goes to the driver.
+values are a region of an order, and candidates are the pairs of a region whose signatures agree well enough.
+
+The first ``FIRST`` orders connect most of what is alike at little cost: a region of at most ``REGION`` rows is compared as
+it is; a larger one is compared with its most central rows and split by the next value, and so on to ``DEEP`` values, so
+depth follows density.  A maximum spanning forest of the agreement names the candidates, with runners-up wherever an edge
+is not beyond doubt.  Nothing has to be found there.
 
-A region that the range partitioner cuts is compared on either side of the cut; as orders are salted differently, the
-other orders compare what one cut keeps apart.
+Then all orders are sorted again, with the components known, and every pair of every region that lies between two
+components is looked at.  Small regions offer a forest with runners-up; whatever pair is not offered, in small regions and
+large, holds its two rows back.  Regions that are too large for a task, or that the range partitioner may have cut, are
+put together again and compared in blocks, every pair of blocks.  Rows held back are brought together by region with
+their texts, and all their pairs are decided there on the full sets, so no pair is lost to a forest, a window or a cut.
+Rows of a region's largest component are only compared with the others, so a large component costs what it has, not its square.
+
+Offered pairs are confirmed on the full sets of 64-bit shingle hashes, best first: in each round every component offers its
+best open pair, confirmed links merge components, pairs within a component are settled, and a last round takes all pairs that are
+left.  Components are found by smallest labels with pointer jumping; nothing of the documents goes to the driver.
 
 Defined results: a text without words, empty or null has the empty set and links with nothing; one of fewer than ``k``
 words is one shingle; repeated rows have equal results; a null id never is a component's id unless no row has one;
@@ -39,8 +42,8 @@ VALUES = TREES * SHALLOW
 AGREE, SURE = 60, 88
 #: Rows of one region held at once; central rows that all of a large region are compared with; runners-up of a doubtful edge.
 HELD, CENTRAL, RUNNERS = 4096, 16, 4
-#: How many times more runners-up each further pass offers, until no region holds a pair back.
-MORE = 8
+#: Rows and shingles of a block where a region is compared in blocks.
+BLOCK, SHINGLES = 2048, 1 << 20
 #: Orders whose candidates are confirmed before the others are sorted; bits of the map of hashed ids.
 FIRST, BITMAP = 4, 1 << 25
 #: Rounds in which each component offers its best pair, before all that is left is confirmed: after the first orders, and
@@ -135,15 +138,14 @@ def _orders(classes: DataFrame, trees: range) -> DataFrame:
 class _Region:
     """Rows of one region in order, and the pairs that they offer."""
 
-    def __init__(self, ords: list[bytes], keys: list[bytes], n: list[int], nibs: list[bytes], labels: list[bytes | None], runners: int = RUNNERS, known_only: bool = False):
-        #: ``known_only``: rows are one group only by their labels, never by what central rows make likely.
-        self.runners, self.known_only = runners, known_only
-        self.ords, self.keys, self.n = ords, keys, np.array(n)
+    def __init__(self, ords: list[bytes], keys: list[bytes], n: list[int], nibs: list[bytes], labels: list[bytes | None]):
+        self.ords, self.keys, self.n, self.nibs, self.labels = ords, keys, np.array(n), nibs, labels
         packed = np.frombuffer(b"".join(nibs), np.uint8).reshape(len(keys), -1)
         self.nib = np.stack((packed & 15, packed >> 4), axis=2).reshape(len(keys), -1)
+        self.columns = np.ascontiguousarray(self.nib.T)
         self.out: dict[tuple[bytes, bytes], int] = {}
-        #: Keys of rows with pairs that a forest did not offer.
-        self.back: set[bytes] = set()
+        #: Rows with pairs that were not offered.
+        self.back: set[int] = set()
         self.by_key = np.argsort(np.argsort(np.array(keys, dtype=object), kind="stable"), kind="stable")
         #: Rows that are known to be connected or, in the first orders, that a central row most likely holds together; -1 for the others.
         known = {x: i for i, x in enumerate(dict.fromkeys(x for x in labels if x is not None))}
@@ -155,15 +157,48 @@ class _Region:
             self.out[(a, b) if a < b else (b, a)] = int(agree)
 
     def agreement(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        """Equal nibbles of rows and cols; -1 where the sets' sizes rule a link out or rows repeat."""
-        agree = np.empty((len(rows), len(cols)), np.int16)
-        for j, c in enumerate(cols):
-            agree[:, j] = (self.nib[rows] == self.nib[c]).sum(axis=1)
+        """Equal nibbles of rows and cols; -1 where the sets' sizes rule a link out or rows are known to be connected."""
+        if len(rows) * len(cols) <= 512:
+            agree = (self.nib[rows][:, None, :] == self.nib[cols][None, :, :]).sum(axis=2, dtype=np.int16)
+        else:
+            agree = np.empty((len(rows), len(cols)), np.int16)
+            step = max(1, (1 << 18) // len(cols))
+            x, y = self.columns[:, rows], self.columns[:, cols]
+            for i in range(0, len(rows), step):
+                part = np.zeros((len(rows[i : i + step]), len(cols)), np.uint8)
+                same = np.empty(part.shape, bool)
+                for v in range(VALUES):
+                    np.equal(x[v, i : i + step, None], y[v], out=same)
+                    part += same.view(np.uint8)
+                agree[i : i + step] = part
         small, large = np.minimum.outer(self.n[rows], self.n[cols]), np.maximum.outer(self.n[rows], self.n[cols])
         one = (self.group[rows][:, None] == self.group[cols][None, :]) & (self.group[rows] >= 0)[:, None]
         agree[(100 * small < 80 * large) | (agree < AGREE) | one] = -1
         return agree
 
+    def whole(self, rows: np.ndarray) -> None:
+        """Every pair of a region between two components is offered or holds its rows back."""
+        if len(rows) < 2 or self.group[rows[0]] >= 0 and (self.group[rows] == self.group[rows[0]]).all():
+            return
+        if len(rows) <= REGION:
+            self.forest(rows)
+        else:
+            self.back.update(self.doubtful(rows).tolist())
+
+    def doubtful(self, rows: np.ndarray) -> np.ndarray:
+        """The rows with a pair that may be a link between two components."""
+        group = self.group[rows]
+        size = np.bincount(group[group >= 0], minlength=1)
+        few = rows if size.max() < 2 else rows[group != size.argmax()]
+        found = np.zeros(len(self.keys), bool)
+        for i in range(0, len(few), 256):
+            part = few[i : i + 256]
+            agree = self.agreement(part, rows)
+            agree[part[:, None] == rows[None, :]] = -1
+            found[part] |= (agree >= AGREE).any(axis=1)
+            found[rows] |= (agree >= AGREE).any(axis=0)
+        return np.flatnonzero(found)
+
     def go(self, rows: np.ndarray, depth: int) -> None:
         if len(rows) < 2 or self.group[rows[0]] >= 0 and (self.group[rows] == self.group[rows[0]]).all():
             return
@@ -183,7 +218,7 @@ class _Region:
                 first = i
 
     def centre(self, rows: np.ndarray) -> None:
-        """Each row with the two of the region's most central rows that it agrees with best, with all in further passes."""
+        """Each row with the two of the region's most central rows that it agrees with best."""
         flat = np.bincount((self.nib[rows] + 16 * np.arange(VALUES)).ravel(), minlength=16 * VALUES).reshape(VALUES, 16)
         mode = flat.argmax(axis=1)
         near = (self.nib[rows] == mode).sum(axis=1)
@@ -191,31 +226,27 @@ class _Region:
         agree = self.agreement(rows, top)
         agree[rows[:, None] == top[None, :]] = -1
         seen = agree.copy()
-        if not self.known_only:
-            # Central rows that are beyond doubt alike are one; a row belongs to the one it agrees with best, if beyond doubt.
-            lead = np.arange(len(top))
-            among = self.agreement(top, top)
-            for i, j in zip(*np.nonzero(np.triu(among, 1) >= SURE), strict=True):
+        # Central rows that are beyond doubt alike are one; a row belongs to the one it agrees with best, if beyond doubt.
+        lead = np.arange(len(top))
+        among = self.agreement(top, top)
+        for i, j in zip(*np.nonzero(np.triu(among, 1) >= SURE), strict=True):
+            lead[lead == lead[j]] = lead[i]
+        for i, j in zip(*np.nonzero(np.triu(self.group[top][:, None] == self.group[top][None, :], 1)), strict=True):
+            if self.group[top[i]] >= 0:
                 lead[lead == lead[j]] = lead[i]
-            for i, j in zip(*np.nonzero(np.triu(self.group[top][:, None] == self.group[top][None, :], 1)), strict=True):
-                if self.group[top[i]] >= 0:
-                    lead[lead == lead[j]] = lead[i]
-            best = agree.argmax(axis=1)
-            held = (agree[np.arange(len(rows)), best] >= SURE) & (self.group[rows] < 0)
-            self.group[rows[held]] = self.groups + lead[best[held]]
-            for k, i in enumerate(top):
-                if self.group[i] < 0:
-                    self.group[i] = self.groups + lead[k]
-            self.groups += len(top)
-        for _ in range(2 if self.runners == RUNNERS else CENTRAL):
+        best = agree.argmax(axis=1)
+        held = (agree[np.arange(len(rows)), best] >= SURE) & (self.group[rows] < 0)
+        self.group[rows[held]] = self.groups + lead[best[held]]
+        for k, i in enumerate(top):
+            if self.group[i] < 0:
+                self.group[i] = self.groups + lead[k]
+        self.groups += len(top)
+        for _ in range(2):
             best = seen.argmax(axis=1)
             value = seen[np.arange(len(rows)), best]
             for i in np.flatnonzero(value >= AGREE):
                 self.offer(rows[i], top[best[i]], value[i])
             seen[np.arange(len(rows)), best] = -1
-        if self.known_only:
-            for i, k in zip(*np.nonzero(seen >= AGREE), strict=True):
-                self.back |= {self.keys[rows[i]], self.keys[top[k]]}
 
     def forest(self, rows: np.ndarray) -> None:
         """A maximum spanning forest of the agreement, with runners-up of doubtful edges and each row's best partner."""
@@ -254,11 +285,10 @@ class _Region:
             value = upper[i, j]
             self.offer(rows[i], rows[j], value)
             offered[i, j] = True
-            # A further pass is there because what seemed sure may have failed.
-            if value < SURE or self.runners > RUNNERS:
+            if value < SURE:
                 p, q = np.flatnonzero(label == x), np.flatnonzero(label == y)
                 cross = agree[np.ix_(p, q)]
-                for f in np.argsort(-cross, axis=None, kind="stable")[: self.runners + 1]:
+                for f in np.argsort(-cross, axis=None, kind="stable")[: RUNNERS + 1]:
                     u, v = divmod(int(f), len(q))
                     if cross[u, v] >= AGREE:
                         self.offer(rows[p[u]], rows[q[v]], cross[u, v])
@@ -268,52 +298,73 @@ class _Region:
             if not left:
                 break
         for i in np.flatnonzero(((agree >= AGREE) & ~(offered | offered.T)).any(axis=1)):
-            self.back.add(self.keys[rows[i]])
+            self.back.add(int(rows[i]))
+
+
+_OFFERED = "a binary, b binary, agree int, region binary, nib binary, n long, label binary"
 
 
-def candidates(classes: DataFrame, trees: range = range(TREES), runners: int = RUNNERS, known_only: bool = False) -> DataFrame:
-    """a, b, agree: distinct candidate pairs of classes from some of the orders, a < b; none within a label.
+def _offered(pairs: dict, rows: list[tuple]) -> pa.RecordBatch:
+    """Pairs, then rows without a partner: (key, region), or with nib, n and label too where no task has the whole region."""
+    columns = [[a for a, _ in pairs], [b for _, b in pairs], list(pairs.values()), *([None] * len(pairs) for _ in range(4))]
+    for key, region, *rest in rows:
+        for c, x in zip(columns, (key, None, -1, region, *(rest or (None, None, None))), strict=True):
+            c.append(x)
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _OFFERED.split(", ")])
 
-    A row without b is a class with pairs that its regions hold back for more runners-up.
+
+def candidates(classes: DataFrame, trees: range = range(TREES), whole: bool = True) -> DataFrame:
+    """``_OFFERED``: distinct candidate pairs of classes from some of the orders, a < b; none within a label.
+
+    With ``whole`` nothing is left out: a row without b is a class with pairs in a region that are not offered, and
+    where it carries its signature too the region may lie in several tasks, or is too large for one.
     """
 
     def run(batches):
         held: list[list] = [[], [], [], [], []]
-
-        def flush():
-            r = _Region(*held, runners, known_only)
-            r.go(np.arange(len(held[0])), SHALLOW)
+        pairs: dict[tuple[bytes, bytes], int] = {}
+        rows: list[tuple] = []
+        size, regions, over = 1 + 2 * SHALLOW, 0, False
+
+        def flush(edge: bool) -> None:
+            region = held[0][0][:size]
+            if whole and edge:
+                rows.extend(zip(held[1], [region] * len(held[1]), held[3], held[2], held[4], strict=True))
+            elif len(held[0]) > 1:
+                r = _Region(*held)
+                if whole:
+                    r.whole(np.arange(len(held[0])))
+                else:
+                    r.go(np.arange(len(held[0])), SHALLOW)
+                pairs.update(r.out)
+                if whole:
+                    rows.extend((r.keys[i], region) for i in r.back)
             for x in held:
                 x.clear()
-            return r.out | {(x, None): -1 for x in r.back}
 
-        rows: dict[tuple[bytes, bytes], int] = {}
-        size = 1 + 2 * SHALLOW
         for b in small_batches(batches, most_rows=8192):
             for row in zip(*(b.column(c).to_pylist() for c in ("ord", "key", "n", "nib", "label")), strict=True):
-                if held[0] and (held[0][-1][:size] != row[0][:size] or len(held[0]) >= HELD):
-                    if len(held[0]) > 1:
-                        rows.update(flush())
-                    else:
-                        for x in held:
-                            x.clear()
+                if held[0] and held[0][-1][:size] != row[0][:size]:
+                    # A task's first region may have begun in another.
+                    flush(over or not regions)
+                    regions, over = regions + 1, False
+                elif len(held[0]) >= HELD:
+                    flush(True)
+                    over = True
                 for x, v in zip(held, row, strict=True):
                     x.append(v)
-            if len(rows) > 20_000:
-                yield _pairs(rows)
-                rows = {}
-        if len(held[0]) > 1:
-            rows.update(flush())
-        if rows:
-            yield _pairs(rows)
+            if len(pairs) + len(rows) > 20_000:
+                yield _offered(pairs, rows)
+                pairs, rows = {}, []
+        if held[0]:
+            flush(True)
+        if pairs or rows:
+            yield _offered(pairs, rows)
 
     rows = _orders(classes, trees)
     ordered = rows.repartitionByRange("ord").sortWithinPartitions("ord")
-    return ordered.mapInArrow(run, "a binary, b binary, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-
-
-def _pairs(rows: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary()), pa.array(list(rows.values()), pa.int32())], ["a", "b", "agree"])
+    return ordered.mapInArrow(run, _OFFERED).groupBy("a", "b", "region", "nib", "n", "label").agg(F.max("agree").alias("agree"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -379,27 +430,158 @@ def _texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return cut(rows.join(reps.select("key"), "key", "left_semi"), "texts").dropDuplicates(["key"])
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (region, key, n, label, ...) dealt to cells, so that each pair of a region that is not within its largest label shares one.
+
+    A cell has at most about two blocks of ``BLOCK`` rows and ``SHINGLES`` shingles.  Rows of the largest label meet only the
+    others, so their copies are as many as the others' blocks.  A region of one label has no cell.
+    """
+    parts = rows.groupBy("region", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sums = parts.groupBy("region").agg(F.max(F.struct("c", "label", "s")).alias("top"), F.sum("c").alias("rows"), F.sum("s").alias("shingles"))
+    need = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / SHINGLES), F.lit(1)).cast("int")
+    sums = sums.where("rows > top.c").select("region", F.col("top.label").alias("top"), need(F.col("rows"), F.col("shingles")).alias("all"), need(F.col("rows") - F.col("top.c"), F.col("shingles") - F.col("top.s")).alias("few"), need(F.col("top.c"), F.col("top.s")).alias("many"))
+    placed = rows.join(sums, "region").withColumn("major", F.col("label") == F.col("top"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("major"), F.col("many")).otherwise(F.col("few"))).cast("int"))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    own = F.col("own")
+    # One cell where all fits in; else the largest label's rows with each block of the others, and these in pairs of blocks.
+    cells = F.when(F.col("all") == 1, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("major"), each("few", lambda x: cell(2, x, own)))
+    cells = cells.otherwise(F.concat(each("few", lambda x: cell(1, F.least(x, own), F.greatest(x, own))), each("many", lambda x: cell(2, own, x))))
+    return placed.withColumn("cell", F.explode(cells)).drop("top", "all", "few", "many", "major", "own")
+
+
+def _by_cell(batches, columns: list[str]):
+    """The rows of one cell at a time, as lists of columns; the rows lie in order of (region, cell)."""
+    at, held = None, [[] for _ in columns]
+    for b in small_batches(batches):
+        data = [b.column(c).to_pylist() for c in columns]
+        for i, where in enumerate(zip(b.column("region").to_pylist(), b.column("cell").to_pylist(), strict=True)):
+            if where != at:
+                if held[0]:
+                    yield at, held
+                    held = [[] for _ in columns]
+                at = where
+            for x, v in zip(held, data, strict=True):
+                x.append(v[i])
+    if held[0]:
+        yield at, held
+
+
+def _in_cells(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("cell", F.concat_ws("-", "cell.kind", "cell.i", "cell.j")).repartition("region", "cell").sortWithinPartitions("region", "cell")
+
+
+def doubtful_rows(rows: DataFrame) -> DataFrame:
+    """region, key: of rows (region, key, nib, n, label) those with a pair in a region that may be a link between two labels."""
+
+    def run(batches):
+        for (region, cell), (keys, nibs, n, labels) in _by_cell(batches, ["key", "nib", "n", "label"]):
+            r = _Region(keys, keys, n, nibs, labels)
+            found = r.doubtful(np.arange(len(keys))).tolist()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([region + cell.encode()] * len(found), pa.binary()), pa.array([keys[i] for i in found], pa.binary())], ["region", "key"])
+
+    return _in_cells(_blocks(rows)).mapInArrow(run, "region binary, key binary")
+
+
+def links_among(sets: list[np.ndarray], labels: list) -> list[tuple[int, int]]:
+    """Links (i, j) of sets with different labels, enough of them to connect all labels that links connect; by exact counts."""
+    number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    lead, label = list(range(len(number))), np.array([number[x] for x in labels])
+
+    def top(i: int) -> int:
+        while lead[i] != i:
+            lead[i] = lead[lead[i]]
+            i = lead[i]
+        return i
+
+    n = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    first = np.flatnonzero(new)
+    df = np.diff(np.r_[first, len(flat)])
+    few = np.bincount(label).max()
+    rows = np.arange(len(sets)) if few < 2 else np.flatnonzero(label != np.bincount(label).argmax())
+    # Shingles of many sets are columns of a 0-1 matrix, whose product counts them; of the others each pair is counted.
+    often = np.flatnonzero(df > 32)
+    place = np.full(len(sets), -1)
+    place[rows] = np.arange(len(rows))
+    both = np.zeros((len(rows), len(sets)), np.float32)
+    for at in range(0, len(often), 1024):
+        block = np.zeros((len(sets), min(1024, len(often) - at)), np.float32)
+        for c, k in enumerate(often[at : at + 1024]):
+            block[owner[first[k] : first[k] + df[k]], c] = 1
+        both += block[rows] @ block.T
+    for size in range(2, 33):
+        at = first[df == size]
+        if len(at):
+            members = owner[at[:, None] + np.arange(size)]
+            for u in range(size):
+                x = place[members[:, u]]
+                ok = x >= 0
+                for v in range(size):
+                    if u != v:
+                        np.add.at(both, (x[ok], members[ok, v]), 1)
+    out = []
+    for i, row in zip(rows, both, strict=True):
+        for j in np.flatnonzero(100 * row >= 80 * (n[i] + n - row)):
+            x, y = top(label[i]), top(label[j])
+            if x != y:
+                lead[y] = x
+                out.append((int(i), int(j)))
+    return out
+
+
+def _close(held: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``labels`` after all pairs of rows held back are decided on their full sets, region by region."""
+    now = lambda rows: rows.drop("label").join(labels.select("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    edges = held.where("nib is not null").select("region", F.col("a").alias("key"), "nib", "n", "label")
+    rows = held.where("nib is null").select("region", F.col("a").alias("key")).unionByName(doubtful_rows(now(edges)))
+    rows = cut(now(rows.join(classes.select("key", "n"), "key")), "held")
+    cells = cut(_blocks(rows), "cells")
+    reps = classes.join(cells.select("key").distinct(), "key", "left_semi").select("key", "rep")
+    texts = _texts(docs, reps, k)
+
+    def run(batches):
+        for _, (_, words, names) in _by_cell(batches, ["key", "text", "label"]):
+            links = links_among([shingles(t, k) for t in words], names)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.binary()), pa.array([names[j] for _, j in links], pa.binary())], ["a", "b"])
+
+    merged = cut(_in_cells(cells.join(texts, "key")).select("region", "cell", "key", "text", "label").mapInArrow(run, "a binary, b binary").distinct(), "links")
+    if not merged.limit(1).count():
+        return labels
+    new = components(merged).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    moved = labels.join(new, "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+    # Classes that had no pair before are a label of their own.
+    alone = new.join(labels.select(F.col("key").alias("label")), "label", "left_anti").select(F.col("label").alias("key"), F.col("to").alias("label"))
+    return cut(moved.unionByName(alone), "labels")
+
+
 def class_components(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' sets, the classes (key, rep, n_rows, n), and (key, label) of the classes that were compared.
 
     The first orders connect most of what is alike; all orders, which know the components, then offer only pairs between
-    them.  Classes with pairs held back go on, with more runners-up each time, until a pass holds nothing back.
+    them, and what they hold back is decided in blocks.
     """
     sets = cut(set_table(docs, k, id_col, text_col), "sets")
     classes = cut(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    labels = done = None
-    going, turn = classes, 0
-    while True:
-        labelled = going.withColumn("label", F.lit(None).cast("binary")) if labels is None else going.join(labels.where("not alone").select("key", "label"), "key", "left")
-        offered = cut(candidates(labelled, range(TREES if turn else FIRST), RUNNERS * MORE ** max(0, turn - 1), turn > 0), "pairs")
-        pairs = offered.where("b is not null")
+    texts_of = id_and_text(docs, id_col, text_col)
+    labels = done = offered = None
+    for turn in (0, 1):
+        labelled = classes.withColumn("label", F.lit(None).cast("binary")) if labels is None else classes.join(labels.where("not alone").select("key", "label"), "key", "left")
+        offered = cut(candidates(labelled, range(TREES if turn else FIRST), turn > 0), "pairs")
+        pairs = offered.where("b is not null").select("a", "b", "agree")
         # What was offered before is settled: a link, refuted, or within a component.
         pairs = pairs if done is None else cut(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         nodes = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "nodes")
-        texts = _texts(id_and_text(docs, id_col, text_col), classes.join(nodes, "key", "left_semi").select("key", "rep"), k)
+        texts = _texts(texts_of, classes.join(nodes, "key", "left_semi").select("key", "rep"), k)
         own = nodes if labels is None else nodes.join(labels.select("key", "label"), "key", "left")
         own = cut(own.select("key", (F.col("key") if labels is None else F.coalesce("label", "key")).alias("label")), "labels")
-        settled = _settle(pairs, own, texts, k, ROUNDS[min(turn, 1)])
+        settled = _settle(pairs, own, texts, k, ROUNDS[turn])
         if labels is not None:
             # What was connected before goes along with its component.
             moves = settled.withColumnRenamed("label", "to").join(own, "key").where("label <> to").select("label", "to").distinct()
@@ -407,12 +589,12 @@ def class_components(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
             settled = settled.unionByName(old)
         size = settled.groupBy("label").agg((F.count("*") == 1).alias("alone"))
         labels = cut(settled.join(size, "label"), "labels")
-        if turn:
-            going = cut(going.join(offered.where("b is null").select(F.col("a").alias("key")), "key", "left_semi"), "going")
-            if not going.limit(1).count():
-                return sets, classes.drop("sig"), labels.select("key", "label")
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        turn += 1
+        done = pairs.select("a", "b")
+    held = offered.where("b is null")
+    labels = labels.select("key", "label")
+    if held.limit(1).count():
+        labels = _close(held, labels, texts_of, classes, k)
+    return sets, classes.drop("sig"), labels
 
 
 def _settle(pairs: DataFrame, labels: DataFrame, texts: DataFrame, k: int, rounds: int) -> DataFrame:
@@ -474,7 +656,9 @@ def drop_near_copies(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     stay = stay.select(F.col("w_key").alias(w_key), F.col("w_rep").alias(w_rep), F.col("n_rows").alias(n_rows))
     joined = keyed.join(stay, (keyed[key] == stay[w_key]) & keyed[id_col].cast("long").eqNullSafe(stay[w_rep]))
     once = joined.where(F.col(n_rows) == 1).select(*(joined[c] for c in docs.columns))
-    # Only classes of several rows can repeat the row that stays.
-    again = joined.where(F.col(n_rows) > 1).dropDuplicates([key]).select(*docs.columns)
+    # Only classes of several rows can repeat the row that stays: the smallest text, then the smallest hash of all columns.
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    row, order = fresh(joined, "row"), F.struct(utf8(text_col), F.xxhash64(*plain))
+    again = joined.where(F.col(n_rows) > 1).groupBy(key).agg(F.min_by(F.struct(*(joined[c] for c in docs.columns)), order).alias(row)).select(f"{row}.*")
     empty = keyed.where(F.col(key).isNull()).select(*docs.columns)
     return once.unionByName(again).unionByName(empty)

@@ -106,40 +106,90 @@ def test_large_regions_stay_linear():
     assert not one.out
 
 
-def test_pairs_beyond_the_runners_are_held_back_then_offered():
-    # Two groups known to be connected, whose cross pairs are all doubtful: more runners-up offer them all.
-    rng = np.random.default_rng(4)
+def region(m, seed, noise, labels=None, n=500):
+    """Rows around one centre; their salts part them only after the values of the order."""
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 16, N.VALUES)
-    nibs, keys = [], [i.to_bytes(16, "big") for i in range(24)]
-    for _ in keys:
-        x = np.where(rng.random(N.VALUES) < 0.1, rng.integers(0, 16, N.VALUES), base)
+    nibs = []
+    for _ in range(m):
+        x = np.where(rng.random(N.VALUES) < noise, rng.integers(0, 16, N.VALUES), base)
         nibs.append((x[::2] | (x[1::2] << 4)).astype(np.uint8).tobytes())
-    args = ([b"\0" * 25] * 24, keys, [500] * 24, nibs, [b"x"] * 12 + [b"y"] * 12)
-    first = N._Region(*args)
-    first.go(np.arange(24), N.SHALLOW)
-    assert len(first.out) < 144 and first.back
-    last = N._Region(*args, N.RUNNERS * N.MORE**2)
-    last.go(np.arange(24), N.SHALLOW)
-    assert len(last.out) == 144 and not last.back
-
-
-def test_only_confirmed_links_group_rows_after_the_first_orders():
-    # 200 rows that agree with their centre in over SURE nibbles, none of which is confirmed: all pairs stay open.
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 16, N.VALUES)
-    nibs, keys = [], [i.to_bytes(16, "big") for i in range(200)]
-    for _ in keys:
+    keys = [i.to_bytes(16, "big") for i in range(m)]
+    return N._Region([b"\0" * 17 + k for k in keys], keys, [n] * m, nibs, labels or [None] * m)
+
+
+def open_pairs(r):
+    """Pairs between two components that agree well enough, one by one."""
+    return {(i, j) for j in range(len(r.keys)) for i in range(j) if (r.labels[i] is None or r.labels[i] != r.labels[j]) and (r.nib[i] == r.nib[j]).sum() >= N.AGREE}
+
+
+@pytest.mark.parametrize("m,labels", [(24, [b"x"] * 12 + [b"y"] * 12), (300, None), (300, [b"x"] * 200 + [b"y"] * 60 + [None] * 40), (140, [b"x"] * 140)])
+def test_every_open_pair_is_offered_or_holds_its_rows_back(m, labels):
+    r = region(m, 4, 0.2, labels)
+    want = open_pairs(r)
+    r.whole(np.arange(m))
+    offered = {(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in r.out}
+    assert offered <= want
+    assert all((i, j) in offered or {i, j} <= r.back for i, j in want)
+    assert set(r.doubtful(np.arange(m)).tolist()) == {i for p in want for i in p}
+
+
+def test_links_among_equal_brute_force():
+    g = np.random.default_rng(0)
+    base = g.integers(0, 1 << 62, 150).astype(np.uint64)
+    sets = []
+    for _ in range(200):
+        x, m = base.copy(), g.integers(0, 30)
+        x[g.choice(len(x), m, replace=False)] = g.integers(0, 1 << 62, m).astype(np.uint64)
+        sets.append(np.unique(x))
+    sets += [np.unique(g.integers(0, 50, 8).astype(np.uint64)) for _ in range(100)]
+    labels = [i if g.random() < 0.5 else -1 for i in range(len(sets))]
+
+    def joined(links):
+        lead = {x: x for x in labels}
+        for i, j in links:
+            old, new = lead[labels[j]], lead[labels[i]]
+            lead = {k: new if v == old else v for k, v in lead.items()}
+        return {frozenset(k for k in lead if lead[k] == v) for v in lead.values()}
+
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j)}
+    links = {p for p, x in both.items() if 100 * x >= 80 * (len(sets[p[0]]) + len(sets[p[1]]) - x)}
+    got = N.links_among(sets, labels)
+    assert {tuple(sorted(p)) for p in got} <= links and joined(got) == joined(links)
+
+
+def test_a_dense_group_beyond_one_region_equals_brute_force(spark):
+    # 5,000 texts of 200 words around one text, most pairs near the threshold: more than a task compares at once.
+    rng, m = np.random.default_rng(8), 5000
+    assert m > N.HELD
+    base, rows, other = rng.integers(0, 1 << 30, 200), [], 1 << 31
+    for i in range(m):
         x = base.copy()
-        x[rng.choice(N.VALUES, 4, replace=False)] += 1
-        nibs.append((x[::2] % 16 | (x[1::2] % 16 << 4)).astype(np.uint8).tobytes())
-    # The next value parts the rows into two regions that are compared as they are.
-    args = ([b"\0" * 9 + bytes((0, i // 100)) + b"\0" * 14 for i in range(200)], keys, [500] * 200, nibs, [None] * 200)
-    first = N._Region(*args)
-    first.go(np.arange(200), N.SHALLOW)
-    assert not set(keys) <= first.back
-    later = N._Region(*args, N.RUNNERS * N.MORE**4, True)
-    later.go(np.arange(200), N.SHALLOW)
-    assert {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if keys.index(a) // 100 == keys.index(b) // 100} <= set(later.out)
-    named = N._Region(*args[:4], [b"x"] * 200, N.RUNNERS, True)
-    named.go(np.arange(200), N.SHALLOW)
-    assert not named.out
+        at = rng.choice(200, rng.integers(6, 16), replace=False)
+        x[at] = other + np.arange(len(at)) + 16 * i
+        rows.append(x)
+    df = spark.createDataFrame([(i, " ".join(map(str, x))) for i, x in enumerate(rows)], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(df, 2).collect()}
+    # Only pairs of the base's words are shared, each at its place.
+    own = np.array([(x[:-1] == base[:-1]) & (x[1:] == base[1:]) for x in rows]).astype(np.float32)
+    both = own @ own.T
+    near = (100 * both >= 80 * (2 * 199 - both)) | np.eye(m, dtype=bool)
+    want = np.arange(m)
+    while True:
+        new = np.array([want[near[i]].min() for i in range(m)])
+        if (new == want).all():
+            break
+        want = new
+    assert 50 < len(set(want.tolist())) < m - 1000
+    assert [got[i] for i in range(m)] == want.tolist()
+
+
+def test_repeated_rows_leave_the_smallest_text(spark):
+    df = spark.createDataFrame([(1, "b  c d", "y"), (1, "b c d", "z"), (1, "B c d", "x"), (2, "b c d", "w")], "doc_id long, text string, key string").repartition(3)
+    assert [tuple(r) for r in N.drop_near_copies(df, 2).collect()] == [(1, "B c d", "x")]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(map(str, range(200_000)))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "1 2 3"), (4, long[: len(long) // 2])], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(df, 2).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
