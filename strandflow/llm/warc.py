@@ -7,7 +7,9 @@ over.  Both carry a SHA-1 from slice to slice.  Records of one chunk are read wh
 brought together, by record, and streamed in order.
 
 Equal payloads are found by a digest that is aggregated before it is shuffled; the smallest id of a group is its
-response and the others revisit it.
+response and the others revisit it.  Payloads of which there are very many copies, at most ``HOT``, are named to the tasks
+by broadcast, and their rows are spread over all tasks.  A record's id is its place, so repeated and null page ids still
+have records of their own; pages are named in fields of their own.
 
 Defined results: a null or empty payload is a record of 0 bytes; among rows that repeat the smallest id of a payload all
 are responses; a row with a null id is a revisit wherever some row of its payload has an id, else a response; a null URL
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from strandflow.llm.common import cut, small_batches, utf8
 
-#: Payload bytes of a chunk row.
-CHUNK = 1 << 16
+#: Payload bytes of a chunk row, bytes that a task gathers before it passes them on, payloads whose rows are spread.
+CHUNK, FLUSH, HOT = 1 << 16, 4 << 20, 4096
 CHUNKS = "archive long, record_no long, chunk_no int, n_chunks int, data binary"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"
 #: A record without a date of its own; WARC-Date is mandatory.
@@ -39,32 +41,36 @@ def _base32(sha1) -> str:
     return base64.b32encode(sha1.digest()).decode()
 
 
-def _urn(page: int | None) -> str:
-    return f"<urn:page:{'null' if page is None else page}>"
-
-
-def _page(urn: str) -> int | None:
-    name = urn.strip("<>").rpartition(":")[2]
-    return None if name == "null" else int(name)
+def _number(page: str | None) -> int | None:
+    return None if page is None else int(page)
 
 
 def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """page_id, url, payload, first: the smallest id among equal payloads; the join's hot keys can be split."""
+    """page_id, url, payload, first, first_url: the page with the smallest id among equal payloads."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), utf8(payload_col).alias("payload"))
     rows = rows.withColumn("key", F.concat(F.sha1("payload"), F.lit(":"), F.octet_length("payload").cast("string")))
-    groups = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    return rows.join(groups, "key", "left").select("page_id", "url", "payload", F.coalesce("first", "page_id").alias("first"))
+    # A null id comes last; of equal ids the smallest URL.
+    top = F.min(F.struct(F.col("page_id").isNull().alias("x"), "page_id", "url"))
+    groups = cut(rows.groupBy("key").agg(top.alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.page_id").alias("first"), F.col("top.url").alias("first_url"), "n"), "groups")
+    # No more than HOT groups can have a HOT-th part of all grouped rows each: a bounded broadcast.
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = groups.where(F.col("n") > total / HOT).select("key", F.col("first").alias("hot_first"), F.col("first_url").alias("hot_url"), F.lit(True).alias("hot"))
+    cold = groups.where(F.col("n") <= total / HOT).select("key", "first", "first_url")
+    rows = rows.join(F.broadcast(hot), "key", "left")
+    spread = F.when(F.col("hot"), F.concat(F.lit("spread"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("key"))
+    rows = rows.withColumn("key", spread).join(cold, "key", "left")
+    return rows.select("page_id", "url", "payload", F.when(F.col("hot"), F.col("hot_first")).otherwise(F.coalesce("first", "page_id")).alias("first"), F.when(F.col("hot"), F.col("hot_url")).otherwise(F.col("first_url")).alias("first_url"))
 
 
 def write_archive(classified: DataFrame) -> DataFrame:
-    """Chunk rows of the archives, one archive for each task."""
+    """Chunk rows of the archives, one archive for each task; no more than about ``FLUSH`` bytes are gathered at a time."""
 
     def write(batches):
         archive, record = TaskContext.get().partitionId(), 0
         for b in small_batches(batches):
             out: list[tuple] = []
-            payloads = b.column("payload")
-            for i, (page, url, first) in enumerate(zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("first").to_pylist(), strict=True)):
+            held, payloads = 0, b.column("payload")
+            for i, (page, url, first, first_url) in enumerate(zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "first", "first_url")), strict=True)):
                 body = memoryview(payloads[i].as_buffer())
                 sha1 = hashlib.sha1()
                 for at in range(0, len(body), CHUNK):
@@ -74,11 +80,12 @@ def write_archive(classified: DataFrame) -> DataFrame:
                 head = [
                     "WARC/1.1",
                     f"WARC-Type: {'revisit' if revisit else 'response'}",
-                    f"WARC-Record-ID: {_urn(page)}",
+                    f"WARC-Record-ID: <urn:record:{archive}:{record}>",
                     f"WARC-Date: {DATE}",
-                    f"WARC-Target-URI: {' '.join((_urn(page).strip('<>') if url is None else url).split())}",
+                    f"WARC-Target-URI: {_uri(url, page)}",
                     f"WARC-Payload-Digest: sha1:{_base32(sha1)}",
-                    *([f"WARC-Refers-To: {_urn(first)}", f"WARC-Profile: {PROFILE}"] if revisit else []),
+                    *([] if page is None else [f"Page-ID: {page}"]),
+                    *([f"WARC-Refers-To-Target-URI: {_uri(first_url, first)}", f"Refers-To-Page-ID: {first}", f"WARC-Profile: {PROFILE}"] if revisit else []),
                     "Content-Type: application/http; msgtype=response",
                     f"Content-Length: {len(http) + (0 if revisit else len(body))}",
                 ]
@@ -88,9 +95,10 @@ def write_archive(classified: DataFrame) -> DataFrame:
                     data = bytes(body[k * CHUNK : min(sent, (k + 1) * CHUNK)])
                     data = ("\r\n".join(head).encode() + b"\r\n\r\n" + http + data) if k == 0 else data
                     out.append((archive, record, k, n, data + (b"\r\n\r\n" if k == n - 1 else b"")))
-                    if sum(len(x[4]) for x in out[-64:]) > 8 << 20:
+                    held += len(out[-1][4])
+                    if held >= FLUSH:
                         yield _chunks(out)
-                        out = []
+                        out, held = [], 0
                 record += 1
             if out:
                 yield _chunks(out)
@@ -98,6 +106,10 @@ def write_archive(classified: DataFrame) -> DataFrame:
     return classified.mapInArrow(write, CHUNKS)
 
 
+def _uri(url: str | None, page: int | None) -> str:
+    return f"urn:page:{'null' if page is None else page}" if url is None else " ".join(url.split())
+
+
 def _chunks(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in CHUNKS.split(", ")])
@@ -137,7 +149,7 @@ class _Reader:
         kind, said = self.head["WARC-Type"], self.head["WARC-Payload-Digest"].removeprefix("sha1:")
         found = _base32(self.sha1) if kind == "response" else said
         n = self.n if kind == "response" else int(self.http["Content-Length"])
-        return _page(self.head["WARC-Record-ID"]), self.head["WARC-Target-URI"], n, found, kind, _page(self.head["WARC-Refers-To"]) if kind == "revisit" else None, found == said
+        return _number(self.head.get("Page-ID")), self.head["WARC-Target-URI"], n, found, kind, _number(self.head.get("Refers-To-Page-ID")), found == said
 
 
 def read_archive(chunks: DataFrame) -> DataFrame:
