@@ -41,7 +41,7 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_media(spark, sf_dir):
-    return media.digest(media.probe(media.encode(table(spark, sf_dir, "documents"))))
+    return media.digest(media.probe(media.stored(media.encode(table(spark, sf_dir, "documents")))))
 
 
 def op3_pii(spark, sf_dir):
