@@ -9,8 +9,11 @@ and they lie within a band of k diagonals.  Three filters follow from it, each n
 2. in the windows left, hits are counted by probe and by overlapping diagonal bands; bands with too few are dropped;
 3. the bands left are verified by a banded alignment of the whole probe, free at both ends of the text.
 
-Probes go to the tasks in blocks of at most ``BLOCK`` characters, each a pass over the texts, so what is broadcast has a
-bound whatever the benchmark's size.
+Equal probes are one, and a text that repeats itself is cheap: hits are counted in slices of the text, each with the overlap
+that a band needs, and equal stretches of text are aligned with a probe once.
+
+Probes go to the tasks in blocks of about ``BLOCK`` characters, each a pass over the texts; of several blocks each pass is
+written before the next one's probes are broadcast, so tasks and driver hold one block whatever the benchmark's size.
 
 Defined results: null and empty texts match nothing; null and empty items, and items shorter than ``SHORTEST`` characters, match
 nothing; repeated items count once each; an empty benchmark or table gives no matches; very long texts are taken in
@@ -19,16 +22,20 @@ overlapping pieces; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import fresh, id_and_text, keeps, small_batches, use, utf8
+from strandflow.llm.common import cut, fresh, id_and_text, keeps, small_batches, use, utf8
 
 Q, PROBE, STRIDE, SHORTEST = 10, 100, 50, 40
 #: Edits as a share of a probe's length, diagonals of a band, characters of probes in a block, and of text at once.
 EDITS, BAND, BLOCK, PIECE = 0.06, 16, 4_000_000, 1_000_000
+#: Hits that are counted at once, about, and bands that are aligned at once.
+HITS, ALIGNED = 1 << 20, 512
 _BITS = 22
 _SEP = 0x110000
 
@@ -71,16 +78,22 @@ class Probes:
     """A block of probes with the table of their q-grams."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.item, self.text, self.start = [], [], []
+        #: Of each distinct probe: its text, and the items and places it comes from.
+        self.text: list[np.ndarray] = []
+        self.homes: list[list[tuple[int, int]]] = []
+        number: dict[bytes, int] = {}
         for item, raw in items:
             x = normalise(raw)
             if len(x) < SHORTEST:
                 continue
             starts = [0] if len(x) <= PROBE else [*range(0, len(x) - PROBE, STRIDE), len(x) - PROBE]
             for s in starts:
-                self.item.append(item)
-                self.start.append(s)
-                self.text.append(x[s : s + PROBE])
+                t = x[s : s + PROBE]
+                k = number.setdefault(t.tobytes(), len(number))
+                if k == len(self.text):
+                    self.text.append(t)
+                    self.homes.append([])
+                self.homes[k].append((item, s))
         grams = [qgrams(t) for t in self.text]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, int)
@@ -89,7 +102,8 @@ class Probes:
         self.gram, self.owner, self.place = flat[order], owner[order], place[order]
         self.bits = np.zeros(1 << _BITS, np.uint8)
         self.bits[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = 1
-        self.need = min((least(len(t)) for t in self.text), default=1 << 30)
+        self.needs = np.array([least(len(t)) for t in self.text], np.int64)
+        self.need = int(self.needs.min(initial=1 << 30))
         self.span = max((len(t) - Q + 1 + edits(len(t)) for t in self.text), default=1)
 
     def regions(self, x: np.ndarray) -> list[tuple[int, int]]:
@@ -106,73 +120,126 @@ class Probes:
         breaks = np.flatnonzero(np.diff(full) > span)
         return [(int(a), int(b) + span) for a, b in zip(full[np.r_[0, breaks + 1]], full[np.r_[breaks, len(full) - 1]], strict=True)]
 
-    def bands(self, x: np.ndarray, a: int, b: int) -> list[tuple[int, int, int]]:
-        """Filter 2: (probe, lowest and highest diagonal) of the bands with enough hits among positions a to b."""
+    def bands(self, x: np.ndarray, a: int, b: int, wanted: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
+        """Filter 2: (probe, lowest and highest diagonal) of the bands with enough hits among positions a to b, slice by slice.
+
+        Probes that are no longer ``wanted`` when a slice is taken are left out.
+        """
         h = qgrams(x[a : b + Q - 1])
-        lo, hi = np.searchsorted(self.gram, h, "left"), np.searchsorted(self.gram, h, "right")
-        n = hi - lo
+        lo = np.searchsorted(self.gram, h, "left")
+        n = np.searchsorted(self.gram, h, "right") - lo
+        width = BAND + edits(PROBE)
+        # The hits of a band of diagonals lie within its width and a probe's length, so slices that overlap by this have all.
+        reach = width + PROBE
+        before = np.concatenate(([0], np.cumsum(n)))
+        last: set[tuple[int, int]] = set()
+        i = 0
+        while i < len(h):
+            j = max(i + 2 * reach, int(np.searchsorted(before, before[i] + HITS, "right")) - 1)
+            j = len(h) if j + reach >= len(h) else j
+            now = self._slice(lo[i:j], n[i:j], a + i, wanted, width)
+            yield [(p, g * BAND, g * BAND + width) for g, p in sorted(now - last)]
+            last, i = now, j if j == len(h) else j - reach
+
+    def _slice(self, lo: np.ndarray, n: np.ndarray, a: int, wanted: np.ndarray, width: int) -> set[tuple[int, int]]:
+        """(band, probe) of the bands with enough hits at the positions from ``a`` on."""
+        found: set[tuple[int, int]] = set()
         at = np.flatnonzero(n)
-        if not len(at):
-            return []
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n[at]) - n[at], n[at]) + np.repeat(lo[at], n[at])
-        owner, diagonal = self.owner[k], np.repeat(at + a, n[at]) - self.place[k]
-        found = []
-        width = BAND + edits(PROBE)
+        position = np.repeat(at + a, n[at])
+        open_ones = wanted[self.owner[k]]
+        if not open_ones.all():
+            k, position = k[open_ones], position[open_ones]
+        if not len(k):
+            return found
+        owner, place = self.owner[k].astype(np.int64), self.place[k].astype(np.int64)
+        diagonal = position - place
         # A band of BAND + k diagonals for each multiple of BAND: any k diagonals lie in one of them.
         base = diagonal // BAND
+        first = int(base.min()) - 1
+        count = int(base.max()) - first + 1
+        codes = []
         for shift in (0, 1):
             band = base - shift
-            inside = diagonal < band * BAND + width
-            keys = owner[inside].astype(np.int64) << 40 | (band[inside] + (1 << 20))
-            # A probe's q-gram counts once in a band, wherever else in it the text repeats it.
-            found.append(np.stack((keys, self.place[k][inside])))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        keys, counts = np.unique(pairs[0], return_counts=True)
-        need = np.array([least(len(t)) for t in self.text])
-        good = keys[counts >= need[keys >> 40]]
-        return [(int(g >> 40), int((g & ((1 << 40) - 1)) - (1 << 20)) * BAND, int((g & ((1 << 40) - 1)) - (1 << 20)) * BAND + width) for g in good]
-
-    def align(self, x: np.ndarray, probe: int, low: int, high: int) -> tuple[int, int]:
-        """Filter 3: least edits between the whole probe and any stretch of text in the band, and where it ends.
-
-        Row i of the table has the cells of text ends low + i to high + i; leaving the band costs more than the budget.
+            inside = np.flatnonzero(diagonal < band * BAND + width)
+            codes.append((owner[inside] * count + band[inside] - first) * PROBE + place[inside])
+        # A probe's q-gram counts once in a band, wherever else in it the text repeats it.
+        once = np.unique(np.concatenate(codes)) // PROBE
+        new = np.flatnonzero(np.r_[True, once[1:] != once[:-1]])
+        keys, hits = once[new], np.diff(np.r_[new, len(once)])
+        good = keys[hits >= self.needs[keys // count]]
+        found.update(zip((good % count + first).tolist(), (good // count).tolist(), strict=True))
+        return found
+
+    def align(self, x: np.ndarray, probes: list[int], low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Filter 3: fewest edits between each whole probe (of one length) and any stretch of text in its band, and where it ends.
+
+        Row i of a table has the cells of text ends low + i on, as many as the band is wide; leaving the band costs more
+        than the budget.
         """
-        p, k = self.text[probe], edits(len(self.text[probe]))
-        low, high = low - k, high + k
-        width = high - low + 1
-        far = len(p) + 1
-        ends = low + np.arange(width)
+        p = np.stack([self.text[k] for k in probes])
+        m, k = p.shape[1], edits(p.shape[1])
+        width = BAND + edits(PROBE) + 2 * k + 1
+        low, far = np.asarray(low)[:, None] - k, m + 1
+        step = np.arange(width, dtype=np.int32)[None, :]
+        ends = low + step
         row = np.where((ends >= 0) & (ends <= len(x)), 0, far).astype(np.int32)
-        step = np.arange(width, dtype=np.int32)
-        for i, c in enumerate(p, 1):
-            end = low + i + np.arange(width)
+        padded = np.concatenate((np.full(1, _SEP, np.uint32), x, np.full(1, _SEP, np.uint32)))
+        edge = np.full((len(p), 1), far, np.int32)
+        for i in range(1, m + 1):
+            end = ends + i
             ok = (end >= 1) & (end <= len(x))
-            char = np.full(width, _SEP, np.uint32)
-            char[ok] = x[end[ok] - 1]
-            best = row + (char != c)
-            best[~ok] = far
-            up = np.concatenate((row[1:], [far])) + 1
-            best = np.minimum(best, up)
-            best = np.minimum(best, np.minimum.accumulate(best - step) + step)
+            best = np.where(ok, row + (padded[np.clip(end, 0, len(x) + 1)] != p[:, i - 1 : i]), far)
+            best = np.minimum(best, np.concatenate((row[:, 1:], edge), axis=1) + 1)
+            best = np.minimum(best, np.minimum.accumulate(best - step, axis=1) + step)
             best[(end < 0) | (end > len(x))] = far
             row = best.astype(np.int32)
-        j = int(np.argmin(row))
-        return int(row[j]), low + len(p) + j
+        j = row.argmin(axis=1)
+        return row[np.arange(len(p)), j], low[:, 0] + m + j
+
+    def matches(self, x: np.ndarray, any_one: bool = False) -> dict[int, tuple[int, int, int, int]]:
+        """Item -> (fewest edits, end in the normalised text, start of the probe, its length) of a text.
 
-    def matches(self, x: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
-        """Item -> (fewest edits, end in the normalised text, start of the probe, its length) of a text."""
+        A probe found without an edit is looked for no further, and with ``any_one`` none once an item is found.
+        """
         out: dict[int, tuple[int, int, int, int]] = {}
+        wanted = np.ones(len(self.text), bool)
         step = PIECE - 4 * (PROBE + BAND)
         for begin in range(0, max(1, len(x) - 4 * (PROBE + BAND)), step):
             piece = x[begin : begin + PIECE]
+            seen: dict[tuple[int, bytes], tuple[int, int]] = {}
             for a, b in self.regions(piece):
-                for probe, low, high in self.bands(piece, a, b):
-                    n, end = self.align(piece, probe, low, high)
-                    if n <= edits(len(self.text[probe])):
-                        got = (n, begin + end, self.start[probe], len(self.text[probe]))
-                        out[self.item[probe]] = min(out.get(self.item[probe], got), got)
+                for bands in self.bands(piece, a, b, wanted):
+                    for i in range(0, len(bands), ALIGNED):
+                        some = [x for x in bands[i : i + ALIGNED] if wanted[x[0]]]
+                        for (probe, _, _), (n, end) in zip(some, self._aligned(piece, some, seen), strict=True):
+                            if n <= edits(len(self.text[probe])):
+                                for item, start in self.homes[probe]:
+                                    got = (n, begin + end, start, len(self.text[probe]))
+                                    out[item] = min(out.get(item, got), got)
+                                wanted[probe] = n > 0
+                        if any_one and out:
+                            return out
+                    if len(seen) > 1 << 16:
+                        seen.clear()
         return out
 
+    def _aligned(self, piece: np.ndarray, bands: list[tuple[int, int, int]], seen: dict[tuple[int, bytes], tuple[int, int]]) -> list[tuple[int, int]]:
+        """Edits and end for each band; ``seen`` has them, from the band's diagonal, by probe and stretch of text."""
+        margin, keys, todo = 2 * edits(PROBE) + 1, [], {}
+        for probe, low, high in bands:
+            first, last = low - margin, high + len(self.text[probe]) + margin
+            # At the ends of the text the place counts too.
+            key = (probe, piece[first:last].tobytes() if first >= 0 and last <= len(piece) else str(low).encode())
+            keys.append((key, low))
+            if key not in seen:
+                todo.setdefault(key, low)
+        for m in {len(self.text[p]) for p, _ in todo}:
+            some = [(key, low) for key, low in todo.items() if len(self.text[key[0]]) == m]
+            n, end = self.align(piece, [p for (p, _), _ in some], np.array([low for _, low in some]))
+            seen.update((key, (int(u), int(v) - low)) for (key, low), u, v in zip(some, n, end, strict=True))
+        return [(seen[key][0], low + seen[key][1]) for key, low in keys]
+
     def candidates(self, texts: list[np.ndarray]) -> list[int]:
         """Texts of a batch with a region, found in one pass over all of them."""
         sizes = np.array([len(t) for t in texts])
@@ -198,25 +265,31 @@ def _probes(shared, tag: str) -> Probes:
     return _BLOCKS[tag]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, bytes]]]:
-    """The items in blocks of at most BLOCK characters (a longer item is a block), one block at a time on the driver."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[tuple[int, bytes]], bool]]:
+    """The items in blocks of about BLOCK characters (a longer item is a block), one at a time on the driver; whether there are several."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), utf8(text_col).alias("text")).where("item_id is not null and length(text) > 0")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK))
     for k in range(n):
         mine = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r.item_id, bytes(r.text)) for r in mine.orderBy("item_id", "text").collect()]
+        yield [(r.item_id, bytes(r.text)) for r in mine.orderBy("item_id", "text").collect()], n > 1
 
 
 MATCHES = "doc_id long, item_id long, edits int, probe_start int, probe_length int, text_end long"
 
 
+def _share(docs: DataFrame, items: list) -> tuple:
+    """The items as a broadcast, and a name that no other broadcast of any application has."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(items)
+    return shared, f"{context.applicationId}-{shared._jbroadcast.id()}"
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each text and benchmark item that it holds a passage of, within the edit budget: ``MATCHES``."""
     texts, out = id_and_text(docs, id_col, text_col), None
-    for k, items in enumerate(_blocks(benchmark, item_col, item_text_col)):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        tag = f"{id(shared)}-{k}-{len(items)}"
+    for items, more in _blocks(benchmark, item_col, item_text_col):
+        shared, tag = _share(docs, items)
 
         def run(batches, shared=shared, tag=tag):
             probes = _probes(shared, tag)
@@ -228,23 +301,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in MATCHES.split(", ")])
 
         found = texts.mapInArrow(run, MATCHES)
+        if more:
+            found = cut(found, "leaks")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no passage of the benchmark, all columns as they were; no shuffle."""
-    for k, items in enumerate(_blocks(benchmark, item_col, item_text_col)):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        tag = f"{id(shared)}-{k}-{len(items)}"
+    for items, more in _blocks(benchmark, item_col, item_text_col):
+        shared, tag = _share(docs, items)
         name = fresh(docs, "__utf8")
 
         def run(batches, shared=shared, tag=tag, name=name):
             probes = _probes(shared, tag)
             for b in small_batches(batches, 2 << 20):
                 norm = [normalise(t) for t in b.column(name).to_pylist()]
-                bad = {i for i in probes.candidates(norm) if i < len(norm) and probes.matches(norm[i])}
+                bad = {i for i in probes.candidates(norm) if i < len(norm) and probes.matches(norm[i], any_one=True)}
                 yield b.filter(pa.array([i not in bad for i in range(len(norm))])).select([c for c in b.schema.names if c != name])
 
         docs = docs.withColumn(name, utf8(text_col)).mapInArrow(run, docs.schema)
+        if more:
+            docs = cut(docs, "clean")
+            shared.destroy()
     return docs

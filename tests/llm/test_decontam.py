@@ -61,7 +61,7 @@ def test_filters_lose_nothing_against_plain_alignment(cases):
     texts = [edit(" ".join((t[:80], items[i % 12][20:200], t[80:200])), i) for i, (_, t) in enumerate(docs[:30])]
     for t in texts:
         x = D.normalise(t.encode())
-        want = {probes.item[k] for k, p in enumerate(probes.text) if plain(p, x) <= D.edits(len(p))}
+        want = {item for k, p in enumerate(probes.text) if plain(p, x) <= D.edits(len(p)) for item, _ in probes.homes[k]}
         assert set(probes.matches(x)) == want
         assert bool(want) <= bool(probes.candidates([x]))
 
@@ -79,3 +79,51 @@ def test_pieces_blocks_and_hashes(spark, cases, monkeypatch):
     bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.item_id for r in D.find_leaks(df, bench).collect()} == want
+
+
+@pytest.mark.parametrize("unit,hits", [("ha ", True), ("ha ho hi he ", True), ("ha hx ", False)])
+def test_texts_that_repeat_themselves_stay_cheap(unit, hits):
+    import time
+    import tracemalloc
+
+    probes = D.Probes([(i, (u * 100).encode()) for i, u in enumerate(["ha ", "ha ho hi he ", "hu hy "])])
+    x = D.normalise((unit * (1_000_000 // len(unit))).encode())
+    tracemalloc.start()
+    begin = time.perf_counter()
+    assert bool(probes.matches(x)) is hits
+    assert time.perf_counter() - begin < 30 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_odd_texts_items_and_ids(spark, cases):
+    items, docs, want = cases
+    long = prose(60_000)
+    rows = [(1, docs[0][1]), (1, docs[0][1]), (None, docs[0][1]), (7, long[:200_000] + " " + items[3] + " " + long[200_000:]), (8, long), (9, items[3])]
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0]), (50, items[0]), (None, items[1])], "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((str(r.doc_id), r.item_id) for r in D.find_leaks(df, bench).collect())
+    # Items of one text are found together; equal rows are found each.
+    assert got == sorted([("1", 0), ("1", 50)] * 2 + [("None", 0), ("None", 50), ("7", 3), ("9", 3)])
+    assert [r.doc_id for r in D.drop_leaks(df, bench).collect()] == [8]
+
+
+def test_query_equals_plain_probes(spark):
+    from strandflow.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    plain = D.Probes([(r.item_id, (r.text or "").encode()) for r in bench])
+    # The plain way looks at texts of up to 1,200 characters, a good half of them; the query runs over all.
+    plainly = {r.doc_id for r in docs if len(r.text or "") <= 1200}
+    want = set()
+    for r in docs:
+        if r.doc_id not in plainly:
+            continue
+        x = D.normalise((r.text or "").encode())
+        # Every probe at every place of the text, no filter.
+        for k, p in enumerate(plain.text):
+            low = np.arange(-D.BAND, max(1, len(x)), D.BAND)
+            n, _ = plain.align(x, [k] * len(low), low)
+            if n.min() <= D.edits(len(p)):
+                want |= {(r.doc_id, item) for item, _ in plain.homes[k]}
+    assert {(r.doc_id, r.item_id) for r in QUERIES["op2_decontamination"](spark, sf).collect() if r.doc_id in plainly} == want and want
