@@ -1,8 +1,9 @@
 """Operator 5, token counts: a map-side two-tier lookup.
 
 Tier one is a broadcast table of frequent pre-token lengths, tier two a bounded cache in each Python worker that encodes
-a pre-token when it is first met.  Pre-tokens are never shuffled: what is summed across tasks to fill tier one is a
-sketch of at most ``SKETCH`` entries a task.  The tiers change speed only; a count is always the library's.
+a pre-token when it is first met.  Pre-tokens of the texts are never shuffled: what is summed across tasks to fill tier one is
+a sketch of at most ``SKETCH`` entries a task.  A word between blanks with a character beyond Latin-1 is an entry of its own,
+which the library encodes whole when it is met first.  The tiers change speed only; a count is always the library's.
 
 Defined results: null and empty texts count 0 tokens and 0 bytes; repeated rows give repeated rows; an empty table gives
 an empty one; further columns are ignored.
@@ -24,8 +25,8 @@ from strandflow.llm.common import id_and_text, keeps, per_batch, small_batches,
 
 #: Frequent pre-tokens that are broadcast (each of at most 64 characters: a few MB at most), entries that a task offers.
 FREQUENT, SKETCH = 65_536, 2_048
-#: Entries of a worker's cache, which is emptied when full.
-CACHE = 1 << 18
+#: Entries of a worker's cache, which is emptied when full, and characters of an entry.
+CACHE, LONG = 1 << 18, 256
 
 # The normaliser and the pre-token pattern of the word-end BPE vocabulary, and Latin-1's letters,
 # numbers and white space, for which the pattern can be applied by Python's re with equal results.
@@ -33,6 +34,8 @@ _NORMALIZER = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _L, _N, _S = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+#: What Latin-1 doesn't hold, and blanks: no pre-token, composition or lower-casing goes across one.
+_BEYOND, _BLANKS, _BLANK = re.compile("[^\x00-\xff]"), " \t\n\r", re.compile("[ \t\n\r]")
 
 
 class _Cache(dict):
@@ -49,6 +52,8 @@ class _Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONG:
+            return value
         if len(self) >= self.capacity:
             self.old = dict(self)
             self.clear()
@@ -91,19 +96,25 @@ class Encoder:
         self.bytes = _Cache(lambda w: np.asarray(self.of_pretoken(w), self.kind).tobytes())
 
     def of_pretoken(self, word: str) -> list[int]:
-        """Ids of one pre-token: its bytes as letters, straight to the merges."""
+        """Ids of one pre-token: its bytes as letters, straight to the merges; of a word beyond Latin-1, the library's."""
+        if not word.isascii() and max(word) > "\xff":
+            return self.whole(word)
         return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def pretokens(self, text: str) -> list[str] | None:
-        """The text's pre-tokens, or None where only the library will do: beyond Latin-1, or with special strings."""
+        """The text's pre-tokens, and words beyond Latin-1 as they are; None where only the library will do: with special strings."""
         if not self.fast or any(s in text for s in self.special):
             return None
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return None
-        return _LATIN.findall(text.lower())
+        if text.isascii() or max(text) <= "\xff":
+            return _LATIN.findall(text.lower())
+        out, at = [], 0
+        while m := _BEYOND.search(text, at):
+            begin = max(at, 1 + max(text.rfind(c, at, m.start()) for c in _BLANKS))
+            end = blank.start() if (blank := _BLANK.search(text, m.end())) else len(text)
+            out += _LATIN.findall(text[at:begin].lower())
+            out.append(text[begin:end])
+            at = end
+        return out + _LATIN.findall(text[at:].lower())
 
     def n_tokens(self, text: str) -> int:
         words = self.pretokens(text)

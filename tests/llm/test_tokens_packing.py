@@ -32,6 +32,21 @@ def test_fast_way_equals_library_on_latin_text():
         assert enc.n_tokens(t) == len(tok.encode(t, add_special_tokens=False).ids)
 
 
+def test_fast_way_equals_library_beyond_latin_text():
+    import random
+
+    rng = random.Random(4)
+    enc, tok = tokens.Encoder(WORD), Tokenizer.from_file(WORD)
+    kinds = ["abcXYZ019' \t\n", "éßÀ\xa0\x85²", "漢字かなカ한글", "“”‘’—…€™", "ΣσςАбвЯИ", "\u0300\u0301\u0308\u1100\u1161\u11a8", "🙂👍🏽\u200d\ufe0f", "\u2028\u3000\u2003\u1680", "İıſKÅﬁ", "क्षิ١٢"]
+    for n in range(400):
+        t = "".join(rng.choice(rng.choice(kinds)) if rng.random() < 0.7 else " " for _ in range(rng.randint(1, 60)))
+        assert np.frombuffer(enc.ids(t), enc.kind).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert enc.pretokens("plain “quoted” words — and more") is not None
+    long = "x" * 300_000 + "é" * 1000 + " 漢 " + "y" * 300_000
+    assert enc.n_tokens(long) == len(tok.encode(long, add_special_tokens=False).ids)
+    assert not any(len(k) > tokens.LONG for k in enc.count)
+
+
 def test_cache_stays_bounded():
     c = tokens._Cache(len, {"fixed": 9}, capacity=10)
     for i in range(100):
