@@ -56,6 +56,67 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[0].spans.count("phone") == 1
 
 
+def plain_patterns(rows):
+    """The graph by loops: (pattern, token, kind or None) rows to pattern -> (score, kind)."""
+    import math
+
+    edges = {}
+    for p, t, k in rows:
+        edges[p, t] = max(filter(None, (edges.get((p, t)), k)), default=None)
+    by = {}
+    for p, t in edges:
+        by.setdefault(p, set()).add(t)
+    seeds = {(t, k): 1.0 for (_, t), k in edges.items() if k}
+    belief, score = dict(seeds), {}
+    for _ in range(pii.TURNS):
+        score = {}
+        for p, tokens in by.items():
+            for k in pii.KINDS:
+                got = [belief[t, k] for t in tokens if (t, k) in belief]
+                if sum(x >= pii.TRUST for x in got) >= pii.SUPPORT and sum(got) / (len(tokens) + 1) >= pii.TRUST:
+                    score[p, k] = sum(got) / (len(tokens) + 1)
+        belief = dict(seeds)
+        for t in {t for _, t in edges}:
+            for k in pii.KINDS:
+                said = [math.log1p(-min(score[p, k], 0.999)) for p in by if t in by[p] and (p, k) in score]
+                if said:
+                    belief[t, k] = max(belief.get((t, k), 0), 1 - math.exp(sum(said)))
+    return {p: max((v, k) for (q, k), v in score.items() if q == p) for p, _ in score}
+
+
+def test_pattern_graph_equals_plain_loops(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"p{rng.randrange(25)}", f"t{min(rng.randrange(80), rng.randrange(80))}", "ip" if rng.random() < 0.55 else rng.choice([None, "card"])) for _ in range(900)]
+    seen = {}
+    rows = [(p, t, seen.setdefault(t, k)) for p, t, k in rows]
+    want = plain_patterns(rows)
+    got = {r.ctx: (r.score, r.kind) for r in pii.trusted_patterns(spark.createDataFrame(rows, "ctx string, token string, kind string")).collect()}
+    assert want and set(got) == set(want)
+    assert all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1] == want[p][1] for p in want)
+
+
+def test_found_tokens_make_further_patterns_known(spark):
+    # Only "dial:" meets base numbers; short ones behind it are found first, then what stands before the same ones elsewhere.
+    rows = [(i, f"please dial: +1 (212) 555-{1000 + i} then go") for i in range(30)]
+    rows += [(100 + i, f"please dial: 555-{2000 + i}, thanks") for i in range(10)]
+    rows += [(200 + i, f"or extension 555-{2000 + i} maybe") for i in range(10)]
+    rows += [(300, "or extension x9-77 maybe"), (400, "chapter 7 of 12 pages"), (401, "in 1999 we had 40 of them")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[104] == "phone:13:21" and got[204] == "phone:13:21" and got[300] == "phone:13:18"
+    assert got[400] == got[401] == ""
+
+
+def test_what_a_test_refutes_is_never_added(spark):
+    cards = [f"4{i:014d}" for i in range(40)]
+    cards = [c + next(d for d in "0123456789" if luhn(c + d)) for c in cards]
+    wrong = cards[0][:-1] + str((int(cards[0][-1]) + 1) % 10)
+    rows = [(i, f"card {c} ok") for i, c in enumerate(cards)] + [(90, f"card {wrong} ok"), (91, "card 4000-12 ok")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[90] == "" and got[91] == "" and got[5] == "card:5:21"
+
+
 def test_redacts(spark):
     df = contextual(spark).selectExpr("doc_id", "text", "'k' as uid", "length(text) as n_chars")
     got = {r.doc_id: r for r in pii.redact(df).collect()}
