@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm import decontam, lm, neardup, packing, pii, toxicity
-from strandflow.llm.common import cut, table
+from strandflow.llm.common import cut, forget, table
 
 TOXIC = 0.3
 
@@ -51,5 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        read, docs = docs, cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(read)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import ascii_words, cut, fresh, id_and_text, keeps, per_batch, small_batches, use, utf8
+from strandflow.llm.common import ascii_words, cut, forget, fresh, id_and_text, keeps, per_batch, small_batches, use, utf8
 
 TREES, SHALLOW, DEEP, REGION = 24, 4, 8, 128
 VALUES = TREES * SHALLOW
@@ -394,14 +394,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
     label = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        near = both.join(label.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         new = label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = cut(new.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         moved = new.where("old <> label").limit(1).count()
-        label = new.drop("old")
+        forget(label)
+        label = new
         if not moved:
-            return label
+            forget(both)
+            return label.select("node", "label")
 
 
 def _texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
