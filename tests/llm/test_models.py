@@ -10,6 +10,8 @@ from strandflow.llm import lm, quality, toxicity
 from strandflow.llm.tokens import encoder
 
 WORD = P.path("word_bpe_49k.json")
+#: What the score must be better than, as a share of the log probability that counts of pairs give.
+BIGRAM = 0.97
 DOCS, LABELS = "/root/testdata/sf0.01/documents.parquet", "/root/testdata/sf0.01/labels.parquet"
 
 
@@ -121,7 +123,7 @@ def test_toxicity_odd_inputs(spark, odd_docs):
 def test_lm_gradients():
     counts = np.arange(1, 201)
     cls = np.arange(200) % lm.CLASSES
-    m, g = lm.Attention(counts, cls, np.zeros(200, bool), (np.zeros(1, int), np.zeros(1, int), np.zeros(1, int))), np.random.default_rng(0)
+    m, g = lm.Attention(counts, cls, np.zeros(200, bool)), np.random.default_rng(0)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
     rows, target, weight = g.integers(0, 200, (3, lm.WINDOW)), g.integers(0, lm.CLASSES, (3, lm.WINDOW)), g.integers(0, 2, (3, lm.WINDOW)).astype(float)
     _, grads = m.loss(rows, target, weight)
@@ -141,26 +143,64 @@ def small_model():
     g = np.random.default_rng(1)
     streams = [np.r_[g.integers(0, 40, 60), 50] for _ in range(30)]
     counts = np.bincount(np.concatenate(streams), minlength=51)
-    cls = lm.classes(counts, streams)
-    closes = np.arange(51) % 3 == 0
-    before = np.where(closes, lm.CLASSES, cls)
-    pairs = [(p, i) for s in streams for p, i in zip(np.r_[lm.CLASSES, before[s[:-1]]], s, strict=True)]
-    c = Counter(pairs)
-    table = (np.array([p for p, _ in c]), np.array([i for _, i in c]), np.array(list(c.values())))
+    near = np.zeros((51, 2 * lm.SIDES))
+    for s in streams:
+        np.add.at(near, (s[1:], lm.bucket(s[:-1])), 1)
+        np.add.at(near, (s[:-1], lm.SIDES + lm.bucket(s[1:])), 1)
+    m = lm.Attention(counts, lm.classes(counts, near), np.arange(51) % 3 == 0)
+    seen = np.zeros((lm.CLASSES + 1, 51))
+    for s in streams:
+        np.add.at(seen, (m.places(s, np.array([0])), s), 1)
     lm_steps, lm.STEPS = lm.STEPS, 60
     try:
-        return lm.Attention(counts, cls, closes, table).fit(streams), streams
+        return m.fit(streams).count(seen).ready(), streams
     finally:
         lm.STEPS = lm_steps
 
 
+def test_lm_passes_equal_plain_counts(spark, odd_docs, monkeypatch):
+    enc = encoder(WORD)
+    kind, end = enc.kind, enc.size
+    texts = [(r.doc_id, (r.text or "").encode()) for r in odd_docs.collect()]
+    streams = [np.r_[np.frombuffer(enc.ids(t.decode()), kind).astype(np.int64), end] for _, t in texts]
+    stored = spark.createDataFrame([(d, True, enc.ids(t.decode())) for d, t in texts], "doc_id long, taught boolean, ids binary").repartition(3)
+    near = lm.neighbours(stored, kind, end)
+    want = np.zeros_like(near)
+    for s in streams:
+        np.add.at(want[:, 0], s, 1)
+        np.add.at(want[:, 1:], (s[1:], lm.bucket(s[:-1])), 1)
+        np.add.at(want[:, 1:], (s[:-1], lm.SIDES + lm.bucket(s[1:])), 1)
+    assert (near == want).all()
+    monkeypatch.setattr(lm, "STEPS", 5)
+    m = lm.train(stored, WORD)
+    assert (m.alone == (want[:, 0] + 0.5) / np.bincount(m.cls, weights=want[:, 0] + 0.5, minlength=lm.CLASSES)[m.cls]).all()
+    seen = np.zeros((lm.CLASSES + 1, end + 1))
+    for s in streams:
+        np.add.at(seen, (m.places(s, np.array([0])), s), 1)
+    within, m.within = m.within, None
+    assert np.allclose(within, m.count(seen).within)
+
+
+def test_lm_every_text_teaches_and_more_texts_teach_more():
+    m, streams = small_model()
+    long = np.r_[np.arange(5000) % 40, 50]
+    assert m.many(len(long)) == len(m.windows(long)[0])
+    for some in ([long], streams, [*streams, long], [np.array([50])] * 7):
+        before = {k: x.copy() for k, x in m.p.items()}
+        seen = m.go_on(iter(some))
+        assert seen == sum(len(range(int(zlib.crc32(s.tobytes()) % min(lm.SHARE, m.many(len(s)))), m.many(len(s)), lm.SHARE)) for s in some) >= len(some)
+        assert any((before[k] != m.p[k]).any() for k in before)
+
+
 def test_lm_is_a_distribution_causal_and_scores_each_id_once():
     m, streams = small_model()
     for prefix in ([], [3], [3, 9, 12], list(streams[0][:40])):
         total = sum(10 ** (m.log10s([np.array([*prefix, i])])[0] - (m.log10s([np.array(prefix)])[0] if prefix else 0)) for i in range(51))
         assert abs(total - 1) < 1e-3
     # Plain way: each id's loss in the window that scores it.
-    for s in (streams[0], streams[1][:5], np.array([50]), np.arange(16) % 40, np.arange(17) % 40, np.arange(28) % 40, np.arange(29) % 40):
+    for n in (lm.WINDOW, lm.WINDOW + 1, lm.WINDOW + lm.STEP, lm.WINDOW + lm.STEP + 1):
+        streams = [*streams, np.arange(n) % 40]
+    for s in (streams[0], streams[1][:5], np.array([50]), *streams[-4:]):
         rows, target, ok = m.windows(s)
         assert ok.sum() == len(s)
         prev = np.r_[lm.CLASSES, m.before[s[:-1]]]
@@ -169,12 +209,12 @@ def test_lm_is_a_distribution_causal_and_scores_each_id_once():
     assert np.allclose(m.log10s(streams), [m.log10s([s])[0] for s in streams], atol=1e-3)
 
 
-def test_lm_later_windows_give_each_id_four_before_it():
+def test_lm_later_windows_give_each_id_eight_before_it():
     m, streams = small_model()
-    assert lm.WINDOW - lm.STEP >= 4
-    for n in (17, 28, 29, 61):
+    assert lm.WINDOW - lm.STEP >= 8
+    for n in (33, 56, 57, 121):
         _, _, ok = m.windows(np.arange(n) % 40)
-        assert ok.sum() == n and not ok[1:, :4].any()
+        assert ok.sum() == n and not ok[1:, :8].any()
 
 
 def test_lm_base_scores_equal_plain_counts(spark, odd_docs):
@@ -199,17 +239,25 @@ def test_lm_base_scores_equal_plain_counts(spark, odd_docs):
     assert len(none) == len(rows) and all(r.train_tokens == 0 and r.base_score == 0 and r.n_known == 0 for r in none)
 
 
-def test_lm_beats_unigrams_on_held_out(spark):
+def test_lm_beats_counts_on_held_out(spark):
     docs = spark.read.parquet(DOCS)
     rows = lm.score(docs, WORD, lm.held_out_fold(7, 2)).where("held_out").collect()
-    enc, counts = encoder(WORD), Counter()
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for d, t in texts.items():
+    enc, counts, pairs, firsts = encoder(WORD), Counter(), Counter(), Counter()
+    streams = {r.doc_id: [*np.frombuffer(enc.ids(r.text or ""), enc.kind).tolist(), enc.size] for r in docs.collect()}
+    for d, s in streams.items():
         if remainder(d, 7) != 2:
-            counts.update(np.frombuffer(enc.ids(t), enc.kind).tolist())
-    n = sum(counts.values()) + 0.5 * enc.size
-    plain = sum(np.log10((counts[i] + 0.5) / n) for r in rows for i in np.frombuffer(enc.ids(texts[r.doc_id]), enc.kind).tolist())
-    assert len(rows) > 100 and sum(r.score for r in rows) > 0.8 * plain
+            counts.update(s)
+            pairs.update(zip([-1, *s], s, strict=False))
+            firsts.update([-1, *s[:-1]])
+    n, v = sum(counts.values()), enc.size + 1
+    one = lambda i: (counts[i] + 0.5) / (n + 0.5 * v)
+    held = [streams[r.doc_id] for r in rows]
+    plain = sum(np.log10(one(i)) for s in held for i in s)
+    # The best weight of the single counts, chosen on the held-out texts themselves.
+    bigram = max(sum(np.log10((pairs[p, i] + w * one(i)) / (firsts[p] + w)) for s in held for p, i in zip([-1, *s], s, strict=False)) for w in (30, 300, 3000))
+    got = sum(r.score for r in rows)
+    print("per id:", [x / sum(map(len, held)) for x in (got, bigram, plain)])
+    assert len(rows) > 100 and got > 0.75 * plain and got > BIGRAM * bigram
 
 
 # quality
