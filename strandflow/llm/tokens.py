@@ -91,7 +91,7 @@ class Encoder:
             pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
             self.fast = norm == _NORMALIZER and pre[0].get("pattern", {}).get("Regex") == _PATTERN and spec["post_processor"] is None
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.letters = _byte_letters()
+        self.letters = [letter for _, letter in sorted(_byte_letters().items())]
         self.count = _Cache(lambda w: len(self.of_pretoken(w)), lengths)
         self.bytes = _Cache(lambda w: np.asarray(self.of_pretoken(w), self.kind).tobytes())
 
@@ -99,7 +99,10 @@ class Encoder:
         """Ids of one pre-token: its bytes as letters, straight to the merges; of a word beyond Latin-1, the library's."""
         if not word.isascii() and max(word) > "\xff":
             return self.whole(word)
-        return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        # Printable ASCII is written as itself.
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([self.letters[b] for b in word.encode()])
+        return [t.id for t in self.tok.model.tokenize(word)]
 
     def pretokens(self, text: str) -> list[str] | None:
         """The text's pre-tokens, and words beyond Latin-1 as they are; None where only the library will do: with special strings."""
