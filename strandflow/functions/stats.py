@@ -14,19 +14,37 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abramowitz and Stegun 26.2.17.
-_P = 0.2316419
-_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-_DENSITY = 0.3989422804014327
+def _scaled_erfc(z: float) -> float:
+    """exp(z * z) * erfc(z) for z >= 0, beyond 4 by its continued fraction."""
+    if z <= 4:
+        return math.exp(z * z) * math.erfc(z)
+    f = z
+    for k in range(120, 0, -1):
+        f = z + k / 2 / f
+    return 1 / (f * math.sqrt(math.pi))
+
+
+def _fit(degree: int = 24) -> list[float]:
+    """Coefficients in u = 2 t - 1 of log(exp(z * z) erfc(z) / t), t = 2 / (2 + z), which is smooth down to t = 0."""
+    def log_of(u):
+        t = (np.atleast_1d(u) + 1) / 2
+        return np.array([math.log(_scaled_erfc(2 / x - 2) / x) for x in t])
+
+    c = np.polynomial.chebyshev.chebinterpolate(log_of, degree)
+    return np.polynomial.chebyshev.cheb2poly(c).tolist()
+
+
+_TAIL = _fit()
 
 
 def upper_tail(x: Column) -> Column:
-    """P(Z > |x|) of a standard normal."""
-    t = 1.0 / (1.0 + F.lit(_P) * F.abs(x))
-    poly = F.lit(0.0)
-    for b in reversed(_B):
-        poly = (poly + F.lit(b)) * t
-    return F.lit(_DENSITY) * F.exp(-x * x / 2.0) * poly
+    """P(Z > |x|) of a standard normal, to about ten digits however small it is."""
+    z = F.abs(x) / math.sqrt(2)
+    u = 4.0 / (2.0 + z) - 1.0
+    poly = F.lit(_TAIL[-1])
+    for c in reversed(_TAIL[:-1]):
+        poly = poly * u + F.lit(c)
+    return F.exp(poly - z * z) / (2.0 + z)
 
 
 def norm_cdf(x: Column) -> Column:

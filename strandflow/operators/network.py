@@ -153,11 +153,13 @@ def snprank(m: np.ndarray, gamma: float | None = 0.85, power: bool = False, tole
     hand = np.divide(g, col, out=np.zeros_like(g), where=col != 0)
     if gamma is None:
         below = (g != 0) @ col
-        damp = np.divide(g.sum(axis=1), below, out=np.zeros(n), where=below != 0)[:, None] * np.ones(n)
+        each = np.divide(g.sum(axis=1), below, out=np.zeros(n), where=below != 0)
     else:
-        damp = np.full((n, n), gamma)
+        each = np.full(n, gamma)
+    # What a neighbour hands on is damped by the neighbour's own share: along columns.
+    damp = np.broadcast_to(each, (n, n))
     trace = diag.sum()
-    base = (1 - damp[:, 0]) / n + (diag / (n * trace) if trace else 0)
+    base = (1 - each) / n + (diag / (n * trace) if trace else 0)
     if power:
         r = np.full(n, 1 / n)
         for _ in range(10_000):

@@ -30,8 +30,8 @@ def multiple_testing(results: DataFrame, chisq: str = "chisq") -> DataFrame:
     x = x.withColumn("h", F.sum(1.0 / (i + 1)).over(Window.partitionBy("t")))
     one = lambda c: F.least(F.lit(1.0), c)
     return x.select(
-        "vid", "unadj", "gc", one(p * t).alias("bonf"), F.max(one((t - i) * p)).over(up).alias("holm"), (1 - F.pow(1 - p, t)).alias("sidak_ss"),
-        F.max(1 - F.pow(1 - p, t - i)).over(up).alias("sidak_sd"), F.min(one(t * p / (i + 1))).over(down).alias("fdr_bh"), F.min(one(F.col("h") * t * p / (i + 1))).over(down).alias("fdr_by"),
+        "vid", "unadj", "gc", one(p * t).alias("bonf"), F.max(one((t - i) * p)).over(up).alias("holm"), (-F.expm1(t * F.log1p(-p))).alias("sidak_ss"),
+        F.max(-F.expm1((t - i) * F.log1p(-p))).over(up).alias("sidak_sd"), F.min(one(t * p / (i + 1))).over(down).alias("fdr_bh"), F.min(one(F.col("h") * t * p / (i + 1))).over(down).alias("fdr_by"),
     )
 
 

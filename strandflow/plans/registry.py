@@ -1,6 +1,6 @@
 """Registered queries over whole tables, each with the DuckDB SQL that it is checked against where SQL can express it.
 
-Doubles are rounded to six digits on both sides, as the engines sum in different orders.
+Doubles are rounded to six digits on both sides, as the engines sum in different orders; p-values to six significant ones.
 """
 
 from __future__ import annotations
@@ -18,8 +18,13 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
+#: Columns of probabilities, which are rounded to six significant digits, however small they are.
+_SMALL = {"p", "unadj", "gc", "bonf", "holm", "fdr_bh", "fdr_by"}
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    short = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.5e", F.col(c)).cast("double")) if c in _SMALL else F.round(c, digits) + F.lit(0.0)
+    return df.select(*(short(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def query(sql: str | None = None, doubles: str = "", digits: int = 6):
@@ -29,7 +34,8 @@ def query(sql: str | None = None, doubles: str = "", digits: int = 6):
         QUERIES[f.__name__] = lambda spark, sf: rounded(f(spark, sf), digits)
         if sql:
             head, _, body = sql.rpartition(";;")
-            replace = ", ".join(f"round({c}, {digits}) + 0.0::DOUBLE AS {c}" for c in doubles.split())
+            short = lambda c: f"printf('%.5e', {c})::DOUBLE" if c in _SMALL else f"round({c}, {digits}) + 0.0::DOUBLE"
+            replace = ", ".join(f"{short(c)} AS {c}" for c in doubles.split())
             SQL[f.__name__] = f"WITH {fx.CTE}{', ' + head if head else ''} SELECT *{f' REPLACE ({replace})' if replace else ''} FROM ({body}) x"
         return f
 
@@ -37,11 +43,11 @@ def query(sql: str | None = None, doubles: str = "", digits: int = 6):
 
 
 def _tail(x: str) -> str:
-    t = f"(1.0 / (1.0 + 0.2316419 * abs({x})))"
-    poly = "0.0"
-    for b in ("1.330274429", "-1.821255978", "1.781477937", "-0.356563782", "0.319381530"):
-        poly = f"(({poly} + {b}) * {t})"
-    return f"(0.3989422804014327 * exp(-({x}) * ({x}) / 2.0) * {poly})"
+    """P(Z > |x|) by another way than the engine's: the tail's continued fraction from 1 on, the centre's series below."""
+    z, density = f"abs({x})", f"(exp(-({x}) * ({x}) / 2.0) / sqrt(2 * pi()))"
+    fraction = f"list_reduce(range(160, 0, -1)::DOUBLE[], lambda a, k: {z} + k / a)"
+    series = f"list_reduce(range(61, 1, -2)::DOUBLE[], lambda a, k: 1 + ({x}) * ({x}) / k * a)"
+    return f"(CASE WHEN {z} >= 1 THEN {density} / {fraction} ELSE 0.5 - {density} * {z} * {series} END)"
 
 
 def _x2(a: str, b: str, c: str, d: str) -> str:

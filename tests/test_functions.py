@@ -69,6 +69,15 @@ def test_columns_equal_functions(spark):
         assert r.c == pytest.approx(float(stats.chi2_sf(r.x, 1)), abs=2e-7) and r.p == pytest.approx(float(stats.chi2_sf(r.x, r.k))) and r.n == pytest.approx(float(stats.norm_sf(r.x)), abs=1e-7) and r.t == pytest.approx(float(stats.t_sf2(r.x, r.k)))
 
 
+def test_tails_hold_however_small(spark):
+    xs = [i / 8 for i in range(300)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.upper_tail(-F.col("x")).alias("p"), stats.chi2_sf1(F.col("x") * F.col("x")).alias("c")).collect()
+    for r in rows:
+        want = math.erfc(r.x / math.sqrt(2))
+        assert r.p == pytest.approx(want / 2, rel=1e-9) and r.c == pytest.approx(want, rel=1e-9)
+    assert 0 < rows[-1].p < 1e-300
+
+
 def test_small_helpers():
     assert stats.mcnemar_bowker(np.array([[1, 5], [3, 2]])) == (0.5, 1)
     assert stats.bh_adjust(np.array([0.01, 0.02, 0.04])) == pytest.approx([0.03, 0.03, 0.04])

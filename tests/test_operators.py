@@ -195,6 +195,15 @@ def test_network_methods():
     g = a + np.diag(np.arange(6.0))
     r, p = network.snprank(g), network.snprank(g, power=True, tolerance=1e-12)
     assert r.sum() == pytest.approx(1) and r == pytest.approx(p, abs=1e-8) and network.snprank(g, gamma=None).sum() == pytest.approx(1)
+    # Without gamma each attribute hands on by its own share: a plain solve, cell by cell.
+    weights = np.array([[0.5, 0.2, 0.7], [0.2, 0.1, 0.4], [0.7, 0.4, 0.3]])
+    off, n = weights - np.diag(np.diag(weights)), 3
+    col = [sum(off[i][j] for i in range(n)) for j in range(n)]
+    share = [sum(off[i]) / sum(col[j] for j in range(n) if off[i][j]) for i in range(n)]
+    system = np.array([[(i == j) - share[j] * off[i][j] / col[j] for j in range(n)] for i in range(n)])
+    want = np.linalg.solve(system, [(1 - share[i]) / n + weights[i][i] / (n * np.trace(weights)) for i in range(n)])
+    for power in (False, True):
+        assert network.snprank(weights, gamma=None, power=power, tolerance=1e-13) == pytest.approx(want / want.sum(), abs=1e-9)
     d = network.deconvolve(a)
     assert d.shape == a.shape and 0 <= d.min() and d.max() <= 1
     assert len(set(network.ripm(a, 3, 2).tolist())) == 2

@@ -19,7 +19,15 @@ def con():
 
 def canonical(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple("" if r[i] is None else str(round(float(r[i]), 5)) if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
+
+    def said(i, v):
+        if v is None:
+            return ""
+        if not isinstance(v, float):
+            return str(v)
+        return f"{v:.4e}" if columns[i] in registry._SMALL else str(round(v, 5))
+
+    return sorted(tuple(said(i, r[i]) for i in order) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
