@@ -6,7 +6,7 @@ meets, and each pair is confirmed once.  No nested loop over all pairs, whatever
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.stats import div, n_if
@@ -34,6 +34,28 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int = 100_000) -> DataFrame:
     return meet.where(F.col("bin") == first).drop("bin", "b_bin").withColumn("meet", F.least("bp2", "b_bp2") - F.greatest("bp1", "b_bp1") + 1)
 
 
+def overlap_totals(a: DataFrame, b: DataFrame, key: str = "seg_id", width: int = 100_000) -> DataFrame:
+    """key, n, meet: how many segments of b each of a's meets, and the meetings' summed length, without a row for each pair.
+
+    A segment [p, q] meets what begins by q less what has ended before p, and as much as b covers up to q less up to p - 1.
+    Counts and sums of begins and ends run along each bin of a chromosome, on top of the totals of the bins before.
+    """
+    parts = ("n1", "s1", "n2", "s2")
+    event = lambda c, first: b.select("chr", F.col(c).cast("long").alias("x"), *(F.lit(v).cast("long").alias(k) if v is not None else F.col(c).cast("long").alias(k) for k, v in zip(parts, (1, None, 0, 0) if first else (0, 0, 1, None), strict=True)))
+    events = event("bp1", True).unionByName(event("bp2", False)).groupBy("chr", "x").agg(*(F.sum(k).alias(k) for k in parts))
+    nothing = [F.lit(0).cast("long").alias(k) for k in parts]
+    asks = a.select("chr", F.col("bp2").cast("long").alias("x"), *nothing, F.col(key), F.lit(1).alias("sign")).unionByName(a.select("chr", (F.col("bp1") - 1).cast("long").alias("x"), *nothing, F.col(key), F.lit(-1).alias("sign")))
+    rows = events.unionByName(asks, allowMissingColumns=True).withColumn("bin", F.floor(F.col("x") / width))
+    # One row for each bin of the genome: bounded by its length.
+    before = Window.partitionBy("chr").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("chr", "bin").agg(*(F.sum(k).alias(k) for k in parts)).select("chr", "bin", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"c_{k}") for k in parts))
+    so_far = Window.partitionBy("chr", "bin").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    at = rows.select("chr", "bin", "x", key, "sign", *(F.sum(k).over(so_far).alias(k) for k in parts)).where("sign is not null").join(carried, ["chr", "bin"])
+    n1, s1, n2, s2 = (F.col(k) + F.col(f"c_{k}") for k in parts)
+    covered = n1 * (F.col("x") + 1) - s1 - (n2 * F.col("x") - s2)
+    return at.groupBy(key).agg(F.sum(F.when(F.col("sign") > 0, n1).otherwise(-n2)).alias("n"), F.sum(F.col("sign") * covered).alias("meet")).where("n > 0")
+
+
 def overlap_share(kind: str = "default") -> Column:
     """Share of a meeting: of the segment (default), of both together (union), or of the region."""
     own, other = F.col("bp2") - F.col("bp1") + 1, F.col("b_bp2") - F.col("b_bp1") + 1

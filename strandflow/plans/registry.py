@@ -283,7 +283,7 @@ def make_sets(spark, sf):
 @query("SELECT a.seg_id, count(*) AS n, CAST(sum(least(a.bp2, b.bp2) - greatest(a.bp1, b.bp1) + 1) AS BIGINT) AS meet FROM seg a JOIN seg b ON a.chr = b.chr AND a.bp1 <= b.bp2 AND b.bp1 <= a.bp2 GROUP BY a.seg_id")
 def segment_overlap(spark, sf):
     seg = fx.segments(spark, sf)
-    return joins.overlap_join(seg, seg.select("seg_id", "chr", "bp1", "bp2"), width=4000).groupBy("seg_id").agg(F.count("*").alias("n"), F.sum("meet").alias("meet"))
+    return joins.overlap_totals(seg, seg)
 
 
 @query("SELECT a.sample_id AS i, b.sample_id AS j FROM s a JOIN s b ON a.cluster = b.cluster AND a.sex <> b.sex AND abs(a.pheno - b.pheno) <= 0.05 AND a.sample_id < b.sample_id")
