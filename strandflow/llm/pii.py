@@ -128,7 +128,8 @@ def _candidate_row(s: Column, m: Column, gap: Column, after: Column, first: Colu
 
 def _refuted(token: Column) -> Column:
     """The kind whose form a candidate has, without having passed its test; null for most."""
-    forms = (("ip", r"^[0-9]+(?:\.[0-9]+){3}$"), ("card", r"^[0-9](?:-?[0-9])+$"), ("phone", r"^\+[0-9][().0-9-]+[0-9]$"))
+    # Character classes only: a repeated group would go one step deeper for each digit.
+    forms = (("ip", r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), ("card", r"^(?!.*--)[0-9][0-9-]*[0-9]$"), ("phone", r"^\+[0-9][().0-9-]+[0-9]$"))
     out = F.lit(None).cast("string")
     for kind, form in forms:
         out = F.when(token.rlike(form), F.lit(kind)).otherwise(out)
