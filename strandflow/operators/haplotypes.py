@@ -43,7 +43,7 @@ def phase(g: DataFrame, windows: DataFrame) -> DataFrame:
         rows = [(int(pdf["window"].iloc[0]), s, "".join(map(str, a)), "".join(map(str, b)), w) for s, ps in zip(wide.index, posteriors(x, haplotype_em(x)), strict=True) for a, b, w in ps if w > 1e-6]
         return pd.DataFrame(rows, columns=["window", "sample_id", "hap1", "hap2", "posterior"])
 
-    return g.join(F.broadcast(windows), "vid").groupBy("window").applyInPandas(run, "window int, sample_id long, hap1 string, hap2 string, posterior double")
+    return g.join(windows, "vid").groupBy("window").applyInPandas(run, "window int, sample_id long, hap1 string, hap2 string, posterior double")
 
 
 def haplotype_counts(phased: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def impute(g: DataFrame, windows: DataFrame) -> DataFrame:
                     rows.append((s, int(wide.columns[j]), float(sum(w * (a[j] + b[j]) for a, b, w in ps))))
         return pd.DataFrame(rows, columns=["sample_id", "vid", "dose"])
 
-    return g.join(F.broadcast(windows), "vid").groupBy("window").applyInPandas(run, "sample_id long, vid int, dose double")
+    return g.join(windows, "vid").groupBy("window").applyInPandas(run, "sample_id long, vid int, dose double")
 
 
 def mishap(g: DataFrame, v: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def mishap(g: DataFrame, v: DataFrame) -> DataFrame:
     w = Window.partitionBy("chr").orderBy("bp", "vid")
     flank = v.select("vid", F.lag("vid").over(w).alias("l"), F.lead("vid").over(w).alias("r")).where("l is not null and r is not null")
     need = flank.select(F.col("vid").alias("mid"), F.explode(F.array("l", "vid", "r")).alias("vid"))
-    x = g.join(F.broadcast(need), "vid")
+    x = g.join(need, "vid")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mid = int(pdf["mid"].iloc[0])

@@ -267,7 +267,7 @@ def haplotype_em(calls: np.ndarray, rounds: int = 200, tolerance: float = 1e-10)
 
 def haplotype_freq(g: DataFrame, windows: DataFrame) -> DataFrame:
     """window, haplotype, freq: EM for each window (window, vid) of a few variants."""
-    x = g.join(F.broadcast(windows), "vid")
+    x = g.join(windows, "vid")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="sample_id", columns="vid", values="dosage").fillna(-1).astype(int)

@@ -77,12 +77,16 @@ def neighbours(pairs: DataFrame, k1: int, k2: int) -> DataFrame:
     return x.join(F.broadcast(m), "rank").select("id", "rank", "dst", div(F.col("dst") - F.col("m"), F.col("sd")).alias("z"))
 
 
-def _variant_pairs(g: DataFrame, close: Column | None) -> DataFrame:
+def _variant_pairs(g: DataFrame, band: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """sample_id, v1, a, v2, b: pairs of calls of a sample; with ``band`` by blocks of so many variants, each joined with itself and the next."""
     x = g.where("dosage is not null")
-    a = x.select("sample_id", F.col("vid").alias("v1"), F.col("dosage").cast("double").alias("a"))
+    a = x.select("sample_id", *by, F.col("vid").alias("v1"), F.col("dosage").cast("double").alias("a"))
     b = x.select("sample_id", F.col("vid").alias("v2"), F.col("dosage").cast("double").alias("b"))
-    y = a.join(b, "sample_id").where("v1 < v2")
-    return y if close is None else y.where(close)
+    if band is None:
+        return a.join(b, "sample_id").where("v1 < v2")
+    block = lambda c: F.floor(F.col(c) / band)
+    b = b.withColumn("block", F.explode(F.array(block("v2"), block("v2") - 1)))
+    return a.withColumn("block", block("v1")).join(b, ["sample_id", "block"]).where((F.col("v1") < F.col("v2")) & (F.col("v2") - F.col("v1") < band)).drop("block")
 
 
 def _correlation(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sab: Column) -> Column:
@@ -91,8 +95,7 @@ def _correlation(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sa
 
 def ld(g: DataFrame, band: int | None = None, least_r2: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """v1, v2, r, r2 over samples with both calls; with ``band`` only variants fewer than so many apart."""
-    close = None if band is None else F.col("v2") - F.col("v1") < band
-    x = _variant_pairs(g, close) if not by else _by_group(g, close, by)
+    x = _variant_pairs(g, band, by)
     a, b = F.col("a"), F.col("b")
     x = x.groupBy("v1", "v2", *by).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))
     r = _correlation(*(F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
@@ -100,14 +103,6 @@ def ld(g: DataFrame, band: int | None = None, least_r2: float = 0.0, by: tuple[s
     return x.where(F.col("r2") >= least_r2) if least_r2 > 0 else x
 
 
-def _by_group(g: DataFrame, close: Column | None, by: tuple[str, ...]) -> DataFrame:
-    x = g.where("dosage is not null")
-    a = x.select("sample_id", *by, F.col("vid").alias("v1"), F.col("dosage").cast("double").alias("a"))
-    b = x.select("sample_id", F.col("vid").alias("v2"), F.col("dosage").cast("double").alias("b"))
-    y = a.join(b, "sample_id").where("v1 < v2")
-    return y if close is None else y.where(close)
-
-
 def tags(g: DataFrame, targets: DataFrame, band: int, least_r2: float = 0.8) -> DataFrame:
     """vid, n_tags: variants that tag each target."""
     r = ld(g, band, least_r2)
@@ -161,7 +156,7 @@ def clump(results: DataFrame, r2: DataFrame, p1: float = 1e-4, p2: float = 1e-2,
     cand = {r.vid: r.p for r in results.where(F.col("p") <= p2).select("vid", "p").collect()}
     ids = results.sparkSession.createDataFrame([(k,) for k in cand], "vid int")
     near: dict[int, set[int]] = {}
-    pairs = r2.where(F.col("r2") >= least_r2).join(F.broadcast(ids.withColumnRenamed("vid", "v1")), "v1", "left_semi").join(F.broadcast(ids.withColumnRenamed("vid", "v2")), "v2", "left_semi")
+    pairs = r2.where(F.col("r2") >= least_r2).join(ids.withColumnRenamed("vid", "v1"), "v1", "left_semi").join(ids.withColumnRenamed("vid", "v2"), "v2", "left_semi")
     for r in pairs.select("v1", "v2").collect():
         near.setdefault(r.v1, set()).add(r.v2)
         near.setdefault(r.v2, set()).add(r.v1)

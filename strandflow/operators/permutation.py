@@ -77,7 +77,7 @@ def adaptive(g: DataFrame, statistic: Callable[[DataFrame, DataFrame], DataFrame
     open_rows = {r.vid: [r.stat, 0] for r in observed.where("stat is not null").select("vid", "stat").collect()}
     while open_rows and start <= most:
         ids = spark.createDataFrame([(k, float(v[0])) for k, v in open_rows.items()], "vid int, seen double")
-        hits = statistic(g.join(F.broadcast(ids.select("vid")), "vid", "left_semi"), labels(start, batch)).join(F.broadcast(ids), "vid").groupBy("vid").agg(F.sum((F.col("stat") >= F.col("seen") - 1e-9).cast("int")).alias("r")).collect()
+        hits = statistic(g.join(ids.select("vid"), "vid", "left_semi"), labels(start, batch)).join(ids, "vid").groupBy("vid").agg(F.sum((F.col("stat") >= F.col("seen") - 1e-9).cast("int")).alias("r")).collect()
         n = start - 1 + batch
         for h in hits:
             open_rows[h.vid][1] += h.r

@@ -53,7 +53,7 @@ def _turn(g: DataFrame, turned: DataFrame) -> DataFrame:
 
 def clean_haploid(g: DataFrame, v: DataFrame, s: DataFrame) -> DataFrame:
     """Heterozygous calls of haploid variants, and any Y calls of females, become missing.  v has is_x, is_y, is_haploid."""
-    x = g.join(F.broadcast(v.select("vid", "is_x", "is_y", "is_haploid")), "vid").join(s.select("sample_id", "sex"), "sample_id")
+    x = g.join(v.select("vid", "is_x", "is_y", "is_haploid"), "vid").join(s.select("sample_id", "sex"), "sample_id")
     male = F.col("sex") == 1
     bad = ((F.col("is_haploid") | (F.col("is_x") & male)) & (F.col("dosage") == 1)) | (F.col("is_y") & ~male)
     return x.select("sample_id", "vid", F.when(~F.coalesce(bad, F.lit(False)), F.col("dosage")).alias("dosage"))
@@ -73,14 +73,14 @@ def affection(pheno: Column, zero_one: bool = False, missing: float = -9.0) -> C
 
 def centre(num: DataFrame) -> DataFrame:
     m = num.groupBy("attr_id").agg(F.avg("value").alias("m"))
-    return num.join(F.broadcast(m), "attr_id").select("sample_id", "attr_id", (F.col("value") - F.col("m")).alias("value"))
+    return num.join(m, "attr_id").select("sample_id", "attr_id", (F.col("value") - F.col("m")).alias("value"))
 
 
 def standardise(num: DataFrame) -> DataFrame:
     """(value - mean) / sd by attribute; an attribute that doesn't vary is only centred."""
     m = num.groupBy("attr_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
     sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
-    return num.join(F.broadcast(m), "attr_id").select("sample_id", "attr_id", ((F.col("value") - F.col("m")) / sd).alias("value"))
+    return num.join(m, "attr_id").select("sample_id", "attr_id", ((F.col("value") - F.col("m")) / sd).alias("value"))
 
 
 def dummy_coding(s: DataFrame, column: str, levels: list) -> DataFrame:

@@ -85,7 +85,7 @@ def ibd_posteriors(a: np.ndarray, b: np.ndarray, freq: np.ndarray, cm: np.ndarra
 def multipoint_ibd(g: DataFrame, v: DataFrame, pairs: DataFrame, freq: DataFrame) -> DataFrame:
     """i, j, vid, z0, z1, z2 along each chromosome, for pairs (i, j, z0, z1, z2): one group for each pair and chromosome."""
     m = v.select("vid", "chr", "cm").join(freq.select("vid", "freq"), "vid")
-    x = g.join(F.broadcast(m), "vid")
+    x = g.join(m, "vid")
     a = pairs.join(x.select(F.col("sample_id").alias("i"), "vid", "chr", "cm", "freq", F.col("dosage").alias("a")), "i")
     y = a.join(g.select(F.col("sample_id").alias("j"), "vid", F.col("dosage").alias("b")), ["j", "vid"])
 

@@ -16,7 +16,7 @@ def homozygous_runs(g: DataFrame, v: DataFrame, window: int = 50, most_het: int
     the windows that cover it are; runs break at gaps.
     """
     w = Window.partitionBy("sample_id", "chr").orderBy("bp", "vid")
-    x = g.join(F.broadcast(v.select("vid", "chr", "bp")), "vid")
+    x = g.join(v.select("vid", "chr", "bp"), "vid")
     ahead = w.rowsBetween(0, window - 1)
     x = x.withColumns({"het": F.sum((F.col("dosage") == 1).cast("int")).over(ahead), "miss": F.sum(F.col("dosage").isNull().cast("int")).over(ahead), "len": F.count("*").over(ahead)})
     good = (F.col("len") == window) & (F.coalesce("het", F.lit(0)) <= most_het) & (F.col("miss") <= most_missing)

@@ -100,7 +100,7 @@ def vif_prune(g: DataFrame, v: DataFrame, window: int = 50, most_vif: float = 2.
         keep = {wide.columns[j] for j in prune_collinear(wide.to_numpy(), most_vif)}
         return pd.DataFrame({"vid": [int(c) for c in wide.columns], "kept": [c in keep for c in wide.columns]})
 
-    return g.join(F.broadcast(groups), "vid").groupBy("chr", "grp").applyInPandas(run, "vid int, kept boolean")
+    return g.join(groups, "vid").groupBy("chr", "grp").applyInPandas(run, "vid int, kept boolean")
 
 
 def gene_pair_test(g: DataFrame, sets: DataFrame, s: DataFrame, pairs: DataFrame) -> DataFrame:

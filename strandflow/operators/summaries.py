@@ -64,6 +64,13 @@ def missing_case_control(g: DataFrame, s: DataFrame) -> DataFrame:
     return x.withColumn("f_miss_a", div(F.col("miss_a"), F.col("miss_a") + F.col("call_a"))).withColumn("f_miss_u", div(F.col("miss_u"), F.col("miss_u") + F.col("call_u")))
 
 
+def missing_fisher(g: DataFrame, s: DataFrame) -> DataFrame:
+    """The table of missingness and affection with its exact two-sided p."""
+    from strandflow.functions.stats import fisher_p
+
+    return missing_case_control(g, s).withColumn("p", fisher_p(*(F.col(c).cast("double") for c in ("miss_a", "call_a", "miss_u", "call_u"))))
+
+
 def heterozygosity(g: DataFrame) -> DataFrame:
     """sample_id, o_hom, e_hom, n, f: inbreeding from the excess of homozygous calls at polymorphic variants."""
     f = allele_freq(g).where("nchrobs > 1 and freq > 1e-8 and freq < 1 - 1e-8")
@@ -75,7 +82,7 @@ def heterozygosity(g: DataFrame) -> DataFrame:
 
 def sex_check(g: DataFrame, v: DataFrame, s: DataFrame, x_code: int, female: float = 0.2, male: float = 0.8) -> DataFrame:
     """sample_id, pedsex, snpsex, status, f: sex by the inbreeding of X calls."""
-    on_x = g.join(F.broadcast(v.where(F.col("chr") == x_code).select("vid")), "vid", "left_semi")
+    on_x = g.join(v.where(F.col("chr") == x_code).select("vid"), "vid", "left_semi")
     snp = F.when(F.col("f") > male, 1).when(F.col("f") < female, 2).otherwise(0)
     x = s.select("sample_id", F.col("sex").alias("pedsex")).join(heterozygosity(on_x).select("sample_id", "f"), "sample_id", "left").withColumn("snpsex", snp)
     return x.select("sample_id", "pedsex", "snpsex", F.when((F.col("snpsex") != 0) & (F.col("snpsex") == F.col("pedsex")), "OK").otherwise("PROBLEM").alias("status"), "f")

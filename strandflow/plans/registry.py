@@ -117,6 +117,11 @@ def missing_case_control(spark, sf):
     return summaries.missing_case_control(fx.genotypes(spark, sf), fx.samples(spark, sf))
 
 
+@query()
+def missing_fisher(spark, sf):
+    return summaries.missing_fisher(fx.genotypes(spark, sf), fx.samples(spark, sf))
+
+
 _FREQ = "f AS (SELECT vid, sum(dosage) / nullif(2 * count(dosage), 0)::DOUBLE AS freq, 2 * count(dosage) AS nm FROM g GROUP BY vid)"
 _HET = f"{_FREQ}, hz AS (SELECT sample_id, {_N('dosage <> 1')} AS o_hom, sum(1 - 2 * freq * (1 - freq) * nm / (nm - 1)::DOUBLE) AS e_hom, count(*) AS n FROM g JOIN f USING (vid) {{}} WHERE dosage IS NOT NULL AND nm > 1 AND freq > 1e-8 AND freq < 1 - 1e-8 {{}} GROUP BY sample_id)"
 

@@ -67,7 +67,7 @@ def ped(spark: SparkSession, ped_path: str, map_path: str) -> tuple[DataFrame, D
     n = F.floor((F.size("f") - 6) / 2).cast("int")
     calls = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("f", 6 + 2 * i).alias("a"), F.get("f", 7 + 2 * i).alias("b")))
     long = x.where(n > 0).select(_f(1).alias("fid"), _f(2).alias("iid"), F.posexplode(calls).alias("idx", "c"))
-    g = long.join(F.broadcast(variants.where("use").select("idx", "name")), "idx").select("fid", "iid", "name", _allele(F.col("c.a")).alias("a"), _allele(F.col("c.b")).alias("b"))
+    g = long.join(variants.where("use").select("idx", "name"), "idx").select("fid", "iid", "name", _allele(F.col("c.a")).alias("a"), _allele(F.col("c.b")).alias("b"))
     return fam(spark, ped_path), variants.where("use").drop("use"), g
 
 
@@ -78,7 +78,7 @@ def tped(spark: SparkSession, tped_path: str, tfam_path: str) -> tuple[DataFrame
     variants = x.select(_f(1).alias("chr"), _f(2).alias("name"), _number(_f(3)).alias("cm"), _f(4).cast("int").alias("bp"))
     n = F.floor((F.size("f") - 4) / 2).cast("int")
     calls = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("f", 4 + 2 * i).alias("a"), F.get("f", 5 + 2 * i).alias("b")))
-    g = x.where(n > 0).select(_f(2).alias("name"), F.posexplode(calls).alias("idx", "c")).join(F.broadcast(who), "idx").select("fid", "iid", "name", _allele(F.col("c.a")).alias("a"), _allele(F.col("c.b")).alias("b"))
+    g = x.where(n > 0).select(_f(2).alias("name"), F.posexplode(calls).alias("idx", "c")).join(who, "idx").select("fid", "iid", "name", _allele(F.col("c.a")).alias("a"), _allele(F.col("c.b")).alias("b"))
     return fam(spark, tfam_path), variants, g
 
 
@@ -132,7 +132,7 @@ def clusters(spark: SparkSession, path: str, column: int = 1) -> DataFrame:
     """fid, iid, label, cluster (numbered by label)."""
     x = lines(spark, path).select(_f(1).alias("fid"), _f(2).alias("iid"), _f(2 + column).alias("label"))
     ids = x.select("label").distinct().withColumn("cluster", F.dense_rank().over(Window.orderBy("label")) - 1)
-    return x.join(F.broadcast(ids), "label").select("fid", "iid", "label", "cluster")
+    return x.join(ids, "label").select("fid", "iid", "label", "cluster")
 
 
 def sets(spark: SparkSession, path: str) -> DataFrame:
@@ -202,7 +202,7 @@ def dosages(spark: SparkSession, path: str, samples: DataFrame, numbers: int = 2
     value = lambda i, k: F.get("f", first + i * numbers + k).try_cast("double")
     dose = lambda i: value(i, 0) if numbers == 1 else 2 * value(i, 0) + value(i, 1)
     x = x.select(F.get("f", F.lit(skip[0])).alias("name"), F.get("f", F.lit(a)).alias("a1"), F.get("f", F.lit(a + 1)).alias("a2"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), dose)).alias("idx", "dose"))
-    return x.join(F.broadcast(samples.select("idx", "fid", "iid")), "idx").drop("idx")
+    return x.join(samples.select("idx", "fid", "iid"), "idx").drop("idx")
 
 
 def hard_calls(d: DataFrame, least: float = 0.1) -> DataFrame:

@@ -128,3 +128,30 @@ def test_gene_drop(spark):
         assert d[1, 1] in (1, 2) and d[1, 2] in (0, 1, 2) and d[2, 1] == 2
         seen.add((d[1, 1], d[1, 2]))
     assert len(seen) > 1
+
+
+def test_missingness_of_cases_and_controls_is_exact(spark):
+    from strandflow.functions.stats import fisher_exact
+    from strandflow.operators import summaries
+
+    rng = np.random.default_rng(2)
+    gone = rng.random((60, 3)) < np.array([0.1, 0.4, 0.0])
+    gone[:20, 1] = True
+    g = spark.createDataFrame([(i, v, None if gone[i, v] else 1) for i in range(60) for v in range(3)], "sample_id long, vid int, dosage int")
+    s = spark.createDataFrame([(i, i < 25) for i in range(60)], "sample_id long, aff boolean")
+    rows = {r.vid: r for r in summaries.missing_fisher(g, s).collect()}
+    for v in range(3):
+        a, u = int(gone[:25, v].sum()), int(gone[25:, v].sum())
+        assert rows[v].p == pytest.approx(fisher_exact([[a, 25 - a], [u, 35 - u]]))
+    assert rows[1].p < 1e-4 < 0.05 < rows[0].p
+
+
+def test_bands_of_variants_lose_no_pair(spark):
+    from strandflow.operators import pairs
+
+    g = linked(spark)[0].unionByName(linked(spark, seed=4)[0].withColumn("vid", F.col("vid") + 5))
+    every = {(r.v1, r.v2): r.r for r in pairs.ld(g).collect()}
+    for band in (1, 2, 3, 5, 20):
+        got = {(r.v1, r.v2): r.r for r in pairs.ld(g, band).collect()}
+        assert got == pytest.approx({k: x for k, x in every.items() if k[1] - k[0] < band}, nan_ok=True)
+    assert "CartesianProduct" not in pairs.ld(g, 3)._jdf.queryExecution().toString()
