@@ -26,7 +26,7 @@ def base(text):
 
 TEXTS = [
     None, "", "plain", "a@b.c_x@d.e f@@g.h .@x.y", "é🙂 mail joe.doe+1@ex-ample.co.uk, or x@y", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004 10.0.0.255.", "4111 1111 1111 1111 and 4111-1111-1111-1112 5500005555555559",
-    "+1 (988) 555-2485 +12 345678 +1234567890123456 ++1 (212) 555 0000.", "9" * 5000 + " 4012888888881881", "x" * 60_000 + "@a.b", "n " + "9" * 200_000 + " " + "9-" * 100_000 + "9", "a1" * 100_000 + " b", ("a@b.cd 1.1.1.1 " * 900) + "end", "1.2.3", "1 " * 20_000,
+    "+1 (988) 555-2485 +12 345678 +1234567890123456 ++1 (212) 555 0000.", "9" * 5000 + " 4012888888881881", "x" * 60_000 + "@a.b", "n " + "9" * 10_000 + " " + "9-" * 5000 + "9", "a1" * 5000 + " b", ("a@b.cd 1.1.1.1 " * 900) + "end", "1.2.3", "1 " * 20_000,
 ]
 
 
