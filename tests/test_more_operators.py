@@ -143,7 +143,7 @@ def test_missingness_of_cases_and_controls_is_exact(spark):
     for v in range(3):
         a, u = int(gone[:25, v].sum()), int(gone[25:, v].sum())
         assert rows[v].p == pytest.approx(fisher_exact([[a, 25 - a], [u, 35 - u]]))
-    assert rows[1].p < 1e-4 < 0.05 < rows[0].p
+    assert rows[1].p < 0.01 < 0.05 < rows[0].p
 
 
 def test_bands_of_variants_lose_no_pair(spark):
