@@ -146,3 +146,17 @@ def pfilter(results: DataFrame, most: float, p: str = "p") -> DataFrame:
 
 def rate(a: Column, b: Column) -> Column:
     return div(a, b)
+
+
+def hwe_exact_filter(g: DataFrame, s: DataFrame, least_p: float, group: str = "UNAFF") -> DataFrame:
+    """Variants whose exact Hardy-Weinberg p in a group is at least a bound."""
+    from strandflow.functions.stats import hwe_p
+
+    counts = hwe(g, s).where(F.col("grp") == group)
+    bad = counts.where(hwe_p(*(F.col(c).cast("double") for c in ("het", "hom1", "hom2"))) < least_p).select("vid")
+    return g.join(bad, "vid", "left_anti")
+
+
+def gene_subset(ranges: DataFrame, names: DataFrame) -> DataFrame:
+    """Ranges whose name is listed."""
+    return ranges.join(names.select("name").distinct(), "name", "left_semi")

@@ -204,3 +204,30 @@ def best_partner(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("v1").alias("vid"), F.col("v2").alias("o"), "z").unionByName(pairs.select(F.col("v2").alias("vid"), F.col("v1").alias("o"), "z"))
     x = both.where("z is not null").groupBy("vid").agg(F.count("*").alias("n"), F.max(F.struct(F.col("z"), (-F.col("o")).alias("o"))).alias("b"))
     return x.select("vid", "n", (-F.col("b.o")).alias("best"), F.col("b.z").alias("z"))
+
+
+def within_bounds(pairs: DataFrame, by: str, least: float | None = None, most: float | None = None) -> DataFrame:
+    """Pairs of samples whose relatedness lies between two bounds, either of which may be absent."""
+    x = pairs if least is None else pairs.where(F.col(by) >= least)
+    return x if most is None else x.where(F.col(by) <= most)
+
+
+def between_lists(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs (i, j) with one sample in each list (sample_id)."""
+    has = lambda x, ids, c: x.join(ids.select(F.col("sample_id").alias(c)).distinct(), c, "left_semi")
+    one, other = has(has(pairs, first, "i"), second, "j"), has(has(pairs, second, "i"), first, "j")
+    return one.unionByName(other).dropDuplicates(["i", "j"]).select(*pairs.columns)
+
+
+def far_apart(pairs: DataFrame, v: DataFrame, gap: int) -> DataFrame:
+    """Pairs of variants (v1, v2) on different chromosomes, or at least ``gap`` positions apart."""
+    at = lambda n: v.select(F.col("vid").alias(f"v{n}"), F.col("chr").alias(f"c{n}"), F.col("bp").alias(f"b{n}"))
+    x = pairs.join(at(1), "v1").join(at(2), "v2").where((F.col("c1") != F.col("c2")) | (F.abs(F.col("b1") - F.col("b2")) >= gap))
+    return x.select(*pairs.columns)
+
+
+def across_sets(pairs: DataFrame, first: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """Pairs of variants with one in the first set (vid) and the other in the second, or anywhere where there is none."""
+    has = lambda x, ids, c: x.join(ids.select(F.col("vid").alias(c)).distinct(), c, "left_semi")
+    meet = lambda a, b: has(pairs, first, a) if second is None else has(has(pairs, first, a), second, b)
+    return meet("v1", "v2").unionByName(meet("v2", "v1")).dropDuplicates(["v1", "v2"]).select(*pairs.columns)

@@ -199,3 +199,9 @@ def private_cooling(train: DataFrame, holdout: DataFrame, k: int, rounds: int, t
         noisy = threshold + g.laplace(0, 0.05)
         told.append((len(live), fit, held + g.laplace(0, 0.02) if abs(fit - held) > noisy else fit))
     return {"attributes": live, "told": told}
+
+
+def neighbour_weights(near: DataFrame, sigma: float | None = None, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Neighbours (rank from 1 on) with weights that sum to one by instance: equal, or falling as exp(-(rank / sigma)^2)."""
+    w = F.lit(1.0) if sigma is None else F.exp(-((F.col("rank") / sigma) ** 2))
+    return near.withColumn("weight", w / F.sum(w).over(Window.partitionBy(*by)))

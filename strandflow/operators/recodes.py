@@ -132,3 +132,10 @@ def genotype_text(dosage: Column, a1: Column, a2: Column) -> Column:
 
 def share(a: Column, b: Column) -> Column:
     return div(a, b)
+
+
+def obligatory_missing(g: DataFrame, s: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Calls with a flag: those of (vid, cluster) pairs that were never typed are missing by design."""
+    x = g.join(s.select("sample_id", "cluster"), "sample_id").join(blocks.select("vid", "cluster").distinct().withColumn("hit", F.lit(True)), ["vid", "cluster"], "left")
+    by_design = F.coalesce("hit", F.lit(False))
+    return x.select("sample_id", "vid", F.when(~by_design, F.col("dosage")).alias("dosage"), by_design.alias("by_design"))

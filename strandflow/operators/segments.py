@@ -100,3 +100,18 @@ def genes_hit(seg: DataFrame, genes: DataFrame) -> DataFrame:
     """seg_id and the number of genes whose start lies in the segment."""
     points = genes.select("chr", F.col("start").alias("bp"), "name")
     return range_join(points, seg.select("chr", F.col("bp1").alias("start"), F.col("bp2").alias("stop"), "seg_id")).groupBy("seg_id").agg(F.count("*").alias("genes"))
+
+
+def coverage(seg: DataFrame, v: DataFrame, s: DataFrame) -> DataFrame:
+    """vid, aff, unaff: case and control samples with a segment over each variant's position; variants without any have zeros."""
+    r = seg.select("chr", F.col("bp1").alias("start"), F.col("bp2").alias("stop"), "sample_id")
+    over = range_join(v.select("vid", "chr", "bp"), r).select("vid", "sample_id").distinct().join(s.select("sample_id", "aff"), "sample_id")
+    n = over.groupBy("vid").agg(n_if(F.col("aff")).alias("aff"), n_if(~F.col("aff")).alias("unaff"))
+    return v.select("vid").join(n, "vid", "left").select("vid", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("aff", "unaff")))
+
+
+def burden(seg: DataFrame, s: DataFrame) -> DataFrame:
+    """aff, people, segments, rate, share with any, kb and kb a segment: every sample counts, also those without a segment."""
+    own = seg.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum((F.col("bp2") - F.col("bp1")) / 1000.0).alias("kb"))
+    x = s.select("sample_id", "aff").join(own, "sample_id", "left").groupBy("aff").agg(F.count("*").alias("people"), F.coalesce(F.sum("n"), F.lit(0)).alias("segments"), F.count("n").alias("some"), F.coalesce(F.sum("kb"), F.lit(0.0)).alias("kb"))
+    return x.select("aff", "people", "segments", div(F.col("segments"), F.col("people")).alias("rate"), div(F.col("some"), F.col("people")).alias("share"), "kb", div(F.col("kb"), F.col("segments")).alias("kb_each"))

@@ -121,3 +121,22 @@ def class_type(s: DataFrame, column: str, missing: float = -9.0) -> str:
     x = F.col(column).try_cast("double")
     r = s.where(x.isNotNull() & (x != missing)).agg(F.count_distinct(x).alias("n"), F.bool_and(x == F.floor(x)).alias("whole")).first()
     return "continuous" if not r.whole else "case-control" if r.n <= 2 else "multiclass"
+
+
+def missing_but_by_design(g: DataFrame, key: str) -> DataFrame:
+    """n_miss, n_design, n_geno, f_miss: calls missing by design (``by_design``) count neither as missing nor as tried."""
+    design = F.col("by_design")
+    x = g.groupBy(key).agg(n_if(F.col("dosage").isNull() & ~design).alias("n_miss"), n_if(design).alias("n_design"), n_if(~design).alias("n_geno"))
+    return x.withColumn("f_miss", div(F.col("n_miss"), F.col("n_geno")))
+
+
+def transitions(v: DataFrame) -> DataFrame:
+    """chr, ti, tv, ratio: variants whose alleles are both purines or both pyrimidines, and the others."""
+    pair = F.array_join(F.array_sort(F.array(F.upper("a1"), F.upper("a2"))), "")
+    known, ti = F.upper("a1").isin(*"ACGT") & F.upper("a2").isin(*"ACGT") & (F.upper("a1") != F.upper("a2")), pair.isin("AG", "CT")
+    return v.groupBy("chr").agg(n_if(known & ti).alias("ti"), n_if(known & ~ti).alias("tv")).withColumn("ratio", div(F.col("ti"), F.col("tv")))
+
+
+def reads_by_sample(counts: DataFrame) -> DataFrame:
+    """sample, depth, genes seen, and the most reads of a gene."""
+    return counts.groupBy("sample").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("depth"), n_if(F.col("n") > 0).alias("genes"), F.max("n").alias("most"))

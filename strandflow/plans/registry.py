@@ -945,3 +945,7 @@ def genome_groups(spark, sf):
 @query()
 def random_forest(spark, sf):
     return ranking.forest_scores(fx.instances(spark, sf), trees=30, depth=5)
+
+
+# Further queries register themselves.
+from strandflow.plans import formats  # noqa: E402, F401

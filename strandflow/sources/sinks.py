@@ -119,3 +119,39 @@ def segment_track(seg: DataFrame) -> DataFrame:
 def permuted_phenotypes(shuffles: DataFrame, n: int) -> DataFrame:
     """sample_id and a column for each replicate of (rep, sample_id, label)."""
     return shuffles.groupBy("sample_id").pivot("rep", list(range(1, n + 1))).agg(F.first("label"))
+
+
+def in_one(rows: DataFrame, order: list[str], header: str | None = None) -> DataFrame:
+    """Lines in an order, a header first, in one partition: for formats whose order or header makes them one file."""
+    x = rows.select(F.lit(1).alias("_k"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), "value")
+    if header is not None:
+        head = rows.sparkSession.range(1).select(F.lit(0).alias("_k"), *(F.lit(None).cast(x.schema[f"_o{i}"].dataType).alias(f"_o{i}") for i in range(len(order))), F.lit(header).alias("value"))
+        x = head.unionByName(x)
+    return x.repartition(1).sortWithinPartitions("_k", *(f"_o{i}" for i in range(len(order)))).select("value")
+
+
+def table_lines(x: DataFrame, missing: str = "NA") -> DataFrame:
+    """All columns of each row, separated by blanks, with a word for nulls."""
+    return x.select("*", F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in x.columns)).alias("value"))
+
+
+def numeric_lines(num: DataFrame) -> DataFrame:
+    """fid, iid, value: a line of a numeric file for each sample, attributes in order (fid, iid, attr_id, value)."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("attr_id", F.coalesce(F.col("value").cast("string"), F.lit("-9")).alias("c")))), lambda x: x["c"])
+    return num.groupBy("fid", "iid").agg(cells.alias("cells")).select("fid", "iid", F.concat_ws(" ", "fid", "iid", F.concat_ws(" ", "cells")).alias("value"))
+
+
+def set_lines(sets: DataFrame) -> DataFrame:
+    """A block for each set (set_name, name): its name, its members, END."""
+    return sets.groupBy("set_name").agg(F.array_sort(F.collect_set("name")).alias("m")).select("set_name", F.concat_ws("\n", "set_name", F.concat_ws("\n", "m"), F.lit("END")).alias("value"))
+
+
+def dosage_lines(d: DataFrame, samples: DataFrame) -> DataFrame:
+    """name, a1, a2 and each sample's dosage, in the order of ``samples.idx``."""
+    x = d.join(samples.select("fid", "iid", "idx"), ["fid", "iid"]).groupBy("name", "a1", "a2").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("dose").cast("string").alias("c")))).alias("cs"))
+    return x.select(F.concat_ws(" ", "name", "a1", "a2", F.concat_ws(" ", F.transform("cs", lambda y: y["c"]))).alias("value"))
+
+
+def sample_report(g: DataFrame, fid: str, iid: str) -> DataFrame:
+    """name, genotype of one sample; the predicate reaches the scan."""
+    return g.where((F.col("fid") == fid) & (F.col("iid") == iid)).select("name", _call("/").alias("genotype"))

@@ -252,3 +252,22 @@ def instances(spark: SparkSession, path: str, class_column: str = "class", sep:
     x = spark.read.csv(path, sep=sep, header=True)
     attributes = [c for c in x.columns if c != class_column]
     return x.select(F.monotonically_increasing_id().alias("id"), F.col(class_column).cast("int").alias("cls"), F.array(*(F.col(c).try_cast("double") for c in attributes)).alias("values"))
+
+
+def runs_of_homozygosity(spark: SparkSession, path: str) -> DataFrame:
+    """fid, iid, chr, bp1, bp2, n of a table of runs with a header (columns by name, whatever their order)."""
+    x = headed(spark, path)
+    return x.select(F.col("FID").alias("fid"), F.col("IID").alias("iid"), chromosome(F.col("CHR")).alias("chr"), F.col("POS1").cast("int").alias("bp1"), F.col("POS2").cast("int").alias("bp2"), F.col("NSNP").cast("int").alias("n"))
+
+
+def shared_segments(spark: SparkSession, path: str) -> DataFrame:
+    """fid1, iid1, fid2, iid2, chr, bp1, bp2 of a table of segments that pairs share, with a header."""
+    x = headed(spark, path)
+    return x.select(*(F.col(c).alias(c.lower()) for c in ("FID1", "IID1", "FID2", "IID2")), chromosome(F.col("CHR")).alias("chr"), F.col("BP1").cast("int").alias("bp1"), F.col("BP2").cast("int").alias("bp2"))
+
+
+def counts_table(spark: SparkSession, path: str) -> DataFrame:
+    """gene, sample, n of a table of read counts: a row for each gene, samples in the header; a field that is no number is null."""
+    names = spark.read.text(path).first()["value"].split()
+    x = lines(spark, path).where(_f(1) != names[0]).select(_f(1).alias("gene"), F.posexplode(F.slice("f", 2, len(names) - 1)).alias("k", "v"))
+    return x.select("gene", F.element_at(F.array(*map(F.lit, names[1:])), F.col("k") + 1).alias("sample"), F.col("v").try_cast("long").alias("n"))
