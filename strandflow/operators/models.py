@@ -91,13 +91,15 @@ CODING = {"add": lambda d: [("ADD", d)], "dom": lambda d: [("DOM", (d > 0) * 1.0
 GLM = "vid int, test string, nmiss int, beta double, se double, stat double, p double"
 
 
-def glm(g: DataFrame, s: DataFrame, kind: str = "linear", model: str = "add", covariates: Sequence[str] = (), interaction: bool = False) -> DataFrame:
+def glm(g: DataFrame, s: DataFrame, kind: str = "linear", model: str = "add", covariates: Sequence[str] = (), interaction: bool = False, parameters: Sequence[str] | None = None, tests: Sequence[str] = (), clusters: str | None = None) -> DataFrame:
     """Rows of tests for each variant: its terms, covariates, and their products if asked for.  Null covariates leave a sample out.
 
-    A group is one variant's samples; samples' columns travel once, joined on the sample.
+    ``parameters`` names the terms that stay (None: all), ``tests`` those that are tested jointly besides (a row ``USER_kDF``),
+    ``clusters`` a column to whose values a linear model's errors are robust.  A group is one variant's samples; samples' columns
+    travel once, joined on the sample.
     """
     y = "aff" if kind == "logistic" else "pheno"
-    cols = ["sample_id", F.col(y).cast("double").alias("y"), *(F.col(c).cast("double").alias(f"c_{c}") for c in covariates)]
+    cols = ["sample_id", F.col(y).cast("double").alias("y"), *(F.col(c).cast("double").alias(f"c_{c}") for c in covariates), *([F.col(clusters).alias("k_")] if clusters else [])]
     x = g.where("dosage is not null").join(s.select(*cols).na.drop(), "sample_id").drop("sample_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,18 +113,38 @@ def glm(g: DataFrame, s: DataFrame, kind: str = "linear", model: str = "add", co
                 for m, w in extra:
                     names.append(f"{n}x{m}")
                     cs.append(v * w)
+        if parameters is not None:
+            stay = [i for i, n in enumerate(names) if n in parameters]
+            names, cs, terms_ = [names[i] for i in stay], [cs[i] for i in stay], [x for x in terms if x[0] in parameters]
+        else:
+            terms_ = terms
         xs = np.column_stack([np.ones(len(d)), *cs])
-        f = linear(xs, pdf["y"].to_numpy(float)) if kind == "linear" else logistic(xs, pdf["y"].to_numpy(float))
+        f = linear(xs, pdf["y"].to_numpy(float), pdf["k_"].to_numpy() if clusters else None) if kind == "linear" else logistic(xs, pdf["y"].to_numpy(float))
         bad = np.nan if not f["ok"] else 0.0
         rows = [(pdf["vid"].iloc[0], n, len(d), f["beta"][i] + bad, f["se"][i] + bad, f["stat"][i] + bad, f["p"][i]) for i, n in enumerate(names, 1)]
-        if len(terms) > 1:
-            stat, df, p = joint_test(f, np.eye(xs.shape[1])[1 : 1 + len(terms)]) if f["ok"] else (np.nan, len(terms), np.nan)
-            rows.append((pdf["vid"].iloc[0], f"GENO_{df}DF", len(d), np.nan, np.nan, stat, p))
+        joint = [("GENO", range(1, 1 + len(terms_)))] if len(terms_) > 1 else []
+        joint += [("USER", [i for i, n in enumerate(names, 1) if n in tests])] if tests else []
+        for name, at in joint:
+            stat, df, p = joint_test(f, np.eye(xs.shape[1])[list(at)]) if f["ok"] and len(at) else (np.nan, len(at), np.nan)
+            rows.append((pdf["vid"].iloc[0], f"{name}_{df}DF", len(d), np.nan, np.nan, stat, p))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in GLM.split(", ")])
 
     return x.groupBy("vid").applyInPandas(run, GLM)
 
 
+def condition(s: DataFrame, g: DataFrame, vids: Sequence[int]) -> DataFrame:
+    """Samples with the dosages of some variants as columns ``cond_<vid>``, for models on condition of them (null where not called)."""
+    x = g.where(F.col("vid").isin(*vids)).groupBy("sample_id").pivot("vid", list(vids)).agg(F.first("dosage"))
+    return s.join(x.select("sample_id", *(F.col(f"`{v}`").alias(f"cond_{v}") for v in vids)), "sample_id", "left")
+
+
+def x_dosage(g: DataFrame, v: DataFrame, s: DataFrame, x_code: int, one_copy: bool = True) -> DataFrame:
+    """Dosages of which males have one copy at X variants (0 or 1), or as much as females (0 or 2); a male's heterozygous call is missing."""
+    x = g.join(v.select("vid", (F.col("chr") == x_code).alias("on_x")), "vid").join(s.select("sample_id", (F.col("sex") == 1).alias("male")), "sample_id")
+    d, single = F.col("dosage").cast("double"), F.col("on_x") & F.col("male")
+    return x.select("sample_id", "vid", F.when(single & (d == 1), None).when(single & F.lit(one_copy), d / 2).otherwise(d).alias("dosage"))
+
+
 PAIRS = "v1 int, v2 int, beta double, stat double, p double"
 
 

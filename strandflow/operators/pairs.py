@@ -126,10 +126,10 @@ def ld_prune(g: DataFrame, v: DataFrame, window: int, step: int, most_r2: float)
 
     w = Window.partitionBy("chr").orderBy("bp", "vid")
     order = v.withColumn("idx", F.row_number().over(w) - 1).select("vid", "chr", "idx")
-    at = order.select(F.col("vid").alias("v1"), F.col("chr").alias("c1"), F.col("idx").alias("i1"))
-    to = order.select(F.col("vid").alias("v2"), F.col("chr").alias("c2"), F.col("idx").alias("i2"))
-    near = ld(g, None, most_r2).join(at, "v1").join(to, "v2").where(F.expr(f"c1 = c2 and abs(i1 - i2) < {window}"))
-    edges = near.select(F.col("c1").alias("chr"), F.least("i1", "i2").alias("i"), F.greatest("i1", "i2").alias("j"))
+    # A variant's place in its chromosome, chromosomes far apart: only pairs within a window's reach are formed.
+    far = 1 << 40
+    placed = g.join(order.select("vid", (F.col("chr").cast("long") * far + F.col("idx")).alias("place")), "vid").select("sample_id", F.col("place").alias("vid"), "dosage")
+    edges = ld(placed, window, most_r2).select(F.floor(F.col("v1") / far).cast("int").alias("chr"), (F.col("v1") % far).cast("int").alias("i"), (F.col("v2") % far).cast("int").alias("j"))
     vs = order.groupBy("chr").agg(F.array_sort(F.collect_list(F.struct("idx", "vid"))).alias("vs"))
 
     def prune(rows):

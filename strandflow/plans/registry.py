@@ -54,6 +54,15 @@ def _x2(a: str, b: str, c: str, d: str) -> str:
     return f"(({a})+({b})+({c})+({d}))::DOUBLE * pow(({a})::DOUBLE*({d}) - ({b})::DOUBLE*({c}), 2) / nullif((({a})+({b}))::DOUBLE * (({c})+({d})) * (({a})+({c})) * (({b})+({d})), 0)"
 
 
+def _exact(a: str, b: str, c: str, d: str) -> str:
+    """The two-sided exact p of a 2x2 table: the hypergeometric weights of all tables with its margins."""
+    weight = f"-(lgamma(x + 1) + lgamma({a} + {b} - x + 1) + lgamma({a} + {c} - x + 1) + lgamma({d} - {a} + x + 1))"
+    margins = "(" + " + ".join(f"lgamma({m} + 1)" for m in (f"{a} + {b}", f"{c} + {d}", f"{a} + {c}", f"{b} + {d}")) + f" - lgamma({a} + {b} + {c} + {d} + 1))"
+    seen = "(" + weight.replace("x +", f"{a} +").replace("- x", f"- {a}") + ")"
+    every = f"list_transform(range(greatest(0, {a} - {d}), least({a} + {b}, {a} + {c}) + 1), lambda x: {weight})"
+    return f"least(1.0::DOUBLE, list_sum(list_transform(list_filter({every}, lambda w: w <= {seen} + 1e-9::DOUBLE), lambda w: exp(w + {margins}))))"
+
+
 _N = lambda c: f"count(*) FILTER (WHERE {c})"
 _ALLELES = "SELECT vid, CAST(sum(CASE WHEN aff THEN dosage ELSE 0 END) AS BIGINT) AS a1_aff, CAST(sum(CASE WHEN aff THEN 2 - dosage ELSE 0 END) AS BIGINT) AS a2_aff, CAST(sum(CASE WHEN aff THEN 0 ELSE dosage END) AS BIGINT) AS a1_unaff, CAST(sum(CASE WHEN aff THEN 0 ELSE 2 - dosage END) AS BIGINT) AS a2_unaff FROM g JOIN s USING (sample_id) WHERE dosage IS NOT NULL GROUP BY vid"
 _CLUSTERS = _ALLELES.replace("SELECT vid", "SELECT vid, cluster").replace("GROUP BY vid", "GROUP BY vid, cluster")
@@ -95,7 +104,12 @@ def hwe_grouping_sets(spark, sf):
     return summaries.hwe(fx.genotypes(spark, sf), fx.samples(spark, sf))
 
 
-@query()
+_HWP = """hr AS (SELECT vid, grp, hom1, het, hom2, hom1 + het + hom2 AS n, 2 * least(hom1, hom2) + het AS r FROM hw),
+hx AS (SELECT *, list_transform(range(r % 2, r + 1, 2), lambda h: h * ln(2::DOUBLE) - lgamma(h + 1) - lgamma((r - h) // 2 + 1) - lgamma(n - h - (r - h) // 2 + 1)) AS ws, het * ln(2::DOUBLE) - lgamma(het + 1) - lgamma((r - het) // 2 + 1) - lgamma(n - het - (r - het) // 2 + 1) AS seen FROM hr),
+hm AS (SELECT *, list_max(ws) AS top FROM hx)"""
+
+
+@query(f"{_HWE}, {_HWP};;SELECT vid, grp, hom1, het, hom2, least(1.0::DOUBLE, list_sum(list_transform(list_filter(ws, lambda w: w <= seen + 1e-11::DOUBLE), lambda w: exp(w - top))) / list_sum(list_transform(ws, lambda w: exp(w - top)))) AS p FROM hm", "p")
 def hwe_exact(spark, sf):
     from strandflow.functions.stats import hwe_p
 
@@ -112,12 +126,15 @@ for _key in ("sample_id", "vid"):
     query(f"SELECT {_key}, {_N('dosage IS NULL')} AS n_miss, count(*) AS n_geno, {_N('dosage IS NULL')} / count(*)::DOUBLE AS f_miss FROM g GROUP BY {_key}", "f_miss")(_missing)
 
 
-@query(f"m AS (SELECT vid, {_N('dosage IS NULL AND aff')} AS miss_a, {_N('dosage IS NOT NULL AND aff')} AS call_a, {_N('dosage IS NULL AND NOT aff')} AS miss_u, {_N('dosage IS NOT NULL AND NOT aff')} AS call_u FROM g JOIN s USING (sample_id) GROUP BY vid);;SELECT *, miss_a / nullif(miss_a + call_a, 0)::DOUBLE AS f_miss_a, miss_u / nullif(miss_u + call_u, 0)::DOUBLE AS f_miss_u FROM m", "f_miss_a f_miss_u")
+_MISS = f"m AS (SELECT vid, {_N('dosage IS NULL AND aff')} AS miss_a, {_N('dosage IS NOT NULL AND aff')} AS call_a, {_N('dosage IS NULL AND NOT aff')} AS miss_u, {_N('dosage IS NOT NULL AND NOT aff')} AS call_u FROM g JOIN s USING (sample_id) GROUP BY vid)"
+
+
+@query(f"{_MISS};;SELECT *, miss_a / nullif(miss_a + call_a, 0)::DOUBLE AS f_miss_a, miss_u / nullif(miss_u + call_u, 0)::DOUBLE AS f_miss_u FROM m", "f_miss_a f_miss_u")
 def missing_case_control(spark, sf):
     return summaries.missing_case_control(fx.genotypes(spark, sf), fx.samples(spark, sf))
 
 
-@query()
+@query(f"{_MISS};;SELECT *, miss_a / nullif(miss_a + call_a, 0)::DOUBLE AS f_miss_a, miss_u / nullif(miss_u + call_u, 0)::DOUBLE AS f_miss_u, {_exact('miss_a', 'call_a', 'miss_u', 'call_u')} AS p FROM m", "f_miss_a f_miss_u p")
 def missing_fisher(spark, sf):
     return summaries.missing_fisher(fx.genotypes(spark, sf), fx.samples(spark, sf))
 
@@ -335,7 +352,7 @@ def model_tests(spark, sf):
     return assoc.model_tests(fx.genotypes(spark, sf), fx.samples(spark, sf))
 
 
-@query()
+@query(f"al AS ({_ALLELES});;SELECT *, {_exact('a1_aff', 'a2_aff', 'a1_unaff', 'a2_unaff')} AS p FROM al", "p")
 def fisher_test(spark, sf):
     return assoc.fisher(fx.genotypes(spark, sf), fx.samples(spark, sf))
 
@@ -556,16 +573,28 @@ def flip_scan(spark, sf):
     return pairs.flip_scan(fx.genotypes(spark, sf), fx.samples(spark, sf), 30, 0.05)
 
 
-@query()
+_PRUNED = """, pos AS (SELECT vid, chr, CAST(row_number() OVER (PARTITION BY chr ORDER BY bp, vid) - 1 AS INTEGER) AS i FROM v),
+lk AS (SELECT a.chr, least(a.i, b.i) AS i, greatest(a.i, b.i) AS j FROM ld JOIN pos a ON a.vid = v1 JOIN pos b ON b.vid = v2 WHERE a.chr = b.chr AND abs(a.i - b.i) < 16 AND r*r >= 0.02),
+st AS (SELECT pos.chr, k.start, pos.i, list_concat([pos.i], coalesce(list(j ORDER BY j) FILTER (WHERE j < k.start + 16), CAST([] AS INTEGER[]))) AS e FROM pos JOIN range(0, 64, 4) k(start) ON pos.i >= k.start AND pos.i < k.start + 16 LEFT JOIN lk ON lk.chr = pos.chr AND lk.i = pos.i GROUP BY 1, 2, 3),
+fo AS (SELECT chr, list_reduce(list_prepend(CAST([-1] AS INTEGER[]), list(e ORDER BY start, i)), lambda gone, e: CASE WHEN list_contains(gone, e[1]) THEN gone ELSE list_concat(gone, e[2:]) END) AS gone FROM st GROUP BY chr)"""
+
+
+@query(_LD.format(by="", byo="", cond="") + _PRUNED + ";;SELECT vid, NOT list_contains(gone, i) AS kept FROM pos JOIN fo USING (chr)")
 def ld_prune(spark, sf):
     return pairs.ld_prune(fx.genotypes(spark, sf), fx.variants(spark, sf), 16, 4, 0.02)
 
 
-@query()
+_CLUMPS = f""", res AS (SELECT *, 2 * {_tail('sqrt(chisq)')} AS p FROM (SELECT *, {_X2} AS chisq FROM al) y), ca AS (SELECT vid, p FROM res WHERE p <= 1.0),
+nr AS (SELECT v1 AS vid, v2 AS o FROM ld WHERE r*r >= 0.01 UNION ALL SELECT v2, v1 FROM ld WHERE r*r >= 0.01),
+ne AS (SELECT ca.vid, ca.p, [list_concat([ca.vid], coalesce(list(o ORDER BY o) FILTER (WHERE o IN (SELECT vid FROM ca)), CAST([] AS INTEGER[])))] AS e FROM ca LEFT JOIN nr USING (vid) GROUP BY 1, 2),
+fo AS (SELECT list_reduce(list_prepend([CAST([-1] AS INTEGER[])], list(e ORDER BY p, vid) FILTER (WHERE p <= 0.3)), lambda acc, e: CASE WHEN list_contains(flatten(acc), e[1][1]) THEN acc ELSE list_concat(acc, [list_filter(e[1], lambda x: NOT list_contains(flatten(acc), x))]) END) AS acc FROM ne)"""
+
+
+@query(f"al AS ({_ALLELES}), " + _LD.format(by="", byo="", cond="") + _CLUMPS + ", cl AS (SELECT unnest(acc[2:]) AS c FROM fo);;SELECT c[1] AS index, p, len(c) - 1 AS total, array_to_string(c[2:], ',') AS members FROM cl JOIN ca ON ca.vid = c[1]", "p")
 def clump(spark, sf):
     g = fx.genotypes(spark, sf)
     out = pairs.clump(assoc.allelic(g, fx.samples(spark, sf)), pairs.ld(g), 0.3, 1.0, 0.01)
-    return spark.createDataFrame([(c["index"], c["p"], c["total"], c["members"]) for c in out], "index int, p double, total int, members array<int>")
+    return spark.createDataFrame([(c["index"], c["p"], c["total"], ",".join(map(str, c["members"]))) for c in out], "index int, p double, total long, members string")
 
 
 @query(f"SELECT a.vid AS v1, b.vid AS v2, a.dosage AS d1, b.dosage AS d2, {_N('aff')} AS n_aff, {_N('NOT aff')} AS n_unaff FROM g a JOIN g b ON a.sample_id = b.sample_id AND a.vid < b.vid JOIN s ON s.sample_id = a.sample_id WHERE a.dosage IS NOT NULL AND b.dosage IS NOT NULL GROUP BY 1, 2, 3, 4")
@@ -785,6 +814,48 @@ def linear_cov(spark, sf):
     return models.glm(fx.genotypes(spark, sf), fx.samples(spark, sf), "linear", "genotypic", ["sex"])
 
 
+def _two_terms(rows: str) -> str:
+    """Least squares of y on two terms by variant from moments; rows is (vid, x1, x2, y)."""
+    return f"""tt AS ({rows}), mo AS (SELECT vid, count(*)::DOUBLE AS n, var_samp(x1) AS c11, var_samp(x2) AS c22, covar_samp(x1, x2) AS c12, covar_samp(x1, y) AS c1, covar_samp(x2, y) AS c2, var_samp(y) AS cy FROM tt WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL GROUP BY vid),
+be AS (SELECT *, c11 * c22 - c12 * c12 AS det, (c22 * c1 - c12 * c2) / (c11 * c22 - c12 * c12) AS b1, (c11 * c2 - c12 * c1) / (c11 * c22 - c12 * c12) AS b2 FROM mo),
+fi AS (SELECT *, (n - 1) * (cy - b1 * c1 - b2 * c2) / (n - 3) AS s2 FROM be)"""
+
+
+_ADD = "SELECT vid, CAST(n AS INTEGER) AS n, b1 AS beta, sqrt(s2 * c22 / det / (n - 1)) AS se, b1 / sqrt(s2 * c22 / det / (n - 1)) AS stat FROM fi"
+
+
+def _add_rows(x: DataFrame) -> DataFrame:
+    return x.where("test = 'ADD'").select("vid", F.col("nmiss").cast("int").alias("n"), "beta", "se", "stat")
+
+
+@query(_two_terms("SELECT vid, dosage::DOUBLE AS x1, sex::DOUBLE AS x2, pheno AS y FROM g JOIN s USING (sample_id)") + f";;{_ADD}", "beta se stat")
+def linear_covariate(spark, sf):
+    return _add_rows(models.glm(fx.genotypes(spark, sf), fx.samples(spark, sf), "linear", "add", ["sex"]))
+
+
+@query(_two_terms("SELECT g.vid, g.dosage::DOUBLE AS x1, c.dosage::DOUBLE AS x2, pheno AS y FROM g JOIN s USING (sample_id) JOIN g c ON c.sample_id = g.sample_id AND c.vid = 5 WHERE g.vid <> 5") + f";;{_ADD}", "beta se stat")
+def linear_conditioned(spark, sf):
+    g = fx.genotypes(spark, sf)
+    return _add_rows(models.glm(g.where("vid <> 5"), models.condition(fx.samples(spark, sf), g, [5]), "linear", "add", ["cond_5"]))
+
+
+@query(_two_terms("SELECT vid, CASE WHEN sex = 1 AND dosage = 1 THEN NULL WHEN sex = 1 THEN dosage / 2.0::DOUBLE ELSE dosage::DOUBLE END AS x1, sex::DOUBLE AS x2, pheno AS y FROM g JOIN s USING (sample_id) JOIN v USING (vid) WHERE chr = 4") + f";;{_ADD}", "beta se stat")
+def linear_on_x(spark, sf):
+    v, s = fx.variants(spark, sf), fx.samples(spark, sf)
+    g = filters.keep(fx.genotypes(spark, sf), v.where("chr = 4").select("vid"), "vid")
+    return _add_rows(models.glm(models.x_dosage(g, v, s, 4), s, "linear", "add", ["sex"]))
+
+
+@query(_two_terms("SELECT vid, dosage::DOUBLE AS x1, sex::DOUBLE AS x2, pheno AS y FROM g JOIN s USING (sample_id)") + ";;SELECT vid, ((n - 1) * cy - (n - 3) * s2) / s2 AS stat, exp(-((n - 1) * cy - (n - 3) * s2) / s2 / 2) AS p FROM fi", "stat p")
+def linear_joint_test(spark, sf):
+    return models.glm(fx.genotypes(spark, sf), fx.samples(spark, sf), "linear", "add", ["sex"], tests=["ADD", "sex"]).where("test = 'USER_2DF'").select("vid", "stat", "p")
+
+
+@query("w AS (SELECT vid, dosage::DOUBLE AS x, pheno AS y, cluster FROM g JOIN s USING (sample_id) WHERE dosage IS NOT NULL), f AS (SELECT vid, avg(x) AS mx, avg(y) AS my, covar_samp(x, y) / var_samp(x) AS b, var_pop(x) * count(*) AS sxx FROM w GROUP BY vid), c AS (SELECT w.vid, cluster, sum((x - mx) * (y - my - b * (x - mx))) AS u FROM w JOIN f USING (vid) GROUP BY 1, 2);;SELECT vid, max(b) AS beta, sqrt(sum(u * u)) / max(sxx) AS se FROM c JOIN f USING (vid) GROUP BY vid", "beta se")
+def linear_robust(spark, sf):
+    return models.glm(fx.genotypes(spark, sf), fx.samples(spark, sf), "linear", "add", ["sex"], parameters=["ADD"], clusters="cluster").where("test = 'ADD'").select("vid", "beta", "se")
+
+
 @query()
 def logistic(spark, sf):
     return models.glm(fx.genotypes(spark, sf), fx.samples(spark, sf), "logistic", "add", ["sex"], interaction=True)
@@ -937,7 +1008,7 @@ def ibs_test(spark, sf):
     return relatives.ibs_test(pairs.ibs(fx.genotypes(spark, sf)), fx.samples(spark, sf), 20)
 
 
-@query()
+@query(f"{_IBS}, cl AS (SELECT i, j FROM ib WHERE (0.5 * ibs1 + ibs2) / (ibs0 + ibs1 + ibs2)::DOUBLE >= 0.72), e AS (SELECT i AS id, j AS o FROM cl UNION ALL SELECT j, i FROM cl);;WITH RECURSIVE r AS (SELECT id, o FROM e UNION SELECT r.id, e.o FROM r JOIN e ON r.o = e.id) SELECT id, min(least(id, o)) AS grp FROM r GROUP BY id")
 def genome_groups(spark, sf):
     return relatives.groups(pairs.ibs(fx.genotypes(spark, sf)), 0.72, "dst")
 
