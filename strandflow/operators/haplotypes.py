@@ -155,12 +155,12 @@ def blocks(g: DataFrame, v: DataFrame, most_kb: float = 200.0) -> DataFrame:
 
     Spark gives each near pair's table; the choice of spans is a pass over a chromosome's pairs.
     """
-    from strandflow.operators.pairs import _variant_pairs
+    from strandflow.operators.products import genotype_pairs
 
     at = v.select("vid", "chr", "bp")
-    x = _variant_pairs(g, None).groupBy("v1", "v2").agg(*(F.sum(F.when((F.col("a") == i) & (F.col("b") == j), 1).otherwise(0)).alias(f"n{i}{j}") for i in range(3) for j in range(3)))
-    a, b = (at.select(F.col("vid").alias(f"v{k}"), F.col("chr").alias(f"c{k}"), F.col("bp").alias(f"b{k}")) for k in (1, 2))
-    x = x.join(a, "v1").join(b, "v2").where((F.col("c1") == F.col("c2")) & (F.abs(F.col("b1") - F.col("b2")) <= most_kb * 1000))
+    x = genotype_pairs(g.join(v.select("vid", F.col("chr").alias("c1")), "vid"), ("c1",))
+    a, b = (at.select(F.col("vid").alias(f"v{k}"), F.col("bp").alias(f"b{k}")) for k in (1, 2))
+    x = x.join(a, "v1").join(b, "v2").where((F.abs(F.col("b1") - F.col("b2")) <= most_kb * 1000))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         strong, weak = set(), set()

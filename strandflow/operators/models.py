@@ -233,9 +233,9 @@ def hotelling(g: DataFrame, sets: DataFrame, s: DataFrame) -> DataFrame:
 
 def two_snp_em(g: DataFrame) -> DataFrame:
     """v1, v2, r2, dprime: haplotype frequencies by EM on each pair's nine genotype counts."""
-    from strandflow.operators.pairs import _variant_pairs
+    from strandflow.operators.products import genotype_pairs
 
-    x = _variant_pairs(g, None).groupBy("v1", "v2").agg(*(F.sum(F.when((F.col("a") == i) & (F.col("b") == j), 1).otherwise(0)).alias(f"n{i}{j}") for i in range(3) for j in range(3)))
+    x = genotype_pairs(g)
 
     def run(batches):
         for pdf in batches:

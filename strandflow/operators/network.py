@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.stats import div, upper_tail
 from strandflow.lineage import cut
+from strandflow.operators.products import moments
 
 #: Attributes whose matrix the driver takes.
 MOST = 20_000
@@ -19,10 +20,7 @@ MOST = 20_000
 
 def pair_moments(num: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """i, j (i <= j), n and sums over samples that have both attributes."""
-    a = num.select("sample_id", *by, F.col("attr_id").alias("i"), F.col("value").alias("a")).where("a is not null")
-    b = num.select("sample_id", *by, F.col("attr_id").alias("j"), F.col("value").alias("b")).where("b is not null")
-    x, y = F.col("a"), F.col("b")
-    return a.join(b, ["sample_id", *by]).where("i <= j").groupBy(*by, "i", "j").agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("sa"), F.sum(y).alias("sb"), F.sum(x * x).alias("saa"), F.sum(y * y).alias("sbb"), F.sum(x * y).alias("sab"))
+    return moments(num, "attr_id", "sample_id", "value", by, diagonal=True)
 
 
 def covariance(num: DataFrame) -> DataFrame:
@@ -124,10 +122,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def matrix(edges: DataFrame) -> tuple[list, np.ndarray]:
     """Names and symmetric matrix of an edge table (i, j, weight)."""
+    n = edges.select("i").union(edges.select("j")).agg(F.count_distinct("i")).first()[0]
+    if n > MOST:
+        raise ValueError(f"{n} attributes are too many for a matrix on the driver; the bound is {MOST}")
     rows = edges.select("i", "j", "weight").toPandas()
     names = sorted({*rows["i"], *rows["j"]})
-    if len(names) > MOST:
-        raise ValueError(f"{len(names)} attributes are too many for a matrix on the driver; the bound is {MOST}")
     at = {k: n for n, k in enumerate(names)}
     m = np.zeros((len(names), len(names)))
     i, j = rows["i"].map(at).to_numpy(int), rows["j"].map(at).to_numpy(int)

@@ -1,7 +1,7 @@
 """Pairs of samples and of variants: IBS and IBD, linkage disequilibrium, and pairwise epistasis.
 
-A pair table is a self-join on the other index with i < j, aggregated at once; the join is an equi-join, so it is
-distributed by that index, and the aggregation is combined in the tasks before pairs are shuffled.
+All pairs come from matrix products of blocks (``products``); pairs within a band of variants from an equi-join on the sample and
+the block, aggregated in the tasks before pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -10,21 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.stats import div, n_if, norm_cdf
-
-
-def sample_pairs(g: DataFrame) -> DataFrame:
-    """vid, i, j, a, b: two samples' called dosages at each variant, i < j."""
-    x = g.where("dosage is not null")
-    a = x.select("vid", F.col("sample_id").alias("i"), F.col("dosage").alias("a"))
-    b = x.select("vid", F.col("sample_id").alias("j"), F.col("dosage").alias("b"))
-    return a.join(b, "vid").where("i < j")
+from strandflow.operators.products import called, cells_of, genotype_pairs, moments, products
 
 
 def ibs(g: DataFrame) -> DataFrame:
     """i, j, ibs0, ibs1, ibs2, dst, ppc: alleles shared by state; ppc by its normal approximation."""
-    d = F.abs(F.col("a") - F.col("b"))
-    het2 = (F.col("a") == 1) & (F.col("b") == 1)
-    x = sample_pairs(g).groupBy("i", "j").agg(n_if(d == 2).alias("ibs0"), n_if(d == 1).alias("ibs1"), n_if(d == 0).alias("ibs2"), n_if(het2).alias("het2"))
+    features = {"m": called} | {str(d): (lambda c, d=d: c == d) for d in range(3)}
+    wanted = {"n": ("m", "m"), "s0": ("0", "0"), "s1": ("1", "1"), "s2": ("2", "2"), "d1": ("0", "2"), "d2": ("2", "0")}
+    x = products(g.where("dosage is not null"), "sample_id", "vid", "dosage", features, wanted).where("n > 0")
+    same, far = F.col("s0") + F.col("s1") + F.col("s2"), F.col("d1") + F.col("d2")
+    x = x.select("i", "j", far.cast("long").alias("ibs0"), (F.col("n") - same - far).cast("long").alias("ibs1"), same.cast("long").alias("ibs2"), F.col("s1").cast("long").alias("het2"))
     n = F.col("ibs0") + F.col("ibs1") + F.col("ibs2")
     m = (F.col("ibs0") + F.col("het2")).cast("double")
     z = div(div(F.col("het2"), m) - 2.0 / 3.0, F.sqrt(div(F.lit(2.0 / 9.0), m)))
@@ -64,9 +59,10 @@ def ibd(g: DataFrame) -> DataFrame:
 
 def missing_identity(g: DataFrame) -> DataFrame:
     """i, j, ibm: share of variants at which both or neither of two samples are missing."""
-    x = g.select("vid", F.col("sample_id").alias("i"), F.col("dosage").isNull().alias("a"))
-    y = g.select("vid", F.col("sample_id").alias("j"), F.col("dosage").isNull().alias("b"))
-    return x.join(y, "vid").where("i < j").groupBy("i", "j").agg(div(n_if(F.col("a") == F.col("b")), F.count("*")).alias("ibm"))
+    features = {"m": called, "gone": lambda c: c == 1}
+    wanted = {"n": ("m", "m"), "both": ("gone", "gone"), "first": ("gone", "m"), "second": ("m", "gone")}
+    x = products(g.select("sample_id", "vid", F.col("dosage").isNull().cast("int").alias("gone")), "sample_id", "vid", "gone", features, wanted).where("n > 0")
+    return x.select("i", "j", div(F.col("n") - F.col("first") - F.col("second") + 2 * F.col("both"), F.col("n")).alias("ibm"))
 
 
 def neighbours(pairs: DataFrame, k1: int, k2: int) -> DataFrame:
@@ -77,13 +73,11 @@ def neighbours(pairs: DataFrame, k1: int, k2: int) -> DataFrame:
     return x.join(F.broadcast(m), "rank").select("id", "rank", "dst", div(F.col("dst") - F.col("m"), F.col("sd")).alias("z"))
 
 
-def _variant_pairs(g: DataFrame, band: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """sample_id, v1, a, v2, b: pairs of calls of a sample; with ``band`` by blocks of so many variants, each joined with itself and the next."""
+def _variant_pairs(g: DataFrame, band: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """sample_id, v1, a, v2, b: pairs of calls of a sample, by blocks of ``band`` variants, each joined with itself and the next."""
     x = g.where("dosage is not null")
     a = x.select("sample_id", *by, F.col("vid").alias("v1"), F.col("dosage").cast("double").alias("a"))
     b = x.select("sample_id", F.col("vid").alias("v2"), F.col("dosage").cast("double").alias("b"))
-    if band is None:
-        return a.join(b, "sample_id").where("v1 < v2")
     block = lambda c: F.floor(F.col(c) / band)
     b = b.withColumn("block", F.explode(F.array(block("v2"), block("v2") - 1)))
     return a.withColumn("block", block("v1")).join(b, ["sample_id", "block"]).where((F.col("v1") < F.col("v2")) & (F.col("v2") - F.col("v1") < band)).drop("block")
@@ -95,9 +89,11 @@ def _correlation(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sa
 
 def ld(g: DataFrame, band: int | None = None, least_r2: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """v1, v2, r, r2 over samples with both calls; with ``band`` only variants fewer than so many apart."""
-    x = _variant_pairs(g, band, by)
-    a, b = F.col("a"), F.col("b")
-    x = x.groupBy("v1", "v2", *by).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))
+    if band is None:
+        x = moments(g, "vid", "sample_id", "dosage", by).withColumnsRenamed({"i": "v1", "j": "v2"})
+    else:
+        a, b = F.col("a"), F.col("b")
+        x = _variant_pairs(g, band, by).groupBy("v1", "v2", *by).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))
     r = _correlation(*(F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
     x = x.select("v1", "v2", *by, r.alias("r")).withColumn("r2", F.col("r") * F.col("r"))
     return x.where(F.col("r2") >= least_r2) if least_r2 > 0 else x
@@ -173,8 +169,9 @@ def clump(results: DataFrame, r2: DataFrame, p1: float = 1e-4, p2: float = 1e-2,
 
 def two_locus(g: DataFrame, s: DataFrame) -> DataFrame:
     """v1, v2, d1, d2, n_aff, n_unaff: genotype by genotype counts of all pairs of variants."""
-    x = _variant_pairs(g, None).join(s.select("sample_id", "aff"), "sample_id")
-    return x.groupBy("v1", "v2", F.col("a").cast("int").alias("d1"), F.col("b").cast("int").alias("d2")).agg(n_if(F.col("aff")).alias("n_aff"), n_if(~F.col("aff")).alias("n_unaff"))
+    x = cells_of(genotype_pairs(g.join(s.select("sample_id", "aff"), "sample_id"), ("aff",)), "d1", "d2", "n")
+    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    return x.groupBy("v1", "v2", "d1", "d2").agg(side(F.col("aff")).alias("n_aff"), side(~F.col("aff")).alias("n_unaff"))
 
 
 def fast_epistasis(g: DataFrame, s: DataFrame, case_only: bool = False) -> DataFrame:
@@ -182,10 +179,10 @@ def fast_epistasis(g: DataFrame, s: DataFrame, case_only: bool = False) -> DataF
 
     The four allele-pair counts of two dosages are their products with each other's complement.
     """
-    a, b, aff = F.col("a"), F.col("b"), F.col("aff")
-    x = _variant_pairs(g, None).join(s.select("sample_id", "aff"), "sample_id")
-    cells = {"p": a * b, "q": a * (2 - b), "r": (2 - a) * b, "t": (2 - a) * (2 - b)}
-    x = x.groupBy("v1", "v2").agg(*(F.sum(F.when(c, e).otherwise(0.0)).alias(f"{k}{n}") for n, c in (("a", aff), ("u", ~aff)) for k, e in cells.items()))
+    aff, cells = F.col("aff"), {"p": lambda a, b: a * b, "q": lambda a, b: a * (2 - b), "r": lambda a, b: (2 - a) * b, "t": lambda a, b: (2 - a) * (2 - b)}
+    x = genotype_pairs(g.join(s.select("sample_id", "aff"), "sample_id"), ("aff",))
+    total = lambda e: sum((e(a, b) * F.col(f"n{a}{b}") for a in range(3) for b in range(3) if e(a, b)), F.lit(0.0))
+    x = x.groupBy("v1", "v2").agg(*(F.sum(F.when(c, total(e)).otherwise(0.0)).alias(f"{k}{n}") for n, c in (("a", aff), ("u", ~aff)) for k, e in cells.items()))
     side = lambda n: [F.col(k + n) for k in cells]
 
     def log_odds(n):

@@ -103,9 +103,11 @@ def _plogp(n, total):
 
 def interaction_information(g: DataFrame, s: DataFrame) -> DataFrame:
     """v1, v2, i_ab, i_ab_c: I(A;B|C) - I(A;B) of two variants and the class, from counts at each level of detail."""
-    from strandflow.operators.pairs import _variant_pairs
+    from strandflow.lineage import cut
+    from strandflow.operators.products import cells_of, genotype_pairs
 
-    c = _variant_pairs(g, None).join(s.select("sample_id", "cls"), "sample_id").groupBy("v1", "v2", "a", "b", "cls").agg(F.count("*").cast("double").alias("n"))
+    # Read once for each level of detail.
+    c = cut(cells_of(genotype_pairs(g.join(s.select("sample_id", "cls"), "sample_id"), ("cls",)), "a", "b", "n"), "levels")
     total = c.groupBy("v1", "v2").agg(F.sum("n").alias("t"))
 
     def h(*keys):

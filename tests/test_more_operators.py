@@ -155,3 +155,32 @@ def test_bands_of_variants_lose_no_pair(spark):
         got = {(r.v1, r.v2): r.r for r in pairs.ld(g, band).collect()}
         assert got == pytest.approx({k: x for k, x in every.items() if k[1] - k[0] < band}, nan_ok=True)
     assert "CartesianProduct" not in pairs.ld(g, 3)._jdf.queryExecution().toString()
+
+
+def test_products_over_many_blocks_and_chunks(spark, monkeypatch):
+    from strandflow.operators import products
+
+    monkeypatch.setattr(products, "BLOCK", 5)
+    monkeypatch.setattr(products, "CHUNK", 7)
+    g = np.random.default_rng(4)
+    cells = {(i, t): (None if g.random() < 0.2 else float(g.integers(0, 3))) for i in range(0, 46, 2) for t in range(31) if g.random() < 0.9}
+    x = spark.createDataFrame([(t % 2 == 0, i, t, v) for (i, t), v in cells.items()], "even boolean, item long, place int, v double")
+    want = {}
+    for (i, t), a in cells.items():
+        for j in range(i, 46, 2):
+            b = cells.get((j, t))
+            if a is not None and b is not None:
+                s = want.setdefault((t % 2 == 0, i, j), np.zeros(6))
+                s += (1, a, b, a * a, b * b, a * b)
+    got = products.moments(x, "item", "place", "v", ("even",), diagonal=True).collect()
+    assert {(r.even, r.i, r.j): (r.n, r.sa, r.sb, r.saa, r.sbb, r.sab) for r in got} == {k: tuple(v) for k, v in want.items()} and len(got) == len(want)
+    assert not products.moments(x.limit(0), "item", "place", "v").collect()
+    y = x.where("v is not null").select(F.col("item").cast("int").alias("vid"), F.col("place").alias("sample_id"), F.col("v").cast("int").alias("dosage"))
+    pairs_ = products.cells_of(products.genotype_pairs(y), "a", "b", "n").collect()
+    brute = {}
+    for (i, t), a in cells.items():
+        for j in range(i + 2, 46, 2):
+            b = cells.get((j, t))
+            if a is not None and b is not None:
+                brute[i, j, int(a), int(b)] = brute.get((i, j, int(a), int(b)), 0) + 1
+    assert {(r.v1, r.v2, r.a, r.b): r.n for r in pairs_} == brute
