@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.stats import div
+from strandflow.operators.ordered import in_ranges, running
 from strandflow.operators.summaries import allele_freq, hwe, missing_by
 
 
@@ -48,9 +49,8 @@ def region(v: DataFrame, chr: int | None = None, start: int | None = None, stop:
     return v.where(cond if stop is None else cond & (F.col("bp") <= stop))
 
 
-def named(v: DataFrame, spec: str, order: Window | None = None) -> DataFrame:
+def named(v: DataFrame, spec: str) -> DataFrame:
     """Variants named in ``a,b-c``: single names and ranges by the order of (chr, bp)."""
-    w = Window.orderBy("chr", "bp")
     bounds = [p.split("-", 1) for p in re.split(r"\s*,\s*", spec) if p]
     ends = {n for b in bounds for n in b}
     place = {r["name"]: (r["chr"], r["bp"]) for r in v.where(F.col("name").isin(*ends)).select("name", "chr", "bp").collect()}
@@ -59,7 +59,6 @@ def named(v: DataFrame, spec: str, order: Window | None = None) -> DataFrame:
         lo, hi = place[b[0]], place[b[-1]]
         key = F.struct("chr", "bp")
         cond = cond | ((key >= F.struct(F.lit(lo[0]), F.lit(lo[1]))) & (key <= F.struct(F.lit(hi[0]), F.lit(hi[1]))))
-    del w
     return v.where(cond)
 
 
@@ -107,9 +106,9 @@ def floor_quantile(x: DataFrame, column: str, q: float) -> DataFrame:
     """One row: the value at index floor(q * n) of the sorted column, found by counts of distinct values."""
     counts = x.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    w = Window.orderBy(column)
     at = F.least(F.floor(F.lit(q) * F.col("total")), F.col("total") - 1)
-    return counts.withColumn("upto", F.sum("n").over(w)).crossJoin(F.broadcast(total)).where(F.col("upto") > at).agg(F.min(column).alias("cut"))
+    upto = running(in_ranges(counts, column), [column], {"upto": ("sum", F.col("n"))})
+    return upto.crossJoin(F.broadcast(total)).where(F.col("upto") > at).agg(F.min(column).alias("cut"))
 
 
 def low_values(num: DataFrame, q: float) -> DataFrame:

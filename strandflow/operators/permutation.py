@@ -12,27 +12,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.stats import chi2_sf1, div
+from strandflow.operators.ordered import in_ranges, running
 
 
 def multiple_testing(results: DataFrame, chisq: str = "chisq") -> DataFrame:
     """vid, unadj, gc, bonf, holm, sidak_ss, sidak_sd, fdr_bh, fdr_by.
 
-    Results are one row for each variant, after all aggregation; the running extremes need them in order.
+    Results are one row for each variant; places and running extremes come by ranges of the order (``ordered``).
     """
     x = results.where(F.col(chisq).isNotNull()).select("vid", F.col(chisq).alias("c"))
     med = x.agg(F.greatest(F.percentile("c", 0.5) / 0.456, F.lit(1.0)).alias("lambda"), F.count("*").alias("t"), F.sum(F.lit(1)).alias("one"))
     x = x.crossJoin(F.broadcast(med)).withColumn("unadj", chi2_sf1(F.col("c"))).withColumn("gc", chi2_sf1(F.col("c") / F.col("lambda")))
-    w = Window.orderBy("unadj", "vid")
-    x = x.withColumn("i", F.row_number().over(w) - 1)
-    p, t, i = F.col("unadj"), F.col("t").cast("double"), F.col("i")
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc("unadj"), F.desc("vid")).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("h", F.sum(1.0 / (i + 1)).over(Window.partitionBy("t")))
+    order = ["unadj", "vid"]
+    x = running(in_ranges(x, *order), order, {"place": ("sum", F.lit(1))})
+    p, t, i = F.col("unadj"), F.col("t").cast("double"), F.col("place") - 1
+    x = x.crossJoin(F.broadcast(x.agg(F.sum(1.0 / F.col("place")).alias("h"))))
     one = lambda c: F.least(F.lit(1.0), c)
-    return x.select(
-        "vid", "unadj", "gc", one(p * t).alias("bonf"), F.max(one((t - i) * p)).over(up).alias("holm"), (-F.expm1(t * F.log1p(-p))).alias("sidak_ss"),
-        F.max(-F.expm1((t - i) * F.log1p(-p))).over(up).alias("sidak_sd"), F.min(one(t * p / (i + 1))).over(down).alias("fdr_bh"), F.min(one(F.col("h") * t * p / (i + 1))).over(down).alias("fdr_by"),
-    )
+    up = {"holm": ("max", one((t - i) * p)), "sidak_sd": ("max", -F.expm1((t - i) * F.log1p(-p)))}
+    down = {"fdr_bh": ("min", one(t * p / (i + 1))), "fdr_by": ("min", one(F.col("h") * t * p / (i + 1)))}
+    x = running(x, order, up, down)
+    return x.select("vid", "unadj", "gc", one(p * t).alias("bonf"), "holm", (-F.expm1(t * F.log1p(-p))).alias("sidak_ss"), "sidak_sd", "fdr_bh", "fdr_by")
 
 
 def shuffled(s: DataFrame, label: str, reps: DataFrame, seed: int = 1, within: str | None = None) -> DataFrame:

@@ -184,3 +184,23 @@ def test_products_over_many_blocks_and_chunks(spark, monkeypatch):
             if a is not None and b is not None:
                 brute[i, j, int(a), int(b)] = brute.get((i, j, int(a), int(b)), 0) + 1
     assert {(r.v1, r.v2, r.a, r.b): r.n for r in pairs_} == brute
+
+
+def test_running_over_many_ranges(spark):
+    from strandflow.operators.ordered import in_ranges, running
+
+    g = np.random.default_rng(9)
+    rows = [(int(k), float(g.integers(0, 40)), int(g.integers(-5, 9))) for k in g.permutation(300)]
+    # Ranges as several tasks make them, whatever the session would join into one.
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        x = in_ranges(spark.createDataFrame(rows, "k long, p double, v int"), "p", "k")
+        assert x.select("_range").distinct().count() > 1
+        out = running(x, ["p", "k"], {"place": ("sum", F.lit(1)), "top": ("max", F.col("v"))}, {"low": ("min", F.col("v")), "left": ("sum", F.col("v"))}).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    rows.sort(key=lambda r: (r[1], r[0]))
+    v = [r[2] for r in rows]
+    assert {r.k: (r.place, r.top, r.low, r.left) for r in out} == {r[0]: (i + 1, max(v[: i + 1]), min(v[i:]), sum(v[i:])) for i, r in enumerate(rows)}
+    assert not running(in_ranges(spark.createDataFrame([], "k long"), "k"), ["k"], {"n": ("sum", F.lit(1))}).collect()
