@@ -1,4 +1,4 @@
-"""Multiple testing as windows over ordered p values, and permutation as one more grouping column.
+"""Multiple testing by ranges of ordered p values, and permutation as matrix products of calls and shuffled labels.
 
 A replicate's shuffle orders the samples by a hash of seed, replicate and sample within each cluster and deals the labels in
 that order: the same anywhere, any time, without a random number stream.
@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.stats import chi2_sf1, div
+from strandflow.lineage import cut
 from strandflow.operators.ordered import in_ranges, running
+from strandflow.operators.products import label_sums
 
 
 def multiple_testing(results: DataFrame, chisq: str = "chisq") -> DataFrame:
@@ -49,14 +51,16 @@ def shuffled(s: DataFrame, label: str, reps: DataFrame, seed: int = 1, within: s
 
 
 def max_t(g: DataFrame, s: DataFrame, n: int, seed: int = 1, within: str | None = None) -> DataFrame:
-    """vid, chisq, emp1, emp2 of the allelic test: one aggregation over variants and replicates, replicate 0 as observed.
+    """vid, chisq, emp1, emp2 of the allelic test: matrix products of blocks of variants and the replicates' labels, replicate 0 as observed.
 
     The allele counts of cases determine the table, as its margins are the same in each replicate.
     """
     reps = s.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("rep"))
     labels = shuffled(s, "aff", reps, seed, within).unionByName(s.select(F.lit(0).alias("rep"), "sample_id", F.col("aff").alias("label")))
-    x = g.where("dosage is not null").join(labels, "sample_id").groupBy("rep", "vid").agg(F.sum(F.when(F.col("label"), F.col("dosage")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("label"), 2 - F.col("dosage")).otherwise(0)).cast("double").alias("b"), F.sum(F.when(F.col("label"), 0).otherwise(F.col("dosage"))).cast("double").alias("c"), F.sum(F.when(F.col("label"), 0).otherwise(2 - F.col("dosage"))).cast("double").alias("d"))
-    a, b, c, d = (F.col(k) for k in "abcd")
+    x = cut(label_sums(g, labels), "replicates")
+    # Copies of both alleles in cases, then in controls.
+    a, b = F.col("x"), 2 * F.col("n") - F.col("x")
+    c, d = F.col("all_x") - a, 2 * F.col("all_n") - F.col("all_x") - b
     x = x.select("rep", "vid", div((a + b + c + d) * (a * d - b * c) ** 2, (a + b) * (c + d) * (a + c) * (b + d)).alias("stat"))
     seen = x.where("rep = 0").select("vid", F.col("stat").alias("chisq"))
     top = x.where("rep > 0").groupBy("rep").agg(F.max("stat").alias("top"))

@@ -87,3 +87,35 @@ def cells_of(x: DataFrame, first: str, second: str, n: str) -> DataFrame:
     keys = [c for c in x.columns if not (len(c) == 3 and c[0] == "n" and c[1:].isdigit())]
     each = F.array(*(F.struct(F.lit(p).alias(first), F.lit(q).alias(second), F.col(f"n{p}{q}").alias(n)) for p in range(3) for q in range(3)))
     return x.select(*keys, F.explode(each).alias("c")).select(*keys, "c.*").where(F.col(n) > 0)
+
+
+def label_sums(g: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, vid, x, n, all_x, all_n: dosages and calls summed over the samples that a replicate labels true, and over all.
+
+    ``labels`` is (rep, sample_id, label) with a row for every replicate and sample; a null label is false.  Samples meet a block of
+    variants with all their labels as one row, so no row is made for a call and a replicate.
+    """
+    g = g.where("dosage is not null").select("vid", "sample_id", F.col("dosage").cast("double").alias("dosage"))
+    size = g.agg(F.approx_count_distinct("vid").alias("items"), F.approx_count_distinct("sample_id").alias("places")).first()
+    blocks, chunks = max(1, math.ceil(size["items"] / BLOCK)), max(1, math.ceil(size["places"] / CHUNK))
+    chunk = F.pmod(F.xxhash64(F.col("sample_id").cast("long")), F.lit(chunks)).alias("chunk")
+    cells = g.select("vid", "sample_id", "dosage", F.pmod(F.xxhash64("vid"), F.lit(blocks)).alias("block"), chunk)
+    drawn = F.array_sort(F.collect_list(F.struct("rep", F.coalesce(F.col("label").cast("double"), F.lit(0.0)).alias("label"))))
+    packed = labels.groupBy("sample_id").agg(drawn.alias("drawn")).select("sample_id", F.transform("drawn", lambda d: d["rep"]).alias("reps"), F.transform("drawn", lambda d: d["label"]).alias("labels"), chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left[left["sample_id"].isin(right["sample_id"])]
+        if not len(left):
+            return pd.DataFrame({c: [] for c in ("rep", "vid", "x", "n", "all_x", "all_n")})
+        who = pd.Index(right["sample_id"])
+        vids, at = np.unique(left["vid"].to_numpy(), return_inverse=True)
+        to = who.get_indexer(left["sample_id"])
+        dose, call = np.zeros((len(vids), len(who))), np.zeros((len(vids), len(who)))
+        dose[at, to], call[at, to] = left["dosage"].to_numpy(float), 1
+        reps, drawn = np.asarray(right["reps"].iloc[0]), np.stack(right["labels"].to_list()).astype(float)
+        k, each = len(reps), lambda m: np.repeat(m.sum(axis=1), len(reps))
+        return pd.DataFrame({"rep": np.tile(reps, len(vids)), "vid": np.repeat(vids, k), "x": (dose @ drawn).ravel(), "n": (call @ drawn).ravel(), "all_x": each(dose), "all_n": each(call)})
+
+    kind = dict(g.dtypes)
+    parts = cells.groupBy("block", "chunk").cogroup(packed.groupBy("block", "chunk")).applyInPandas(run, f"rep int, vid {kind['vid']}, x double, n double, all_x double, all_n double")
+    return parts.groupBy("rep", "vid").agg(*(F.sum(c).alias(c) for c in ("x", "n", "all_x", "all_n")))

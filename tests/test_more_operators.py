@@ -204,3 +204,22 @@ def test_running_over_many_ranges(spark):
     v = [r[2] for r in rows]
     assert {r.k: (r.place, r.top, r.low, r.left) for r in out} == {r[0]: (i + 1, max(v[: i + 1]), min(v[i:]), sum(v[i:])) for i, r in enumerate(rows)}
     assert not running(in_ranges(spark.createDataFrame([], "k long"), "k"), ["k"], {"n": ("sum", F.lit(1))}).collect()
+
+
+def test_label_sums_over_many_blocks_and_chunks(spark, monkeypatch):
+    from strandflow.operators import products
+
+    monkeypatch.setattr(products, "BLOCK", 4)
+    monkeypatch.setattr(products, "CHUNK", 6)
+    g = np.random.default_rng(5)
+    calls = [(v, s, int(g.integers(0, 3)) if g.random() < 0.8 else None) for v in range(17) for s in range(29)]
+    labels = [(r, s, None if r == 2 and s == 3 else bool(g.random() < 0.5)) for r in range(3) for s in range(25)]
+    got = products.label_sums(spark.createDataFrame(calls, "vid int, sample_id long, dosage int"), spark.createDataFrame(labels, "rep int, sample_id long, label boolean")).collect()
+    on = {(r, s): bool(x) for r, s, x in labels}
+    want = {}
+    for v, s, d in calls:
+        for r in range(3):
+            if d is not None and s < 25:
+                w = want.setdefault((r, v), np.zeros(4))
+                w += (d * on[r, s], on[r, s], d, 1)
+    assert {(r.rep, r.vid): (r.x, r.n, r.all_x, r.all_n) for r in got} == {k: tuple(v) for k, v in want.items()}
