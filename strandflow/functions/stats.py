@@ -254,6 +254,11 @@ def arrow_udf(f: Callable, returns: str = "double") -> Callable[..., Column]:
     return F.pandas_udf(run, returns)
 
 
+def six_digits(x: Column) -> Column:
+    """Six significant digits of the double itself, as C and SQL's printf round; the JVM's formatter rounds its shortest decimal form."""
+    return arrow_udf(lambda a: [float(f"{v:.5e}") for v in a])(x)
+
+
 def _each(f: Callable) -> Callable:
     return lambda *xs: [f(*(int(v) for v in row)) if not np.isnan(row).any() else math.nan for row in np.stack(xs, axis=1)]
 

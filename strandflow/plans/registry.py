@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.functions.stats import div
+from strandflow.functions.stats import div, six_digits
 from strandflow.operators import assoc, family, filters, haplotypes, joins, models, network, pairs, permutation, ranking, recodes, relatives, segments, sets, summaries
 from strandflow.plans import fixtures as fx
 
@@ -23,7 +23,7 @@ _SMALL = {"p", "unadj", "gc", "bonf", "holm", "fdr_bh", "fdr_by"}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    short = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.5e", F.col(c)).cast("double")) if c in _SMALL else F.round(c, digits) + F.lit(0.0)
+    short = lambda c: F.when(F.isnan(c), F.col(c)).otherwise(six_digits(F.col(c))) if c in _SMALL else F.round(c, digits) + F.lit(0.0)
     return df.select(*(short(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 

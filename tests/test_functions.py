@@ -88,3 +88,24 @@ def test_small_helpers():
 def test_distances(spark):
     r = spark.createDataFrame([([0.0, 1.0, 2.0], [2.0, 1.0, None])], "a array<double>, b array<double>").select(distance.genotype_mismatch(F.col("a"), F.col("b")).alias("gm"), distance.allele_mismatch(F.col("a"), F.col("b")).alias("am"), distance.euclidean(F.slice("a", 1, 2), F.slice("b", 1, 2)).alias("e")).first()
     assert (r.gm, r.am, r.e) == (pytest.approx(1 + 2 / 3), pytest.approx(1 + 2 / 3), 2.0)
+
+
+def test_six_digits_round_the_double_and_not_its_shortest_form(spark):
+    import duckdb
+
+    values = [0.2550625, 0.2467915, 1.000005e-9, 0.1234565, 0.25, 0.0, 1e-300, None]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "x double").select(stats.six_digits(F.col("x")).alias("v")).collect()]
+    assert got == [duckdb.sql(f"SELECT printf('%.5e', {v!r}::DOUBLE)::DOUBLE").fetchall()[0][0] if v is not None else None for v in values]
+
+
+@pytest.mark.parametrize("name", ["p_value_filter"])
+def test_p_values_are_those_of_sql_to_the_last_digit(spark, name):
+    import duckdb
+
+    from strandflow.plans import registry
+
+    c, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("part", "embeddings", "events"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, sf)
+    assert sorted(map(tuple, df.collect())) == sorted(c.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.SQL[name]})").fetchall())
