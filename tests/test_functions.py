@@ -98,7 +98,7 @@ def test_six_digits_round_the_double_and_not_its_shortest_form(spark):
     assert got == [duckdb.sql(f"SELECT printf('%.5e', {v!r}::DOUBLE)::DOUBLE").fetchall()[0][0] if v is not None else None for v in values]
 
 
-@pytest.mark.parametrize("name", ["p_value_filter"])
+@pytest.mark.parametrize("name", ["p_value_filter", "result_files"])
 def test_p_values_are_those_of_sql_to_the_last_digit(spark, name):
     import duckdb
 
