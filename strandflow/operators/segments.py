@@ -50,6 +50,11 @@ def cnv_filter(seg: DataFrame, least_kb: float = 0, most_kb: float | None = None
 
 def cnv_intersect(seg: DataFrame, regions: DataFrame, least: float = 0.0, kind: str = "default", exclude: bool = False, disrupt: bool = False) -> DataFrame:
     """Segments that meet a region by more than a share (or, to disrupt it, have an end in it), or those that don't."""
+    # Only whether a region is met counts: equal ones are one, and what lies within another is met by no greater share of a segment.
+    regions = regions.select("chr", "bp1", "bp2").distinct()
+    if not disrupt and (kind == "default" or least <= 0):
+        wider = Window.partitionBy("chr").orderBy("bp1", F.desc("bp2")).rowsBetween(Window.unboundedPreceding, -1)
+        regions = regions.withColumn("reach", F.max("bp2").over(wider)).where("reach is null or reach < bp2").drop("reach")
     m = overlap_join(seg, regions)
     if disrupt:
         m = m.where((F.col("bp1") > F.col("b_bp1")) & (F.col("bp1") < F.col("b_bp2")) | (F.col("bp2") > F.col("b_bp1")) & (F.col("bp2") < F.col("b_bp2")))

@@ -238,3 +238,31 @@ def test_kendall(spark):
     a = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "attribute string, score double")
     b = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 2.0)], "attribute string, score double")
     assert ranking.kendall_tau(a, b).first().tau == pytest.approx(1 / 3)
+
+
+def _segments(n, seed, places=300, longest=60):
+    rng = np.random.default_rng(seed)
+    a, w = rng.integers(0, places, n), rng.integers(0, longest, n)
+    return [(i, i % 5, int(c), int(b), int(b + z)) for i, (c, b, z) in enumerate(zip(rng.integers(1, 3, n), a, w, strict=True))]
+
+
+SEG = "seg_id int, sample_id int, chr int, bp1 int, bp2 int"
+
+
+def _no_rows_for_pairs(monkeypatch):
+    """Segments of these tests may not be joined by pairs of what is single."""
+    def fail(*_, **__):
+        raise AssertionError("a join by pairs")
+
+    for name in ("overlap_join", "range_join"):
+        monkeypatch.setattr(segments, name, fail)
+
+
+def test_equal_and_inner_regions_are_joined_once(spark, monkeypatch):
+    rows = _segments(60, 6)
+    regions = [(1, b, b + 40, str(k)) for k in range(30) for b in range(0, 300, 60)] + [(1, b + 5, b + 9, "in") for b in range(0, 300, 60)]
+    want = {k for k, _, c, p, q in rows if not any(c == e and p <= z and a <= q and (min(q, z) - max(p, a) + 1) / (q - p + 1) >= 0.3 for e, a, z, _ in regions)}
+    sizes, plain = [], segments.overlap_join
+    monkeypatch.setattr(segments, "overlap_join", lambda a, b: sizes.append(b.count()) or plain(a, b))
+    got = segments.cnv_intersect(spark.createDataFrame(rows, SEG), spark.createDataFrame(regions, "chr int, bp1 int, bp2 int, name string"), 0.3, exclude=True)
+    assert {r.seg_id for r in got.collect()} == want and sizes == [5]
