@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,10 +68,77 @@ def cnv_intersect(seg: DataFrame, regions: DataFrame, least: float = 0.0, kind:
     return seg.join(m.select("seg_id").distinct(), "seg_id", "left_anti" if exclude else "left_semi")
 
 
+def dominated(x: np.ndarray, y: np.ndarray, w: np.ndarray, to_x: np.ndarray, to_y: np.ndarray) -> np.ndarray:
+    """For each asked corner the weight of the points with x <= to_x and y <= to_y, bit by bit of y's places (a wavelet matrix)."""
+    order = np.argsort(x, kind="stable")
+    last = np.searchsorted(x[order], to_x, "right")
+    by_y = np.argsort(y[order], kind="stable")
+    j = np.searchsorted(y[order][by_y], to_y, "right")
+    v, w = np.empty(len(x), np.int64), w[order]
+    v[by_y] = np.arange(len(x))
+    first, out = np.zeros(len(to_x), np.int64), np.zeros(len(to_x), np.int64)
+    for bit in reversed(range(len(x).bit_length())):
+        low = (v >> bit & 1) == 0
+        lows, weight = np.concatenate(([0], np.cumsum(low))), np.concatenate(([0], np.cumsum(np.where(low, w, 0))))
+        up = (j >> bit & 1) == 1
+        out += np.where(up, weight[last] - weight[first], 0)
+        first, last = (np.where(up, lows[-1] + k - lows[k], lows[k]) for k in (first, last))
+        turn = np.concatenate((np.flatnonzero(low), np.flatnonzero(~low)))
+        v, w = v[turn], w[turn]
+    return out
+
+
+def meeting(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray, w: np.ndarray, n: int, d: int) -> np.ndarray:
+    """For each segment [p, q] the weight of the [r, s] that meet it by n / d (0 to 1) of both together or more.
+
+    (n + d) * meet >= n * (sum of lengths) is linear wherever begins and ends lie in one order; each of the four orders is a
+    triangle in (r, s), which is a sum and difference of corners of two sides.
+    """
+    size, gap, rise, fall = q - p + 1, s - r, d * s + n * r, d * r + n * s
+    most, least = d * size // n - 1, -(-n * size // d) - 1
+    over, under = (n + d) * (p - 1) + n * (size + 1), (n + d) * (q + 1) - n * (size + 1)
+    at = lambda x, y, to_x, to_y: dominated(x, y, w, to_x, to_y)
+    nowhere, all_ = np.zeros(len(r), np.int64), np.zeros(len(p), np.int64)
+    ends, begins, both = at(nowhere, s, all_, q - 1), at(nowhere, r, all_, p), at(r, s, p, q - 1)
+    around = at(r, gap, p, most) - at(s, gap, q - 1, most) + ends - both
+    within = ends - both - at(s, gap, q - 1, least - 1) + at(r, gap, p, least - 1)
+    before = at(r, -rise, p, -over) - at(-s, -rise, -q, -over) + w.sum() - ends - begins + both
+    behind = at(nowhere, fall, all_, under) - at(r, fall, p, under) - at(s, fall, q - 1, under) + both
+    return around + within + before + behind
+
+
 def cnv_frequency(seg: DataFrame, least: float = 0.5) -> DataFrame:
-    """seg_id, n: segments (itself included) that meet a segment by a share of both together."""
-    m = overlap_join(seg, seg.select("seg_id", "chr", "bp1", "bp2")).where(overlap_share("union") >= least)
-    return m.groupBy("seg_id").agg(F.count("*").alias("n"))
+    """seg_id, n: segments (itself included) that meet a segment by a share of both together.
+
+    Equal segments are one with a weight.  Such a share bounds the lengths' ratio and the begins' distance, so segments meet by class of
+    length and stretch of begins, and are counted there by ``meeting``: neither a row nor a step for a pair.
+    """
+    if least <= 0:
+        m = overlap_join(seg, seg.select("seg_id", "chr", "bp1", "bp2")).where(overlap_share("union") >= least)
+        return m.groupBy("seg_id").agg(F.count("*").alias("n"))
+    if least > 1:
+        return seg.select("seg_id", F.lit(0).cast("long").alias("n")).where("false")
+    # A little over the ratio, so that no class hangs on a logarithm's last bit.
+    base = 1.001 / least
+    own = seg.where("bp1 <= bp2").groupBy("chr", F.col("bp1").cast("long").alias("bp1"), F.col("bp2").cast("long").alias("bp2")).agg(F.count("*").alias("w"))
+    own = own.withColumn("cls", F.floor(F.log(F.col("bp2") - F.col("bp1") + 1) / math.log(base)))
+    top = F.pow(F.lit(base), F.col("cls") + 1)
+    width, reach = F.greatest(F.ceil(4 * top), F.lit(200_000)), F.ceil(top * base)
+    asks = own.select("chr", "cls", F.floor(F.col("bp1") / width).alias("bin"), "bp1", "bp2", F.lit(0).cast("long").alias("w"))
+    near = own.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    near = near.withColumn("bin", F.explode(F.sequence(F.floor((F.col("bp1") - reach) / width), F.floor((F.col("bp1") + reach) / width))))
+
+    share = Fraction(str(float(least)))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf["w"].to_numpy() == 0
+        p, q = (pdf[c].to_numpy()[mine] for c in ("bp1", "bp2"))
+        n = meeting(p, q, *(pdf[c].to_numpy()[~mine] for c in ("bp1", "bp2", "w")), share.numerator, share.denominator)
+        return pd.DataFrame({"chr": [key[0]] * len(p), "bp1": p, "bp2": q, "n": n})
+
+    kind = dict(own.dtypes)["chr"]
+    met = asks.unionByName(near.select("chr", "cls", "bin", "bp1", "bp2", "w")).where("chr is not null").groupBy("chr", "cls", "bin").applyInPandas(run, f"chr {kind}, bp1 long, bp2 long, n long")
+    return seg.select("seg_id", "chr", "bp1", "bp2").join(met, ["chr", "bp1", "bp2"]).groupBy("seg_id").agg(F.sum("n").alias("n"))
 
 
 def cnv_summary(seg: DataFrame) -> DataFrame:

@@ -258,6 +258,17 @@ def _no_rows_for_pairs(monkeypatch):
         monkeypatch.setattr(segments, name, fail)
 
 
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.1, 0.7, 1.0])
+def test_segments_that_meet_by_a_share_are_counted_without_pairs(spark, monkeypatch, least):
+    rows = _segments(150, 3) + [(1000 + i, 1, 1, 50, 70) for i in range(20)]
+    want = {}
+    for k, _, c, p, q in rows:
+        m = [(min(q, s) - max(p, r) + 1, q - p + s - r + 2) for _, _, e, r, s in rows if c == e]
+        want[k] = sum(x > 0 and x / (t - x) >= least for x, t in m)
+    _no_rows_for_pairs(monkeypatch)
+    assert {r.seg_id: r.n for r in segments.cnv_frequency(spark.createDataFrame(rows, SEG), least).collect()} == want
+
+
 def test_equal_and_inner_regions_are_joined_once(spark, monkeypatch):
     rows = _segments(60, 6)
     regions = [(1, b, b + 40, str(k)) for k in range(30) for b in range(0, 300, 60)] + [(1, b + 5, b + 9, "in") for b in range(0, 300, 60)]
