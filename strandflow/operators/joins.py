@@ -56,6 +56,32 @@ def overlap_totals(a: DataFrame, b: DataFrame, key: str = "seg_id", width: int =
     return at.groupBy(key).agg(F.sum(F.when(F.col("sign") > 0, n1).otherwise(-n2)).alias("n"), F.sum(F.col("sign") * covered).alias("meet")).where("n > 0")
 
 
+def overlap_counts(a: DataFrame, b: DataFrame, key: list[str], counts: dict[str, Column], width: int = 100_000) -> DataFrame:
+    """key and sums of b's columns ``counts`` over the rows of b that meet each range of a (chr, bp1, bp2), without a row for each pair.
+
+    What meets [p, q] has begun by q, less what has ended before p; sums run along each bin on top of the totals of the bins before.
+    A range that meets no row is out; one whose end comes before its begin meets nothing, on either side.
+    """
+    names = ["_rows", *counts]
+    values = [F.lit(1).cast("long"), *(c.cast("long") for c in counts.values())]
+    b = b.where("bp1 <= bp2").select("chr", "bp1", "bp2", *(v.alias(n) for n, v in zip(names, values, strict=True)))
+    event = lambda x, sign: b.select("chr", x.cast("long").alias("x"), *((sign * F.col(n)).alias(n) for n in names))
+    # An end counts from the next position on.
+    events = event(F.col("bp1"), 1).unionByName(event(F.col("bp2") + 1, -1))
+    begun = events.where("_rows > 0").groupBy("chr", "x").agg(*(F.sum(n).alias(n) for n in names)).withColumn("begin", F.lit(True))
+    ended = events.where("_rows < 0").groupBy("chr", "x").agg(*(F.sum(n).alias(n) for n in names)).withColumn("begin", F.lit(False))
+    nothing = [F.lit(0).cast("long").alias(n) for n in names]
+    a = a.where("bp1 <= bp2")
+    ask = lambda x, begin: a.select("chr", F.col(x).cast("long").alias("x"), *nothing, F.lit(begin).alias("begin"), *key, F.lit(True).alias("_ask"))
+    rows = begun.unionByName(ended).unionByName(ask("bp2", True).unionByName(ask("bp1", False)), allowMissingColumns=True).withColumn("bin", F.floor(F.col("x") / width))
+    # One row for each bin of the genome: bounded by its length.
+    before = Window.partitionBy("chr", "begin").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("chr", "begin", "bin").agg(*(F.sum(n).alias(n) for n in names)).select("chr", "begin", "bin", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"c_{n}") for n in names))
+    so_far = Window.partitionBy("chr", "begin", "bin").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    at = rows.select("chr", "begin", "bin", *key, "_ask", *(F.sum(n).over(so_far).alias(n) for n in names)).where("_ask").join(carried, ["chr", "begin", "bin"])
+    return at.groupBy(*key).agg(*(F.sum(F.col(n) + F.col(f"c_{n}")).alias(n) for n in names)).where("_rows > 0").drop("_rows")
+
+
 def overlap_share(kind: str = "default") -> Column:
     """Share of a meeting: of the segment (default), of both together (union), or of the region."""
     own, other = F.col("bp2") - F.col("bp1") + 1, F.col("b_bp2") - F.col("b_bp1") + 1

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.stats import div, n_if
-from strandflow.operators.joins import overlap_join, overlap_share, range_join
+from strandflow.operators.joins import overlap_counts, overlap_join, overlap_share, range_join
 
 
 def homozygous_runs(g: DataFrame, v: DataFrame, window: int = 50, most_het: int = 1, most_missing: int = 5, share: float = 0.05, least_snps: int = 100, least_kb: float = 1000.0, most_gap: int = 1_000_000) -> DataFrame:
@@ -148,9 +148,23 @@ def cnv_summary(seg: DataFrame) -> DataFrame:
 
 
 def cnv_region_counts(seg: DataFrame, regions: DataFrame, s: DataFrame) -> DataFrame:
-    """name, aff, unaff: case and control segments that meet each region."""
-    m = overlap_join(seg, regions).select("seg_id", "sample_id", "b_name").distinct().join(s.select("sample_id", "aff"), "sample_id")
-    return m.groupBy(F.col("b_name").alias("name")).agg(n_if(F.col("aff")).alias("aff"), n_if(~F.col("aff")).alias("unaff"))
+    """name, aff, unaff: case and control segments that meet each region.
+
+    A name of one range and a segment of one row are counted by running counts over the distinct ranges; only names and segments that
+    occur more than once, which count once wherever they meet, are joined by pairs.
+    """
+    r = regions.select("name", "chr", "bp1", "bp2").distinct().withColumn("_single", (F.count("*").over(Window.partitionBy("name")) == 1) & F.col("bp1").isNotNull() & (F.col("bp1") <= F.col("bp2")))
+    x = seg.select("seg_id", "sample_id", "chr", "bp1", "bp2").distinct().withColumn("_alone", (F.count("*").over(Window.partitionBy("seg_id", "sample_id")) == 1) & F.col("bp1").isNotNull() & (F.col("bp1") <= F.col("bp2")))
+    who = s.select("sample_id", "aff")
+    aff, unaff = F.when(F.col("aff"), 1).otherwise(0), F.when(~F.col("aff"), 1).otherwise(0)
+    one, at = r.where("_single"), F.struct("chr", "bp1", "bp2").alias("at")
+    alone = x.where("_alone").join(who, "sample_id").groupBy("chr", "bp1", "bp2").agg(F.sum(aff).alias("n1"), F.sum(unaff).alias("n2"))
+    sums = overlap_counts(one.select("chr", "bp1", "bp2").distinct().withColumn("at", at), alone, ["at"], {"aff": F.col("n1"), "unaff": F.col("n2")}, 10_000).select("at.*", "aff", "unaff")
+    plain = one.join(sums, ["chr", "bp1", "bp2"]).select("name", "aff", "unaff")
+    y, few = x.select("seg_id", "sample_id", "chr", "bp1", "bp2", "_alone"), r.select("chr", "bp1", "bp2", "name", "_single")
+    pairs = overlap_join(y, few.where("not _single")).unionByName(overlap_join(y.where("not _alone"), few.where("_single")))
+    m = pairs.select("seg_id", "sample_id", "b_name").distinct().join(who, "sample_id").select(F.col("b_name").alias("name"), aff.alias("aff"), unaff.alias("unaff"))
+    return plain.unionByName(m.select("name", *(F.col(c).cast("long") for c in ("aff", "unaff")))).groupBy("name").agg(F.sum("aff").alias("aff"), F.sum("unaff").alias("unaff"))
 
 
 def rare_window(counts: DataFrame, radius: int) -> DataFrame:

@@ -269,6 +269,19 @@ def test_segments_that_meet_by_a_share_are_counted_without_pairs(spark, monkeypa
     assert {r.seg_id: r.n for r in segments.cnv_frequency(spark.createDataFrame(rows, SEG), least).collect()} == want
 
 
+def test_region_counts_join_only_what_occurs_twice(spark, monkeypatch):
+    rows = _segments(90, 5)
+    rows += [(0, 0, 1, 100, 120), (0, 0, 2, 10, 250)]
+    regions = [(c, b, b + 30, f"r{c}.{b}") for b in range(0, 300, 25) for c in (1, 2)] + [(1, 10, 40, "twice"), (1, 30, 90, "twice")]
+    aff, joined, plain = {k: k < 3 for k in range(4)}, [], segments.overlap_join
+    monkeypatch.setattr(segments, "overlap_join", lambda a, b: joined.append((a.count(), b.count())) or plain(a, b))
+    r, s = spark.createDataFrame(regions, "chr int, bp1 int, bp2 int, name string"), spark.createDataFrame(list(aff.items()), "sample_id int, aff boolean")
+    got = {x.name: (x.aff, x.unaff) for x in segments.cnv_region_counts(spark.createDataFrame(rows, SEG), r, s).collect()}
+    met = {(n, k, i) for c, a, z, n in regions for k, i, e, p, q in rows if c == e and p <= z and a <= q and i in aff}
+    assert got == {n: (sum(m == n and aff[i] for m, _, i in met), sum(m == n and not aff[i] for m, _, i in met)) for n in {m for m, _, _ in met}}
+    assert joined == [(92, 2), (3, 24)]
+
+
 def test_equal_and_inner_regions_are_joined_once(spark, monkeypatch):
     rows = _segments(60, 6)
     regions = [(1, b, b + 40, str(k)) for k in range(30) for b in range(0, 300, 60)] + [(1, b + 5, b + 9, "in") for b in range(0, 300, 60)]
