@@ -188,9 +188,9 @@ def ibd_segments(p: DataFrame, least: float = 0.5, least_n: int = 2) -> DataFram
 
 
 def genes_hit(seg: DataFrame, genes: DataFrame) -> DataFrame:
-    """seg_id and the number of genes whose start lies in the segment."""
-    points = genes.select("chr", F.col("start").alias("bp"), "name")
-    return range_join(points, seg.select("chr", F.col("bp1").alias("start"), F.col("bp2").alias("stop"), "seg_id")).groupBy("seg_id").agg(F.count("*").alias("genes"))
+    """seg_id and the number of genes whose start lies in the segment, by running counts: no row for a segment and a gene."""
+    points = genes.select("chr", F.col("start").alias("bp1"), F.col("start").alias("bp2"))
+    return overlap_counts(seg, points, ["seg_id"], {"genes": F.lit(1)}, 1000)
 
 
 def coverage(seg: DataFrame, v: DataFrame, s: DataFrame) -> DataFrame:

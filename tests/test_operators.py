@@ -269,6 +269,14 @@ def test_segments_that_meet_by_a_share_are_counted_without_pairs(spark, monkeypa
     assert {r.seg_id: r.n for r in segments.cnv_frequency(spark.createDataFrame(rows, SEG), least).collect()} == want
 
 
+def test_genes_hit_are_counted_without_pairs(spark, monkeypatch):
+    rows, genes = _segments(80, 4), [(int(c), b, b + 5, f"g{b}") for b in range(0, 300, 7) for c in (1, 2)]
+    _no_rows_for_pairs(monkeypatch)
+    got = segments.genes_hit(spark.createDataFrame(rows, SEG), spark.createDataFrame(genes, "chr int, start int, stop int, name string"))
+    want = {k: n for k, _, c, p, q in rows if (n := sum(e == c and p <= b <= q for e, b, _, _ in genes))}
+    assert {r.seg_id: r.genes for r in got.collect()} == want
+
+
 def test_region_counts_join_only_what_occurs_twice(spark, monkeypatch):
     rows = _segments(90, 5)
     rows += [(0, 0, 1, 100, 120), (0, 0, 2, 10, 250)]
