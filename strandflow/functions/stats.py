@@ -210,7 +210,12 @@ def hwe_exact(het: int, hom1: int, hom2: int) -> float:
 
 def fisher_2x2(a: int, b: int, c: int, d: int) -> float:
     """Two-sided exact p of a 2x2 table: all tables with its margins that are no likelier."""
-    return fisher_exact([[a, b], [c, d]])
+    if a + b + c + d == 0:
+        return math.nan
+    x = np.arange(max(0, a - d), min(a + b, a + c) + 1)
+    logs = -(_lgamma(x + 1) + _lgamma(a + b - x + 1) + _lgamma(a + c - x + 1) + _lgamma(d - a + x + 1))
+    margins = sum(math.lgamma(m + 1) for m in (a + b, c + d, a + c, b + d)) - math.lgamma(a + b + c + d + 1)
+    return float(min(1.0, np.exp(logs[logs <= logs[a - x[0]] + 1e-9] + margins).sum()))
 
 
 def fisher_exact(table: list[list[int]]) -> float:
