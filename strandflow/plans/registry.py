@@ -1010,7 +1010,7 @@ def ibs_test(spark, sf):
 
 @query(f"{_IBS}, cl AS (SELECT i, j FROM ib WHERE (0.5 * ibs1 + ibs2) / (ibs0 + ibs1 + ibs2)::DOUBLE >= 0.72), e AS (SELECT i AS id, j AS o FROM cl UNION ALL SELECT j, i FROM cl);;WITH RECURSIVE r AS (SELECT id, o FROM e UNION SELECT r.id, e.o FROM r JOIN e ON r.o = e.id) SELECT id, min(least(id, o)) AS grp FROM r GROUP BY id")
 def genome_groups(spark, sf):
-    return relatives.groups(pairs.ibs(fx.genotypes(spark, sf)), 0.72, "dst")
+    return relatives.groups(pairs.close(fx.genotypes(spark, sf), 0.72), 0.72, "dst")
 
 
 @query()
