@@ -1000,7 +1000,7 @@ def generic_variants(spark, sf):
 
 @query(f"{_IBS}, d AS (SELECT i, j, (0.5 * ibs1 + ibs2) / (ibs0 + ibs1 + ibs2)::DOUBLE AS dst FROM ib);;SELECT CASE WHEN a.aff AND b.aff THEN 'AFF/AFF' WHEN NOT a.aff AND NOT b.aff THEN 'UNAFF/UNAFF' ELSE 'AFF/UNAFF' END AS grp, count(*) AS n, avg(dst) AS mean, stddev_samp(dst) AS sd FROM d JOIN s a ON a.sample_id = i JOIN s b ON b.sample_id = j GROUP BY 1", "mean sd")
 def ibs_groups(spark, sf):
-    return relatives.ibs_groups(pairs.ibs(fx.genotypes(spark, sf)), fx.samples(spark, sf))
+    return relatives.similar_groups(fx.genotypes(spark, sf), fx.samples(spark, sf))
 
 
 @query()
