@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import ascii_words, cut, forget, fresh, id_and_text, keeps, per_batch, small_batches, use, utf8
+from strandflow.llm.common import ascii_words, by_shuffle, cut, forget, fresh, id_and_text, keeps, per_batch, small_batches, use, utf8
 
 TREES, SHALLOW, DEEP, REGION = 24, 4, 8, 128
 VALUES = TREES * SHALLOW
@@ -413,17 +413,16 @@ def _texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1
     bits = reps.select(slot("rep").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    table = np.zeros(BITMAP, bool)
+    # Buckets and slots count from 1, bits from 0; a bucket's bytes are the map's own.
+    table = np.zeros(BITMAP >> 3, np.uint8)
     for r in bits.collect():
-        at = (r.bucket - 1) * 32_768
-        part = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-        table[at : at + len(part)] = part[: max(0, BITMAP - at)]
-    # Buckets and slots count from 1, bits from 0.
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+        part, at = np.frombuffer(bytes(r.bits), np.uint8), (r.bucket - 1) * 4096
+        table[at : at + len(part)] = part[: max(0, len(table) - at)]
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         s = b.column("s").to_numpy()
-        b = b.filter(pa.array((shared.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool)))
+        b = b.filter(pa.array((shared.value[s >> 3] >> (s & 7) & 1).astype(bool)))
         texts = b.column("text").to_pylist()
         return pa.RecordBatch.from_arrays([pa.array([set_key(shingles(t, k)) for t in texts], pa.binary()), b.column("text")], ["key", "text"])
 
@@ -568,7 +567,14 @@ def class_components(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
 
     The first orders connect most of what is alike; all orders, which know the components, then offer only pairs between
     them, and what they hold back is decided in blocks.
+
+    The many joins in between have no broadcasts, whose tables stay on the driver until its heap is collected.
     """
+    with by_shuffle(docs.sparkSession):
+        return _class_components(docs, k, id_col, text_col)
+
+
+def _class_components(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = cut(set_table(docs, k, id_col, text_col), "sets")
     classes = cut(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     texts_of = id_and_text(docs, id_col, text_col)
@@ -645,7 +651,8 @@ def drop_near_copies(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     The smallest id stays (a null id only if no other is there; of repeated rows one); texts without words all stay.
     """
     _, classes, labels = class_components(docs, k, id_col, text_col)
-    stay = cut(_winners(classes, labels).where("first").select(F.col("key").alias("w_key"), F.col("rep").alias("w_rep"), "n_rows"), "winners")
+    with by_shuffle(docs.sparkSession):
+        stay = cut(_winners(classes, labels).where("first").select(F.col("key").alias("w_key"), F.col("rep").alias("w_rep"), "n_rows"), "winners")
     raw, key = fresh(docs, "__utf8"), fresh(docs, "__key")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

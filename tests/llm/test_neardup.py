@@ -184,6 +184,24 @@ def test_a_dense_group_beyond_one_region_equals_brute_force(spark):
     assert [got[i] for i in range(m)] == want.tolist()
 
 
+def test_the_driver_builds_no_tables_for_joins(spark, monkeypatch):
+    """Nothing that near-dedup writes has a broadcast join, its map of ids takes a bit an id, and the setting comes back."""
+    name, plans, maps, sent = "spark.sql.autoBroadcastJoinThreshold", [], [], type(spark.sparkContext).broadcast
+    before, cut = spark.conf.get(name), N.cut
+
+    def seen(df, what):
+        plans.append((what, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df, what)
+
+    monkeypatch.setattr(N, "cut", seen)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: maps.append(x) or sent(self, x))
+    rows = corpus(5, groups=3, lone=20)
+    N.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5).count()
+    assert len(plans) > 10 and not [what for what, plan in plans if "Broadcast" in plan]
+    assert maps and all(x.nbytes == N.BITMAP // 8 for x in maps)
+    assert spark.conf.get(name) == before
+
+
 def test_repeated_rows_leave_the_smallest_text(spark):
     df = spark.createDataFrame([(1, "b  c d", "y"), (1, "b c d", "z"), (1, "B c d", "x"), (2, "b c d", "w")], "doc_id long, text string, key string").repartition(3)
     assert [tuple(r) for r in N.drop_near_copies(df, 2).collect()] == [(1, "B c d", "x")]
