@@ -3,11 +3,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandflow.llm import lm, quality, toxicity
-from strandflow.llm.tokens import encoder
+from strandflow.llm.tokens import WordIds, encoder
 
 WORD = P.path("word_bpe_49k.json")
 #: What the score must be better than, as a share of the log probability that counts of pairs give.
@@ -181,6 +182,45 @@ def test_lm_passes_equal_plain_counts(spark, odd_docs, monkeypatch):
     assert np.allclose(within, m.count(seen).within)
 
 
+def test_lm_ids_by_words_are_those_of_the_text(odd_docs):
+    enc = encoder(WORD)
+    odd = ["J\u030c j\u030c H\u0331 \u01f0 I\u0307 \u0130", "A\x85B\xa0C\u2003D\x0bE\x0cF\x1cG", "\u0301a \u0301", "DON'T don't 'S 12\xb2\xbd X1y", "\xc0\xc9\xdf \xffa", "\u03a3\u0391\u03a3 \u03c3", "a\ufffdb", "", "W\u030a\tW\u030a"]
+    texts = [x.encode() for x in [*odd, *((r.text or "") for r in odd_docs.collect())]]
+    want = [np.asarray(enc.whole(t.decode()), enc.kind).tobytes() for t in texts]
+    for frequent in ([], [b"a", b"same", b"don't"]):
+        kept = WordIds(enc, frequent)
+        for part in (slice(None), slice(1, None), slice(4, 5)):
+            words, owner, at = lm.distinct_words(pa.array(texts, pa.binary())[part])
+            split = [t.lower().split() for t in texts[part]]
+            assert [words[i] for i in at] == [w for x in split for w in x] and (np.bincount(owner, minlength=len(split)) == [len(x) for x in split]).all()
+            assert lm.ids_of_texts(enc, texts[part], words, owner, at, kept) == want[part]
+        assert set(kept) <= set(frequent)
+    # What is not UTF-8 is decoded word by word as it is in whole.
+    broken = [b"a\xe2 b\xe2\x28c \xc3"]
+    assert lm.ids_of_texts(enc, broken, *lm.distinct_words(pa.array(broken)), WordIds(enc, [])) == [enc.ids(broken[0].decode("utf-8", "replace"))]
+
+
+def test_lm_draws_no_sample_to_begin_with(spark, monkeypatch):
+    """Every taught row counts in what training begins with, whatever its id and size, and the start is P(class | class before)."""
+    enc = encoder(WORD)
+    kind, end = enc.kind, enc.size
+    texts = [(None if i % 3 == 0 else i, f"w{i} some words that are there " * (1 + 4000 * (i == 5))) for i in range(40)]
+    stored = spark.createDataFrame([(d, True, enc.ids(t)) for d, t in texts], "doc_id long, taught boolean, ids binary").repartition(3)
+    starts, begin = [], lm.Attention.begin
+    monkeypatch.setattr(lm.Attention, "begin", lambda self, pairs: starts.append(pairs.copy()) or begin(self, pairs))
+    m = lm.train(stored, WORD)
+    want = np.zeros((lm.CLASSES + 1, lm.CLASSES))
+    for _, t in texts:
+        c = m.cls[np.r_[np.frombuffer(enc.ids(t), kind).astype(np.int64), end]]
+        np.add.at(want, (np.r_[lm.CLASSES, c[:-1]], c), 1)
+    assert len(starts) == 1 and (starts[0] == want).all()
+    n = lm.CLASSES
+    first = begin(lm.Attention(np.ones(n), np.arange(n), np.zeros(n, bool)), want)
+    p = np.exp(first.p["g"] + first.p["b"])
+    seen = want.sum(axis=1) > 3000
+    assert seen.any() and np.allclose(p[seen], want[seen] / want[seen].sum(axis=1, keepdims=True), atol=0.01)
+
+
 def test_lm_every_text_teaches_and_more_texts_teach_more():
     m, streams = small_model()
     long = np.r_[np.arange(5000) % 40, 50]
