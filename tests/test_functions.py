@@ -109,3 +109,13 @@ def test_p_values_are_those_of_sql_to_the_last_digit(spark, name):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = registry.QUERIES[name](spark, sf)
     assert sorted(map(tuple, df.collect())) == sorted(c.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.SQL[name]})").fetchall())
+
+
+def test_quick_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(4)
+    values = [*rng.random(3000).tolist(), *(rng.standard_normal(500) * 1e4).tolist(), *(k / 128 for k in range(-129, 129)), *(k / 200000 for k in range(-999, 999, 7)), 0.0, -0.0, 1e-9, -1e-9, 123456.000005, 1e15 / 3, 1e300, float("nan"), float("inf"), None]
+    x = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (5, 6):
+        r = x.select((stats.quick_round(F.col("x"), digits) + 0.0).alias("q"), (F.round("x", digits) + 0.0).alias("r"))
+        assert r.where("not (q <=> r)").count() == 0
+    assert "rint" in r._jdf.queryExecution().executedPlan().toString().lower()

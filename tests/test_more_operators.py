@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -259,6 +261,32 @@ def test_pairs_over_one_chunk_are_not_shuffled_again(spark):
     assert pairs.ibd(g).count() == 28
 
 
+@pytest.mark.parametrize(("places", "kind"), [(5, "int"), (64, "string"), (65, "long"), (257, "int")])
+def test_pairs_by_words_are_those_by_hand(spark, places, kind):
+    rng = np.random.default_rng(places)
+    d = rng.integers(0, 3, (70, places)).astype(float)
+    d[rng.random(d.shape) < 0.1] = np.nan
+    d[3] = np.nan
+    name = (lambda i: f"s{i:03d}") if kind == "string" else (lambda i: i * 7 - 100)
+    g = spark.createDataFrame([(name(i), v * 11 - 5, None if np.isnan(d[i, v]) else int(d[i, v])) for i in range(70) for v in range(places)], f"sample_id {kind}, vid int, dosage int")
+    x = pairs.ibs(g)
+    # Up to four words, pairs take no Python and no cells are sent once a block.
+    assert ("Pandas" in x._jdf.queryExecution().executedPlan().toString()) == (places > 256)
+    got = {(r.i, r.j): (r.ibs0, r.ibs1, r.ibs2, r.dst, r.ppc) for r in x.collect()}
+    want = {}
+    for i in range(70):
+        for j in range(i + 1, 70):
+            apart = np.abs(d[i] - d[j])
+            n0, n1, n2 = (int((apart == k).sum()) for k in (2, 1, 0))
+            if n0 + n1 + n2:
+                het = int(((d[i] == 1) & (d[j] == 1)).sum())
+                z = (het / (n0 + het) - 2 / 3) / math.sqrt(2 / 9 / (n0 + het)) if n0 + het else None
+                want[name(i), name(j)] = n0, n1, n2, (0.5 * n1 + n2) / (n0 + n1 + n2), None if z is None else 0.5 * math.erfc(-z / math.sqrt(2))
+    assert set(got) == set(want) and 69 * 68 // 2 - 30 < len(want)
+    for k, w in want.items():
+        assert got[k][:3] == w[:3] and got[k][3] == pytest.approx(w[3]) and (got[k][4] is None if w[4] is None else got[k][4] == pytest.approx(w[4], abs=1e-9))
+
+
 def test_fisher_takes_large_counts():
     import time
 
