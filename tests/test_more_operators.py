@@ -287,6 +287,17 @@ def test_pairs_by_words_are_those_by_hand(spark, places, kind):
         assert got[k][:3] == w[:3] and got[k][3] == pytest.approx(w[3]) and (got[k][4] is None if w[4] is None else got[k][4] == pytest.approx(w[4], abs=1e-9))
 
 
+def test_ibd_takes_no_python_and_no_decimals_for_each_pair(spark):
+    from strandflow.plans.registry import rounded
+
+    g = spark.createDataFrame([(i, v, (i * v + i) % 3) for i in range(20) for v in range(9)], "sample_id int, vid int, dosage int")
+    x = pairs.ibd(g)
+    quick = rounded(x, 5, many=True)
+    plan = quick._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "rint" in plan.lower()
+    assert sorted(map(tuple, quick.collect()), key=str) == sorted(map(tuple, rounded(x, 5).collect()), key=str)
+
+
 def test_fisher_takes_large_counts():
     import time
 
